@@ -1 +1 @@
-
+"""Scalar functions: text analysis, geography, vectors, highlighting."""

@@ -1 +1 @@
-
+"""Query plans and the catalogue of registered queries."""

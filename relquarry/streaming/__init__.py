@@ -1 +1 @@
-
+"""Incremental indexing with Structured Streaming."""
