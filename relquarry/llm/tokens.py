@@ -15,7 +15,6 @@ from array import array as _array
 import numpy as np
 
 CACHE = 400_000
-_SAFE = re.compile("[\x00-\x7f\xa0-įı-ňŊ-ž‐-‧‰-⁞€]*").fullmatch
 
 
 def _visible() -> dict[int, str]:
@@ -25,6 +24,17 @@ def _visible() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Pieces(dict):
+    """Pieces' ids, found when first asked for."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = ids = self.find(piece)
+        return ids
+
+
 class Ids:
     """encode(texts): for each, its ids as little-endian unsigned 16 or 32-bit integers."""
 
@@ -44,25 +54,28 @@ class Ids:
             self.normal = str.lower
         else:
             self.split = None
-        if self.split:
-            # characters on whose class the two expressions disagree are not safe
-            self.odd = re.compile("[" + "".join(map(re.escape, self._odd())) + "]").search if self._odd() else None
-        self.cache: dict[str, bytes] = {}
+        self.unsafe = re.compile("[^" + "".join(f"\\u{ord(c):04x}" for c in self._safe()) + "]|<\\|").search
+        self.cache = _Pieces(self._piece)
         self.table = _visible()
         self.code = "H" if self.kind.itemsize == 2 else "I"
 
     @staticmethod
-    def _odd() -> list[str]:
+    def _safe() -> list[str]:
+        """Latin characters and common punctuation on whose class Python and the library agree, and that no normal form changes."""
         import unicodedata as u
 
         out = []
-        for c in map(chr, [*range(0x180), *range(0x2010, 0x2060), 0x20AC]):
+        for c in map(chr, [*range(0x180), *range(0x2010, 0x205F), 0x20AC]):
             k = u.category(c)
-            letter, digit = bool(re.match(r"[^\W\d_]", c)), bool(re.match(r"\d", c))
-            if letter != (k[0] == "L") or digit != (k[0] == "N") or (bool(re.match(r"\s", c)) != (c in "\t\n\x0b\x0c\r \x85\xa0" or k in ("Zs", "Zl", "Zp"))) or u.normalize("NFC", c) != c:
+            same = bool(re.match(r"[^\W\d_]", c)) == (k[0] == "L") and bool(re.match(r"\d", c)) == (k[0] == "N")
+            space = bool(re.match(r"\s", c)) == (c in "\t\n\x0b\x0c\r \x85\xa0" or k in ("Zs", "Zl", "Zp"))
+            if same and space and u.normalize("NFC", c) == c and c not in "\u0130\u0149\u017f":
                 out.append(c)
         return out
 
+    def _piece(self, piece: str) -> bytes:
+        return self._pack([x.id for x in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.table))])
+
     def _pack(self, ids: list[int]) -> bytes:
         a = _array(self.code, ids)
         if sys.byteorder == "big":
@@ -76,24 +89,14 @@ class Ids:
         if not self.split:
             return self.whole(texts)
         out: list[bytes | None] = [None] * len(texts)
-        cache, missing, parts, rest = self.cache, set(), [], []
-        if len(cache) > CACHE:
-            cache.clear()
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        get, split, normal, unsafe, rest = self.cache.__getitem__, self.split, self.normal, self.unsafe, []
         for i, t in enumerate(texts):
-            if _SAFE(t) and not (self.odd and self.odd(t)) and "<|" not in t:
-                p = self.split(self.normal(t) if self.normal else t)
-                parts.append((i, p))
-                missing.update(p)
-            else:
+            if unsafe(t):
                 rest.append(i)
-        missing.difference_update(cache)
-        if missing:
-            tokenize, pack, table = self.tokenizer.model.tokenize, self._pack, self.table
-            for w in missing:
-                cache[w] = pack([x.id for x in tokenize(w.encode().decode("latin-1").translate(table))])
-        get = cache.__getitem__
-        for i, p in parts:
-            out[i] = b"".join(map(get, p))
+            else:
+                out[i] = b"".join(map(get, split(normal(t) if normal else t)))
         for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
             out[i] = ids
         return out
