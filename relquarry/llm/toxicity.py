@@ -7,7 +7,7 @@
    Viterbi search picks the restored string that is likeliest under model and channel.
 3. Indicators are words and word beginnings whose share of toxic documents, among labelled
    documents that have them, is high beyond chance. Near copies count once: of the
-   documents with an indicator, the distinct smallest hashes of long words are counted.
+   documents with an indicator, the distinct smallest hashes of word triples are counted.
 4. A text's score is the noisy-or of its indicators' shares, over its own words and the
    restored ones, and of a small base share.
 
@@ -141,10 +141,10 @@ def features(word: str):
             yield "^" + word[:k]
 
 
-def _origin(words: set[str]) -> int:
-    """The same for most near copies, and spread over unrelated texts: from the smallest hash of long words; 0 to 63."""
-    long_ = [w for w in words if len(w) > 8] or sorted(words)
-    least = min((zlib.crc32(w.encode()) for w in long_), default=0)
+def _origin(text: str) -> int:
+    """The same for most near copies, and spread over unrelated texts: from the smallest hash of three words in a row; 0 to 63."""
+    w = text.lower().split()
+    least = min(map(zlib.crc32, map(str.encode, map(" ".join, zip(w, w[1:], w[2:])) if len(w) > 2 else [" ".join(w)])))
     return zlib.crc32(least.to_bytes(4, "little")) & 63
 
 
@@ -169,7 +169,7 @@ def _learn(batches, counts: np.ndarray):
                         made.clear()
                     f = made[w] = tuple({f for x in restorer.words(w) for f in features(x)})
                 own.update(f)
-            mask = 1 << _origin(words)
+            mask = 1 << _origin(text or "") if toxic else 0
             for f in own:
                 x = found[f]
                 if toxic:
