@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import analysis, highlight
 from .functions import vectors as V
@@ -106,7 +107,7 @@ class Index:
     def documents(self, realtime: bool = False, include_deleted: bool = False) -> DataFrame:
         docs = self.relation("docs", realtime)
         if docs is None:
-            return self.spark.createDataFrame([], self.schema.struct().add("doc_id", "bigint")).select("doc_id", *[f.field for f in self.schema.fields])
+            return self.spark.createDataFrame([], self.schema.struct().add("doc_id", T.LongType())).select("doc_id", *[f.field for f in self.schema.fields])
         docs = docs.drop("level")
         return docs if include_deleted else self._alive(docs)
 

@@ -63,7 +63,9 @@ def token_rows(docs: DataFrame, schema: Schema, meta: IndexMeta) -> DataFrame:
     """doc_id, field_id, tokens: a row for each document and lexical field."""
     text = lambda f: analysis.json_text(F.col(f"`{f.field}`")) if f.field_type == "Json" else F.array_join(F.col(f"`{f.field}`"), " ") if f.field_type.startswith("StringSet") else F.col(f"`{f.field}`").cast("string")
     fields = F.explode(F.array(*[F.struct(F.lit(i).alias("id"), text(f).alias("text")) for i, f in enumerate(schema.lexical)])).alias("f")
-    return docs.select("doc_id", fields).select("doc_id", F.col("f.id").alias("field_id"), analysis.analyze("f.text", meta).alias("tokens")).where(F.size("tokens") > 0)
+    # exploding one array keeps Catalyst from copying the tokenizer into every expression over its tokens
+    tokens = F.explode(F.array(analysis.analyze("f.text", meta))).alias("tokens")
+    return docs.select("doc_id", fields).select("doc_id", F.col("f.id").alias("field_id"), tokens).where(F.size("tokens") > 0)
 
 
 def postings(tokens: DataFrame, meta: IndexMeta | None = None, ngrams: bool = True) -> DataFrame:

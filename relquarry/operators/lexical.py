@@ -28,11 +28,15 @@ def _lookup(keys, values, column: Column, other: float = 0.0) -> Column:
     return out
 
 
+def _shifted(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda x: x - by)
+
+
 def phrase_in(positions: list[Column]) -> Column:
     """Whether one position list starts a run through all of them."""
     run = positions[0]
     for i, p in enumerate(positions[1:], 1):
-        run = F.array_intersect(run, F.transform(p, lambda x, i=i: x - i))
+        run = F.array_intersect(run, _shifted(p, i))
     return F.coalesce(F.size(run) > 0, F.lit(False))
 
 

@@ -98,9 +98,11 @@ def search(clustered: DataFrame, query, medoids: np.ndarray, mode: str = "All",
     return exact(rows, query, kind, least)
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, kind: str = "Dot") -> DataFrame:
+def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, kind: str = "Dot", medoids: np.ndarray | None = None, nprobe: int = 16) -> DataFrame:
     """query_id, doc_id, score, rank of the k best for each of a stated, bounded set of queries (query_id, query).
 
+    With medoids (and a cluster_id column) a query sees the vectors of its nprobe clusters only.
+
     The queries are one matrix in each task; every batch of vectors keeps its own k best
     for a query before anything is shuffled.
     """
@@ -108,6 +110,12 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, kind: str =
     q = queries.orderBy("query_id").toPandas()
     ids, m = q["query_id"].to_numpy(), np.stack(q["query"].to_numpy()).astype(np.float64) if len(q) else np.zeros((0, 1))
 
+    probed = None
+    if medoids is not None and len(medoids):
+        probed = np.zeros((len(ids), len(medoids)), bool)
+        for j in range(len(ids)):
+            probed[j, probe(m[j], medoids, nprobe, None, kind)] = True
+
     def best(batches):
         for b in batches:
             if not len(b) or not len(ids):
@@ -117,11 +125,15 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, kind: str =
             if kind == "Euclidean":
                 s = 2 * s - (x * x).sum(1)[:, None] - (m * m).sum(1)
             doc = b["doc_id"].to_numpy()
+            if probed is not None:
+                s = np.where(probed[:, b["cluster_id"].to_numpy()].T, s, -np.inf)
             for j in range(len(ids)):
                 order = np.lexsort((doc, -np.round(s[:, j], 6)))[:k]
+                order = order[s[order, j] > -np.inf]
                 yield pd.DataFrame({"query_id": ids[j], "doc_id": doc[order], "score": s[order, j]})
 
-    rows = vectors.select("doc_id", "vector").mapInPandas(best, "query_id bigint, doc_id bigint, score double")
+    columns = ["doc_id", "vector"] + (["cluster_id"] if probed is not None else [])
+    rows = vectors.select(*columns).mapInPandas(best, "query_id bigint, doc_id bigint, score double")
     rows = rows.groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -28,9 +28,10 @@ def read_json(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
     fields = schema.struct()
     if _first_sign(spark, path) == "[":
         return spark.read.schema(fields).option("multiLine", True).json(path)
-    lines = spark.read.schema(fields.add("_broken", "string")).option("columnNameOfCorruptRecord", "_broken").json(path)
-    if lines.where("_broken is not null").select("_broken").limit(1).count() == 0:
-        return lines.drop("_broken")
+    # a line is a document by itself if it parses as an object
+    text = spark.read.text(path).where(F.trim("value") != "")
+    if text.where(F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{")).isEmpty():
+        return spark.read.schema(fields).json(path)
     whole = spark.read.text(path, wholetext=True)
 
     @F.pandas_udf("array<string>")
