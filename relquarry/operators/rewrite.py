@@ -50,10 +50,11 @@ def near_terms(dictionary: DataFrame, words, distance: int = 1, count_threshold:
 
 
 def allowed_distance(word: str, config: SpellingCorrection) -> int:
-    """Longer terms may have more edits; terms under the first threshold none."""
+    """The base distance from the first length threshold on, and one edit more from each further one; none under the first."""
     if not config.term_length_threshold:
         return config.max_dictionary_edit_distance
-    return min(config.max_dictionary_edit_distance, sum(len(word) >= t for t in config.term_length_threshold))
+    passed = sum(len(word) >= t for t in config.term_length_threshold)
+    return config.max_dictionary_edit_distance + passed - 1 if passed else 0
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,7 @@ def correct(dictionary: DataFrame, text_words: list[str], config: SpellingCorrec
     wanted = [w for w in {*text_words, *merged} if w not in exact and allowed_distance(w, config)]
     near: dict[str, list[tuple[int, int, str]]] = {}
     if wanted:
-        for r in near_terms(dictionary, sorted(wanted), config.max_dictionary_edit_distance, least).collect():
+        for r in near_terms(dictionary, sorted(wanted), max(allowed_distance(w, config) for w in wanted), least).collect():
             if r["distance"] <= allowed_distance(r["word"], config):
                 near.setdefault(r["word"], []).append((r["distance"], -r["df"], r["term"]))
 
