@@ -9,9 +9,8 @@ A line's class is found on its normal form: lower case, white space as single sp
    different classes. So a key with many similar lines costs a pair for each, and no
    similar pair stays uncompared.
 3. Pairs are verified by the exact Jaccard index of their shingle sets, at THRESHOLD. Before
-   that, pairs whose numbers of shingles rule it out go, exactly, and pairs of which fewer
-   than AGREE of all MinHash values agree (at the threshold, 3 in 10,000 do). Only candidate
-   lines move, once each.
+   that, pairs of which fewer than AGREE of VALUES MinHash values agree go (at the threshold,
+   7 in 10,000 do). Only candidate lines move.
 4. Union-find over verified pairs; of each class the first line stays, by doc_id, then
    line number.
 
@@ -26,6 +25,7 @@ no rows. Other columns are kept by ``deduplicate`` and ignored by ``line_classes
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 import numpy as np
@@ -37,19 +37,33 @@ from .common import batch, keep, partitions, prepare, slices
 from .components import components
 
 SHINGLE, ROWS, BANDS, THRESHOLD, WORTH, SEEN = 8, 4, 9, 0.8, 20, 200_000
-#: The binomial distribution of ROWS * BANDS draws at THRESHOLD has 0.0003 below this.
-AGREE = 20
+#: Values, of a byte each, that are compared before texts are, and how many must agree; the binomial distribution of so many draws at THRESHOLD has 0.0007 below.
+VALUES, AGREE = 128, 88
 _LINE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line_no", pa.int32()), ("h", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_TEXT = pa.schema([("h", pa.int64()), ("line", pa.string()), ("n", pa.int32()), ("sig", pa.binary())])
+_TEXT = pa.schema([("h", pa.int64()), ("line", pa.string()), ("sig", pa.binary())])
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_PERMS = np.random.default_rng(1).integers(1, 1 << 32, (2, ROWS * BANDS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_PERMS = np.random.default_rng(1).integers(1, 1 << 32, (2, VALUES), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+
+
+_OTHER = re.compile(r"[^\S ]").search
 
 
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def forms(text: str):
+    """Normal forms of a text's lines."""
+    low = text.lower()
+    for line in low.split("\n"):
+        # most lines are normal as they stand
+        if line.isascii() and "  " not in line and not line.startswith(" ") and not line.endswith(" ") and not _OTHER(line):
+            yield line
+        else:
+            yield " ".join(line.split())
+
+
 def line_hash(form: str) -> int:
     from xxhash import xxh64_intdigest
 
@@ -66,9 +80,9 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def signatures(forms: list[str]) -> np.ndarray:
+def signatures(forms: list[str], values: int = ROWS * BANDS) -> np.ndarray:
     """MinHash values (rows: lines) of normal forms of at least SHINGLE characters."""
-    out = np.empty((len(forms), ROWS * BANDS), np.uint32)
+    out = np.empty((len(forms), values), np.uint32)
     step = 1 << 16  # characters at a time, so that the arrays stay in the processor's cache
     i = 0
     while i < len(forms):
@@ -76,12 +90,12 @@ def signatures(forms: list[str]) -> np.ndarray:
         while j < len(forms) and (j == i or n + len(forms[j]) <= step):
             n += len(forms[j])
             j += 1
-        out[i:j] = _signatures(forms[i:j])
+        out[i:j] = _signatures(forms[i:j], values)
         i = j
     return out
 
 
-def _signatures(forms: list[str]) -> np.ndarray:
+def _signatures(forms: list[str], values: int) -> np.ndarray:
     c = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     p2 = c[:-1] * np.uint64(0x1000193) + c[1:]
     p4 = p2[:-2] * np.uint64(0x9E3779B97F4A7C55) + p2[2:]
@@ -92,9 +106,11 @@ def _signatures(forms: list[str]) -> np.ndarray:
     cuts[::2] = np.concatenate([[0], ends[:-1]])
     cuts[1::2] = ends - SHINGLE + 1
     cuts = cuts[:-1]  # the last line's shingles are the last
-    low = np.empty((ROWS * BANDS, len(forms)), np.uint32)
-    for k in range(ROWS * BANDS):
-        low[k] = np.minimum.reduceat((h ^ _PERMS[0, k]) * _PERMS[1, k], cuts)[::2]
+    low, t = np.empty((values, len(forms)), np.uint32), np.empty_like(h)
+    for k in range(values):
+        np.bitwise_xor(h, _PERMS[0, k], out=t)
+        np.multiply(t, _PERMS[1, k], out=t)
+        low[k] = np.minimum.reduceat(t, cuts)[::2]
     return low.T
 
 
@@ -119,8 +135,7 @@ def _scan(batches):
                 continue
             th = xxh64_intdigest(t, 42)  # as Spark's xxhash64
             th = th - (1 << 64) if th >> 63 else th
-            for k, line in enumerate(t.split("\n")):
-                form = normal(line)
+            for k, form in enumerate(forms(t)):
                 if not form:
                     continue
                 h = line_hash(form)
@@ -141,35 +156,33 @@ def _scan(batches):
 
 
 def _stars(batches):
-    """Pairs (a, b) of each key's smallest line with its others; also marks keys of three lines or more by (key, h) pairs."""
-    last = None
+    """(key, a, b): each key's smallest line with each of its others. Rows come in the order of key and h; a line that several workers sent is there repeatedly."""
+    last = None  # key, smallest h of the key, h of the row before
     for b in batches:
         key, h = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         if not len(key):
             continue
-        new = np.concatenate([[last is None or key[0] != last[0]], key[1:] != key[:-1]])
-        lead = np.where(new, np.arange(len(key)), 0)
-        lead = np.maximum.accumulate(lead)
-        first = h[lead]
-        if not new[0]:
-            run = np.searchsorted(np.cumsum(new), 1)
-            first[: run if new.any() else len(key)] = last[1]
-        other = h != first
+        same = np.concatenate([[last is not None and key[0] == last[0]], key[1:] == key[:-1]])
+        before = np.concatenate([[last[2] if last else 0], h[:-1]])
+        first = h[np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))]
+        if same[0]:
+            first[: len(key) if same.all() else int(np.argmin(same))] = last[1]
+        other = same & (h != before) & (h != first)
         yield batch(pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]), key[other], first[other], h[other])
-        last = (key[-1], first[-1])
+        last = (key[-1], first[-1], h[-1])
 
 
 def _lines_of(batches, bits: np.ndarray):
     """Normal forms of the lines that a bit table knows; each once a worker."""
     mask, sent = np.uint64(len(bits) * 8 - 1), set()
     for b in slices(batches):
-        hs, forms = [], []
+        hs, found = [], []
         for t in b.column("text").to_pylist():
             if t is not None:
-                for line in t.split("\n"):
-                    if len(line) >= WORTH and len(form := normal(line)) >= WORTH:
+                for form in forms(t):
+                    if len(form) >= WORTH:
                         hs.append(line_hash(form))
-                        forms.append(form)
+                        found.append(form)
         if hs:
             at = np.array(hs, np.int64).view(np.uint64) & mask
             hit = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
@@ -180,17 +193,16 @@ def _lines_of(batches, bits: np.ndarray):
                     new.append(i)
             if len(sent) > SEEN:
                 sent.clear()
-            lines = [forms[i] for i in new]
-            sig = pa.array([x.tobytes() for x in signatures(lines)], pa.binary())
-            yield batch(_TEXT, [hs[i] for i in new], lines, [len(shingles(x)) for x in lines], sig)
+            lines = [found[i] for i in new]
+            sig = pa.array([x.tobytes() for x in signatures(lines, VALUES).astype(np.uint8)], pa.binary())
+            yield batch(_TEXT, [hs[i] for i in new], lines, sig)
 
 
-def _likely(batches, threshold: float):
-    """Pairs that their signatures and numbers of shingles leave open."""
+def _likely(batches):
+    """Pairs that their signatures leave open."""
     for b in batches:
-        m, n = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("na", "nb"))
-        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(b.num_rows, ROWS * BANDS) for k in ("sa", "sb"))
-        ok = (np.minimum(m, n) >= threshold * np.maximum(m, n)) & ((x == y).sum(axis=1) >= AGREE)
+        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, VALUES) for k in ("sa", "sb"))
+        ok = (x == y).sum(axis=1) >= AGREE
         yield batch(_PAIR, *(b.column(k).filter(pa.array(ok)) for k in ("a", "b")))
 
 
@@ -211,7 +223,11 @@ def _verify(batches, threshold: float):
 
     for b in batches:
         a, c, x, y = (b.column(k).to_pylist() for k in range(4))
-        good = [i for i in range(b.num_rows) if jaccard(of(a[i], x[i]), of(c[i], y[i])) >= threshold]
+        good = []
+        for i in range(b.num_rows):
+            s, t = of(a[i], x[i]), of(c[i], y[i])
+            if min(len(s), len(t)) >= threshold * max(len(s), len(t)) and jaccard(s, t) >= threshold:
+                good.append(i)
         yield batch(_PAIR, [a[i] for i in good], [c[i] for i in good])
 
 
@@ -222,8 +238,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = keep(docs.mapInArrow(_scan, "doc_id bigint, text_hash bigint, line_no int, h bigint, bands array<bigint>"))
     keys = lines.where("bands is not null and size(bands) > 0").select(F.explode("bands").alias("key"), "h")
-    # the same line may come from several workers; its rows lie side by side
-    stars = keep(keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_stars, "key bigint, a bigint, b bigint").distinct())
+    stars = keep(keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_stars, "key bigint, a bigint, b bigint"))
     pairs = stars.select("a", "b").distinct()
     texts = None
 
@@ -233,7 +248,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 pairs = pairs.join(texts.select(F.col("h").alias(end), *[F.col(c).alias(c[0] + end) for c in columns]), end)
             return pairs
 
-        likely = meet(pairs, "n", "sig").mapInArrow(partial(_likely, threshold=threshold), "a bigint, b bigint")
+        likely = meet(pairs, "sig").mapInArrow(_likely, "a bigint, b bigint")
         rows = meet(likely, "line").select("a", "b", "la", "lb").sortWithinPartitions("a", "b")
         return keep(rows.mapInArrow(partial(_verify, threshold=threshold), "a bigint, b bigint"))
 
@@ -245,20 +260,17 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bits = np.zeros(size, np.uint8)
     bits[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     table = spark.sparkContext.broadcast(bits)
-    found = docs.mapInArrow(lambda batches: _lines_of(batches, table.value), "h bigint, line string, n int, sig binary")
-    texts = keep(found.join(wanted.distinct(), "h", "left_semi").groupBy("h").agg(*[F.first(c).alias(c) for c in ("line", "n", "sig")]))
+    found = docs.mapInArrow(lambda batches: _lines_of(batches, table.value), "h bigint, line string, sig binary")
+    texts = keep(found.join(wanted.distinct(), "h", "left_semi").groupBy("h").agg(*[F.first(c).alias(c) for c in ("line", "sig")]))
     good = verified(pairs)
-    top = components(good)
-    # keys whose lines are not all in one class yet: the rest of their pairs
-    label = top.withColumnRenamed("node", "b").withColumnRenamed("root", "rb")
-    member = stars.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").join(stars, "key").join(label, "b", "left")
-    lead = top.withColumnRenamed("node", "a").withColumnRenamed("root", "ra")
-    open_ = member.join(lead, "a", "left").select("key", "b", F.coalesce("rb", "b").alias("rb"), F.coalesce("ra", "a").alias("ra"))
-    mixed = keep(open_.groupBy("key").agg(F.min("rb").alias("lo"), F.max("rb").alias("hi")).where("lo <> hi").join(open_, "key").select("key", "b", "rb"))
-    rest = mixed.alias("p").join(mixed.alias("q"), F.expr("p.key = q.key and p.b < q.b and p.rb <> q.rb")).select(F.col("p.b").alias("a"), F.col("q.b").alias("b")).distinct()
+    # members of keys of three lines or more whose lines are not all in one class yet
+    top = components(good).select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    many = stars.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    member = keep(many.join(stars.select("key", "b"), "key").join(top, "b", "left").select("key", "b", F.coalesce("rb", "b").alias("rb")))
+    left = member.groupBy("key").agg(F.min("rb").alias("lo"), F.max("rb").alias("hi")).where("lo <> hi").select("key").join(member, "key")
+    rest = left.alias("p").join(left.alias("q"), F.expr("p.key = q.key and p.b < q.b and p.rb <> q.rb")).select(F.col("p.b").alias("a"), F.col("q.b").alias("b")).distinct()
     rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more = verified(rest)
-    top = components(good.union(more)).withColumnRenamed("node", "h").withColumnRenamed("root", "top")
+    top = components(good.union(verified(rest))).withColumnRenamed("node", "h").withColumnRenamed("root", "top")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l"), F.col("doc_id").alias("doc"))
     own = lines.drop("bands")
     by_hash = keep(own.groupBy("h").agg(F.min(place).alias("place"), F.count("*").alias("n")).join(top, "h", "left"))
