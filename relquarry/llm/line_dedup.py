@@ -206,26 +206,36 @@ def _likely(batches):
         yield batch(_PAIR, *(b.column(k).filter(pa.array(ok)) for k in ("a", "b")))
 
 
+def packed_shingles(form: str) -> set[int] | None:
+    """The shingles of a form of SHINGLE characters or more as 8-byte numbers, one for one; None if a character needs more than a byte."""
+    try:
+        data = form.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return set(np.ndarray((len(data) - SHINGLE + 1,), "<u8", data, 0, (1,)).tolist())
+
+
 def _verify(batches, threshold: float):
-    kept: dict[int, set] = {}
+    kept: dict[int, set | None] = {}
     size = 0
 
-    def of(h: int, form: str) -> set:
+    def of(h: int, form: str) -> set | None:
         nonlocal size
-        s = kept.get(h)
-        if s is None:
-            if size > 300_000:  # shingles, of about 100 bytes
+        if h not in kept:
+            if size > 500_000:  # shingles, of about 70 bytes
                 kept.clear()
                 size = 0
-            s = kept[h] = shingles(form)
-            size += len(s)
-        return s
+            s = kept[h] = packed_shingles(form)
+            size += len(s or ())
+        return kept[h]
 
     for b in batches:
         a, c, x, y = (b.column(k).to_pylist() for k in range(4))
         good = []
         for i in range(b.num_rows):
             s, t = of(a[i], x[i]), of(c[i], y[i])
+            if s is None or t is None:
+                s, t = shingles(x[i]), shingles(y[i])
             if min(len(s), len(t)) >= threshold * max(len(s), len(t)) and jaccard(s, t) >= threshold:
                 good.append(i)
         yield batch(_PAIR, [a[i] for i in good], [c[i] for i in good])

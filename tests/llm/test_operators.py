@@ -103,6 +103,13 @@ def test_line_classes_match_brute_force(spark, docs, empty):
     assert line_dedup.deduplicate(empty).count() == 0
 
 
+def test_packed_shingles_are_the_shingles():
+    for form in ("the cat sat on the cat sat on the mat", "äöü ñandú über alles straße", "exactly8"):
+        assert len(line_dedup.packed_shingles(form)) == len(line_dedup.shingles(form))
+        assert {n.to_bytes(8, "little").decode("latin-1") for n in line_dedup.packed_shingles(form)} == line_dedup.shingles(form)
+    assert line_dedup.packed_shingles("日本語日本語日本語") is None
+
+
 PAGE = """<html><head><title>no</title></head><body><header>Site</header><nav><a>m</a></nav><div class="cookie-banner">We use cookies</div>
 <main><article><h1>Title &amp; more</h1><p>First   para<br>with <b>bold</b> words.<p>Second &lt;para&gt; &eacute;.<div class="ad">Buy</div><script>if (a < b) { "</p>" }</script>
 <form>Your name <input><button>Go</button></form><ul><li>item one</li><li>item two</li></ul></article><section id="comments"><p>reader says hello hello hello</p></section></main>
