@@ -218,18 +218,22 @@ def _judge(batches, rows: tuple, threshold: float):
 
 def _joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """The same where the benchmark is too large to broadcast: documents meet their items by a shuffle on the seed."""
-    def grams(text: str):
-        w = F.expr(f"regexp_extract_all(lower(coalesce({text}, '')), '[\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}_]+', 0)")
-        return w, lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda p: F.array_join(F.slice(w, p, n), " "))).otherwise(F.array().cast("array<string>"))
+    def with_words(df: DataFrame) -> DataFrame:
+        # exploding one array keeps Catalyst from copying the expression into every use of its words
+        return df.withColumn("w", F.explode(F.array(F.expr("regexp_extract_all(lower(coalesce(text, '')), '[\\\\p{L}\\\\p{M}\\\\p{N}_]+', 0)"))))
+
+    def grams(n: int):
+        w = F.col("w")
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda p: F.array_join(F.slice(w, p, n), " "))).otherwise(F.array().cast("array<string>"))
 
     rows = docs.withColumn("row", F.monotonically_increasing_id())
     item = items.where("text is not null").select("item_id", "text")
-    w, of = grams("text")
+    item_words = with_words(item)
     # an item of fewer words than a match has its whole sequence as its seed; at most MIN_MATCH - 1 lengths
-    short = [r[0] for r in item.select(F.size(w).alias("n")).where(f"n between 1 and {MIN_MATCH - 1}").distinct().collect()]
-    of_item = F.when(F.size(w) < MIN_MATCH, F.filter(F.array(F.array_join(w, " ")), lambda t: t != "")).otherwise(of(MIN_MATCH))
-    of_doc = F.concat(*[of(n) for n in [MIN_MATCH, *short]])
-    pairs = rows.select("row", F.explode(F.array_distinct(of_doc)).alias("seed")).join(item.select("item_id", F.explode(F.array_distinct(of_item)).alias("seed")), "seed").select("row", "item_id").distinct()
+    short = [r[0] for r in item_words.select(F.size("w").alias("n")).where(f"n between 1 and {MIN_MATCH - 1}").distinct().collect()]
+    of_item = F.when(F.size("w") < MIN_MATCH, F.filter(F.array(F.array_join("w", " ")), lambda t: t != "")).otherwise(grams(MIN_MATCH))
+    of_doc = F.concat(*[grams(n) for n in [MIN_MATCH, *short]])
+    pairs = with_words(rows).select("row", F.explode(F.array_distinct(of_doc)).alias("seed")).join(item_words.select("item_id", F.explode(F.array_distinct(of_item)).alias("seed")), "seed").select("row", "item_id").distinct()
     full = rows.join(pairs.join(item.withColumnRenamed("text", "item_text"), "item_id"), "row", "left")
 
     def judge(batches):
