@@ -9,8 +9,8 @@ A line's class is found on its normal form: lower case, white space as single sp
    different classes. So a key with many similar lines costs a pair for each, and no
    similar pair stays uncompared.
 3. Pairs are verified by the exact Jaccard index of their shingle sets, at THRESHOLD. Before
-   that, pairs of which fewer than AGREE of VALUES MinHash values agree go (at the threshold,
-   7 in 10,000 do). Only candidate lines move.
+   that, pairs go of which so few of VALUES MinHash values agree as 7 in 10,000 pairs do at
+   the threshold. Only candidate lines move.
 4. Union-find over verified pairs; of each class the first line stays, by doc_id, then
    line number.
 
@@ -37,8 +37,8 @@ from .common import batch, keep, partitions, prepare, slices
 from .components import components
 
 SHINGLE, ROWS, BANDS, THRESHOLD, WORTH, SEEN = 8, 4, 9, 0.8, 20, 200_000
-#: Values, of a byte each, that are compared before texts are, and how many must agree; the binomial distribution of so many draws at THRESHOLD has 0.0007 below.
-VALUES, AGREE = 128, 88
+#: MinHash values, of a byte each, that are compared before texts are.
+VALUES = 128
 _LINE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line_no", pa.int32()), ("h", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _TEXT = pa.schema([("h", pa.int64()), ("line", pa.string()), ("sig", pa.binary())])
@@ -198,11 +198,12 @@ def _lines_of(batches, bits: np.ndarray):
             yield batch(_TEXT, [hs[i] for i in new], lines, sig)
 
 
-def _likely(batches):
-    """Pairs that their signatures leave open."""
+def _likely(batches, threshold: float):
+    """Pairs that their signatures leave open: at most 3.2 deviations of the binomial distribution below the threshold."""
+    least = threshold * VALUES - 3.2 * (VALUES * threshold * (1 - threshold)) ** 0.5
     for b in batches:
         x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, VALUES) for k in ("sa", "sb"))
-        ok = (x == y).sum(axis=1) >= AGREE
+        ok = (x == y).sum(axis=1) >= least
         yield batch(_PAIR, *(b.column(k).filter(pa.array(ok)) for k in ("a", "b")))
 
 
@@ -258,7 +259,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 pairs = pairs.join(texts.select(F.col("h").alias(end), *[F.col(c).alias(c[0] + end) for c in columns]), end)
             return pairs
 
-        likely = meet(pairs, "sig").mapInArrow(_likely, "a bigint, b bigint")
+        likely = meet(pairs, "sig").mapInArrow(partial(_likely, threshold=threshold), "a bigint, b bigint")
         rows = meet(likely, "line").select("a", "b", "la", "lb").sortWithinPartitions("a", "b")
         return keep(rows.mapInArrow(partial(_verify, threshold=threshold), "a bigint, b bigint"))
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, prepare, slices
 
-MAX_LABELS, BASE, PREFIXES, CACHE = 30_000, 0.02, (4, 5, 6), 300_000
+MAX_LABELS, BASE, LEAST, PREFIXES, CACHE = 30_000, 0.02, 0.7, (4, 5, 6), 300_000
 _words = re.compile(r"[^\W\d_]+").findall
 _L = "a-zß-ÿ"
 _ODD = re.compile(
@@ -193,7 +193,7 @@ def indicators(rows, n_pos: int, n_neg: int, tested: int) -> dict[str, float]:
     """Share of toxic documents by feature, of (feature, pos, neg, origins) rows that chance doesn't explain."""
     if not n_pos or not n_neg:
         return {}
-    prior, out = n_pos / (n_pos + n_neg), {}
+    prior, out, count, dropped = n_pos / (n_pos + n_neg), {}, {}, set()
     bound = log(0.01 / max(tested, 1))
     for f, pos, neg, origins in rows:
         bits = (origins & ((1 << 64) - 1)).bit_count()
@@ -201,8 +201,15 @@ def indicators(rows, n_pos: int, n_neg: int, tested: int) -> dict[str, float]:
         distinct = pos if bits > 40 else min(pos, round(log(1 - bits / 64) / log(1 - 1 / 64)))
         if distinct >= 3 and distinct > prior * (distinct + neg) and _log_tail(distinct, distinct + neg, prior) < bound:
             share = (distinct + prior) / (distinct + neg + 1)
-            if share > 0.5:
+            if share > LEAST:
                 out[f] = share
+                count[f] = pos, neg
+    # a beginning that owes its share to one longer beginning or word, and is clean without it, is none
+    for f in [f for f in out if f[0] == "^"]:
+        best = max((g for g in out if len(g) > len(f) - (g[0] == "=") and g[1:].startswith(f[1:]) and g != f and out[g] > out[f]), key=lambda g: (count[g][0], g), default=None)
+        if best and count[f][0] - count[best][0] <= count[f][1] - count[best][1]:
+            dropped.add(f)
+    out = {f: s for f, s in out.items() if f not in dropped}
     # a longer beginning or the word itself adds nothing to a beginning that is as sure
     return {f: s for f, s in out.items() if not any(out.get("^" + f[1 : k + 1], 0) >= s for k in PREFIXES if k < len(f) - (f[0] == "^"))}
 
