@@ -164,6 +164,9 @@ class Index:
         n, last = docs.agg(F.count("*"), F.max("doc_id")).first()
         relations, length = ["docs"], 0
         if self.schema.lexical and n:
+            cores = spark.sparkContext.defaultParallelism
+            if docs.rdd.getNumPartitions() < cores:  # a small level in few files
+                docs = docs.repartition(cores)
             tokens = build.token_rows(docs, self.schema, self.meta)
             rows = build.with_synonyms(build.postings(tokens, self.meta), self.synonyms())
             self._write_postings(rows, level, n)
