@@ -17,7 +17,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
 #: A word may go on with + # - but not begin so.
 TOKEN = rf"{WORD}[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}+#-]*"
-MAX_TOKENS = 65_536
 _ROMAN = {chr(0x2160 + i): r for i, r in enumerate("i ii iii iv v vi vii viii ix x xi xii l c d m".split())} | {chr(0x2170 + i): r for i, r in enumerate("i ii iii iv v vi vii viii ix x xi xii l c d m".split())}
 _UMLAUT = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "þ": "th", "ð": "d", "ı": "i", "ĳ": "ij", "ŀ": "l", "ŋ": "n", "ŧ": "t", "ħ": "h", "ſ": "s"}
 
@@ -102,7 +101,7 @@ def ascii_lower(c: Column) -> Column:
 
 
 def tokens(text, tokenizer: str = "UnicodeAlphanumeric", dictionary: dict[str, float] | None = None) -> Column:
-    """Array of tokens of a string column, in order; null gives an empty array."""
+    """Array of all tokens of a string column, in order; null gives an empty array."""
     c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     if tokenizer == "AsciiAlphabetic":
         out = F.regexp_extract_all(ascii_lower(c), F.lit("[a-z]+"), 0)
@@ -117,7 +116,7 @@ def tokens(text, tokenizer: str = "UnicodeAlphanumeric", dictionary: dict[str, f
         out = F.pandas_udf(lambda s: s.map(lambda t: zh_tokens(t, words)), "array<string>")(c)
     else:
         raise ValueError(f"unknown tokenizer {tokenizer}")
-    return F.slice(out, 1, MAX_TOKENS)
+    return out
 
 
 def without(tokens_: Column, stop_words) -> Column:

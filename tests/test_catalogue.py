@@ -39,3 +39,20 @@ def test_query(spark, db, name):
         assert sorted(names) == columns and got == want
     else:
         assert got
+
+
+@pytest.mark.parametrize("name", ["tok_unicode", "tok_whitespace", "doc_len_quantized", "term_df", "corpus_stats", "phrase_bigram"])
+def test_texts_of_over_65536_tokens(spark, tmp_path, name):
+    import duckdb
+
+    text = " ".join(f"w{k % 50_000}" for k in range(70_000)) + " the thing at the end of the thing lastword"
+    docs = spark.createDataFrame([(1, text, "en", "src0", len(text)), (2, "the thing lastword", "en", "src0", 18)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    r = c.execute(catalogue.ORACLE[name])
+    names = [d[0] for d in r.description]
+    assert got == sorted((tuple(plain(x[names.index(c)]) for c in columns) for x in r.fetchall()), key=repr)
