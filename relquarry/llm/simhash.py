@@ -33,7 +33,7 @@ from .common import batch, keep, prepare, slices
 from .components import components, forest
 
 RADIUS, LARGE = 3, 4096
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_FP = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 _OUT = pa.schema([("fp", pa.int64()), ("near", pa.int64()), ("root", pa.int64())])
 
 
@@ -52,7 +52,7 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches):
     for b in slices(batches):
         fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield batch(_FP, b.column("doc_id"), fp)
+        yield batch(_FP, b.column("doc_id"), b.column("text_hash"), fp)
 
 
 class BKTree:
@@ -159,11 +159,16 @@ def near_fingerprints(nodes: DataFrame) -> DataFrame:
     return rows.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_shard_trees, "fp bigint, near bigint, root bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), n_near (other documents linked directly), component_id (smallest doc_id of the class)."""
+def _row_key():
+    return F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string"))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, fp), one of each document; nodes (fp, n_near, component_id, top), where top is the class."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = keep(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(partial(_fingerprints), "doc_id bigint, fp bigint"))
+    rows = docs.select(*[c.alias(n) for c, n in zip(_row_key(), ("doc_id", "text_hash"))], "text")
+    rows = keep(rows.mapInArrow(partial(_fingerprints), "doc_id bigint, text_hash bigint, fp bigint"))
     nodes = keep(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")))
     links = keep(near_fingerprints(nodes.select("fp", "n")))
     root = components(links.select("fp", "root"))
@@ -172,25 +177,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     node = keep(node)
     # only classes of several nodes need another name than their node's own
     names = node.where("linked").groupBy("top").agg(F.min("first").alias("name"))
-    node = node.join(names, "top", "left").select("fp", (F.col("near") + F.col("n") - 1).alias("n_near"), F.coalesce("name", "first").alias("component_id"))
+    node = node.join(names, "top", "left").select("fp", (F.col("near") + F.col("n") - 1).alias("n_near"), F.coalesce("name", "first").alias("component_id"), "top")
+    return rows, node
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), n_near (other documents linked directly), component_id (smallest doc_id of the class)."""
+    rows, node = _classes(docs)
     return rows.join(node, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one of the smallest doc_id, with all its columns.
+    """One row of each class, the one of the smallest doc_id, then the smallest text hash, with all its columns.
 
-    Of rows that share that doc_id, the one whose text hash is smallest stays; null doc_ids
-    stay only where their class has no other.
+    Rows are told apart by doc_id and text hash: those of other classes stay, whatever
+    doc_id they share. Null doc_ids come last in a class.
     """
-    key, text = F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string"))
-    near = near_duplicates(docs.select("doc_id", "text"))
-    good = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__d")).distinct()
-    kept = docs.join(good, key.eqNullSafe(F.col("__d")), "left_semi")
-    # rows that share a doc_id
-    twice = kept.groupBy(key.alias("__d")).agg(F.count("*").alias("__n")).where("__n > 1").select("__d")
+    key, text = _row_key()
+    rows, node = _classes(docs)
+    each = rows.join(node.select("fp", "top"), "fp").groupBy("top", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("b")
+    good = keep(each.groupBy("top").agg(best).select(F.col("b.doc_id").alias("__d"), F.col("b.text_hash").alias("__t"), F.col("b.n").alias("__n")))
+
+    def of(some: DataFrame) -> DataFrame:
+        return docs.join(some, key.eqNullSafe(F.col("__d")) & (text == F.col("__t")), "left_semi")
+
+    # rows that are alike in both
+    twice = good.where("__n > 1")
     if twice.isEmpty():
-        return kept
-    many = kept.join(twice, key.eqNullSafe(F.col("__d")), "left_semi").withColumn("__t", text)
-    w = Window.partitionBy(key).orderBy("__t")
-    one = many.withColumn("__r", F.row_number().over(w)).where("__r = 1").select(*docs.columns)
-    return kept.join(twice, key.eqNullSafe(F.col("__d")), "left_anti").unionByName(one)
+        return of(good)
+    w = Window.partitionBy(key, text).orderBy(F.lit(0))
+    one = of(twice).withColumn("__r", F.row_number().over(w)).where("__r = 1").select(*docs.columns)
+    return of(good.where("__n = 1")).unionByName(one)

@@ -448,3 +448,11 @@ def test_pipeline_stages(spark, tmp_path):
     kept = {r.doc_id for r in docs.select("doc_id").distinct().collect()}
     assert 8000 not in kept and len({7000 + k for k in range(5)} & kept) == 1
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_near_duplicates_are_dropped_by_row_and_class(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (" ".join(words(rng, 80)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, c), (None, c), (3, d), (9, e), (9, d), (20, a), (30, b + " "), (9, e)]
+    kept = simhash.drop_near_duplicates(frame(spark, rows).repartition(3)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(20, a), (30, b + " "), (None, c), (3, d), (9, e)], key=str)
