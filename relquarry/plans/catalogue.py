@@ -570,7 +570,7 @@ def vec_affine_i8(spark, sf_dir):
 def vec_ivf_nprobe(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     medoids = vector.fit_medoids(v)
-    return lexical.rank(vector.search(vector.assign(v, medoids), _query_vector(spark, sf_dir), medoids, "Nprobe", 8), 10)
+    return lexical.rank(vector.search(vector.assign(v, medoids), _query_vector(spark, sf_dir), medoids, "Nprobe", vector.wide_nprobe(medoids)), 10)
 
 
 @query()
@@ -579,7 +579,7 @@ def recall_at_10(spark, sf_dir):
     queries = v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query"))
     truth = vector.search_many(v, queries, 10)
     medoids = vector.fit_medoids(v)
-    found = vector.search_many(vector.assign(v, medoids), queries, 10, medoids=medoids, nprobe=max(8, len(medoids) * 4 // 5))
+    found = vector.search_many(vector.assign(v, medoids), queries, 10, medoids=medoids, nprobe=vector.wide_nprobe(medoids))
     return vector.recall(found, truth)
 
 

@@ -281,3 +281,20 @@ def test_service(spark, tmp_path):
     assert call("POST", "index/0/iterator", {"take": 5}, key)[1]["results"][0]["doc_id"] == 0
     assert call("POST", "index/0/synonyms", [["a", "b"]], key)[0] == 200 and call("GET", "index/0", None, key)[1]["current_docs"] == 1
     assert call("DELETE", "index/0", None, key) == (200, 0) and call("GET", "nothing", None, key)[0] == 404
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_probe_has_the_recall(spark, monkeypatch, sf):
+    from pathlib import Path
+
+    from relquarry.plans import catalogue
+
+    data = f"/root/testdata/{sf}"
+    if not Path(data).exists():
+        pytest.skip("no test tables here")
+    seen, search, many = [], vector.search, vector.search_many
+    monkeypatch.setattr(vector, "search", lambda rows, q, m, mode, nprobe: seen.append(nprobe) or search(rows, q, m, mode, nprobe))
+    monkeypatch.setattr(vector, "search_many", lambda *a, nprobe=None, **k: many(*a, **k) if nprobe is None else seen.append(nprobe) or many(*a, nprobe=nprobe, **k))
+    assert catalogue.QUERIES["recall_at_10"](spark, data).first().recall >= 0.9
+    assert catalogue.QUERIES["vec_ivf_nprobe"](spark, data).count() == 10
+    assert len(set(seen)) == 1 and len(seen) == 2
