@@ -4,7 +4,7 @@ A page becomes a sequence of text runs and tags. A run's words score positive, b
 weight of the context that it stands in; tags score negative. The contiguous part with
 the largest sum, found in one scan, is the content region; its text is returned without
 the parts that are never content (menus, adverts, forms, scripts and the like, of which
-some lie inside articles).
+some lie inside articles; these score nothing there).
 
 Weights are log odds from labelled pages: pages whose words are marked as content or not.
 ``LABELLED`` makes some from templates, with the page parts that sites use; a caller may
@@ -85,34 +85,38 @@ class Weights:
 
 
 def runs(html: str):
-    """Text runs and tags in page order: (context, text or None for a tag, whether a block ends before it)."""
-    stack: list[tuple[str, str]] = []
-    context, at, n, low = "page", 0, len(html), None
+    """Text runs and tags in page order: (context, text or None for a tag, whether a block ends before it, whether it is of a box inside an article or main part)."""
+    stack: list[tuple[str, str, bool]] = []
+    context, boxed, at, n, low = "page", False, 0, len(html), None
     new_block = True
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
             if html.find("<", at) >= 0 and re.search(r"<[a-zA-Z!/?]?$", html[at:]):
-                yield context, html[at : html.rfind("<")], new_block
+                yield context, html[at : html.rfind("<")], new_block, boxed
             else:
-                yield context, html[at:], new_block
+                yield context, html[at:], new_block, boxed
             return
         if m.start() > at:
-            yield context, html[at : m.start()], new_block
+            yield context, html[at : m.start()], new_block, boxed
             new_block = False
         at, token = m.end(), m[0]
         name = _NAME.match(token)
         if not name:
             continue
         tag = name[1].lower()
-        yield context, None, tag in BLOCK
+        own = None
+        if token[1] != "/" and tag not in VOID and tag not in RAW and not token.endswith("/>"):
+            own = kind_of(tag, token)
+        # a box's first tag is of the box
+        yield context, None, tag in BLOCK, boxed or own in NEVER and context in ("article", "main")
         new_block = new_block or tag in BLOCK
         if tag == "br":
-            yield context, " ", False
+            yield context, " ", False, boxed
         if token[1] == "/":
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    context = stack[k][1]
+                    context, boxed = stack[k][1:]
                     del stack[k:]
                     break
         elif tag in RAW and not token.endswith("/>"):
@@ -125,23 +129,23 @@ def runs(html: str):
             if tag in ("p", "li", "dd", "dt", "option", "tr", "td", "th"):  # these end their like by themselves
                 for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
                     if stack[k][0] == tag:
-                        context = stack[k][1]
+                        context, boxed = stack[k][1:]
                         del stack[k:]
                         break
                     if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "blockquote"):
                         break
-            stack.append((tag, context))
-            own = kind_of(tag, token)
+            stack.append((tag, context, boxed))
             # what is never content stays so in all that it holds
             if own and (context not in NEVER):
+                boxed = own in NEVER and context in ("article", "main")
                 context = own if not (own == "main" and context == "article") else context
 
 
 def _settled(html: str):
     """Runs, with text outside of a page's article or main part told from text of a page that has neither."""
     found = list(runs(html))
-    if any(c in ("article", "main") for c, _, _ in found):
-        found = [("outside" if c == "page" else c, t, b) for c, t, b in found]
+    if any(c in ("article", "main") for c, _, _, _ in found):
+        found = [("outside" if c == "page" else c, t, b, x) for c, t, b, x in found]
     return found
 
 
@@ -150,7 +154,7 @@ def main_text(html: str | None, weights: Weights) -> str:
     best = total = 0.0
     start = first = last = 0
     texts: list[tuple[str, str, bool]] = []
-    for context, text, block in _settled(html or ""):
+    for context, text, block, boxed in _settled(html or ""):
         if text is None:
             gain = weights.tag
             texts.append((context, "", block))
@@ -158,6 +162,8 @@ def main_text(html: str | None, weights: Weights) -> str:
             words = len(text.split())
             gain = weights.word.get(context, 0.0) * words
             texts.append((context, text, block))
+        if boxed:  # it is stripped anyway, so that it must not split the region
+            gain = 0.0
         if total <= 0:
             total, start = 0.0, len(texts) - 1
         total += gain
@@ -184,7 +190,7 @@ def fit(pages) -> Weights:
     """
     good, bad, tags, words = Counter(), Counter(), 0, 0
     for html, content in pages:
-        for context, text, _ in _settled(html):
+        for context, text, _, _ in _settled(html):
             if text is None:
                 tags += 1
                 continue

@@ -456,3 +456,11 @@ def test_near_duplicates_are_dropped_by_row_and_class(spark):
     rows = [(None, a), (None, b), (None, c), (None, c), (3, d), (9, e), (9, d), (20, a), (30, b + " "), (9, e)]
     kept = simhash.drop_near_duplicates(frame(spark, rows).repartition(3)).collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(20, a), (30, b + " "), (None, c), (3, d), (9, e)], key=str)
+
+
+def test_boxes_inside_an_article_do_not_split_it():
+    title, body, end = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("t", 5), ("b", 200), ("e", 25)))
+    junk = " ".join(f"junk{k}" for k in range(40))
+    page = f'<html><body><nav>{junk}</nav><%s><h1>{title}</h1><div class="share">share this page with all of your friends</div><p>{body}</p><div class="ad"><p>{junk}</p>{junk}</div>{"<aside></aside>" * 200}<form>{junk}<button>go</button></form><p>{end}</p></%s><footer>{junk}</footer></body></html>'
+    for tag in ("article", "main"):
+        assert html_extract.main_text(page % (tag, tag), html_extract.default_weights()) == "\n".join((title, body, end))
