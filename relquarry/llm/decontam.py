@@ -12,12 +12,13 @@ Every tile consists of seeds, so that the share of an item's words that shared s
 cover bounds its coverage from above; pairs below the threshold need no tiling, exactly.
 
 Benchmarks of up to MAX_SEEDS seeds (counted first) are broadcast; larger ones are joined
-by a shuffle on the seed. Both give the same pairs.
+by a shuffle on the seed. Both give the same rows.
 
 Defined results. Null or empty text, or one of fewer than MIN_MATCH words: not
 contaminated, coverage 0. An item with fewer words than MIN_MATCH: its whole sequence is
 its seed, and must occur in one piece. Items that are null or without words match nothing.
-Ties of coverage: the smaller item_id. Null doc_id and repeated rows: each judged by
+Ties of coverage: the smaller item_id, then more tiles. Rows of one item_id with
+other texts are items of their own; equal ones are one. Null doc_id and repeated rows: each judged by
 itself. Very long texts: whole. Empty tables: no rows, or none contaminated. Other columns
 are ignored.
 """
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, prepare, slices
+from .common import batch, keep, prepare, slices
 
 MIN_MATCH, THRESHOLD, MAX_SEEDS = 4, 0.5, 2_000_000
 _words = re.compile(r"\w+").findall
@@ -114,10 +115,12 @@ def _next(x, y, free_a, free_b, most: int, least: int, windows) -> int:
 
 
 class Items:
-    """Benchmark items with their seeds."""
+    """Benchmark items, which are the distinct (item_id, text), by number, with their seeds."""
 
     def __init__(self, rows):
-        self.words = {i: w for i, t in rows if (w := words(t))}
+        rows = [(i, w) for i, t in dict.fromkeys(rows) if (w := words(t))]
+        self.id = [i for i, _ in rows]
+        self.words = {k: w for k, (_, w) in enumerate(rows)}
         self.vocabulary: dict[str, int] = {}
         for w in self.words.values():
             for v in w:
@@ -177,15 +180,16 @@ class Items:
             share = sum(t[2] for t in found) / len(item)
             if share >= threshold:
                 count += 1
-            if best is None or (share, -i) > (best[0], -best[1]):
-                best = (share, i, len(found))
+            if best is None or (share, -self.id[i], len(found)) > (best[0], -best[1], best[2]):
+                best = (share, self.id[i], len(found))
         for short, items in self.short.items() if self.short else ():
             k = len(short)
             m = len(w) - k + 1
             if m > 0 and np.logical_and.reduce([ids[j : j + m] == v for j, v in enumerate(short)]).any():
                 count += len(items)
-                if best is None or best[0] < 1 or min(items) < best[1]:
-                    best = (1.0, min(items), 1)
+                least = min(self.id[i] for i in items)
+                if best is None or best[0] < 1 or least < best[1]:
+                    best = (1.0, least, 1)
         if best is None:
             return False, None, 0.0, 0, 0
         return best[0] >= threshold, best[1], best[0], count, best[2]
@@ -216,34 +220,62 @@ def _judge(batches, rows: tuple, threshold: float):
         yield batch(_OUT, b.column("doc_id"), *zip(*found)) if found else batch(_OUT, *[[]] * 6)
 
 
-def _joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """The same where the benchmark is too large to broadcast: documents meet their items by a shuffle on the seed."""
-    def with_words(df: DataFrame) -> DataFrame:
-        # exploding one array keeps Catalyst from copying the expression into every use of its words
-        return df.withColumn("w", F.explode(F.array(F.expr("regexp_extract_all(lower(coalesce(text, '')), '[\\\\p{L}\\\\p{M}\\\\p{N}_]+', 0)"))))
+_SEEDS = pa.schema([("n", pa.int32()), ("seeds", pa.list_(pa.int64()))])
 
-    def grams(n: int):
-        w = F.col("w")
-        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda p: F.array_join(F.slice(w, p, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    item = items.where("text is not null").select("item_id", "text")
-    item_words = with_words(item)
+def _seed_hashes(w: list[str], n: int) -> set[int]:
+    """Signed hashes of all runs of n words; equal hashes of unequal runs only cost a judgement."""
+    from xxhash import xxh64_intdigest
+
+    return {h - (1 << 64) if h >> 63 else h for h in (xxh64_intdigest(" ".join(w[p : p + n])) for p in range(len(w) - n + 1))}
+
+
+def _with_seeds(df: DataFrame, *columns: str, lengths: list[int] | None = None) -> DataFrame:
+    """The columns, with n (number of words) and seeds, found by the very words() of the judge. lengths: those of a document's seeds; else an item's own."""
+
+    def find(batches):
+        for b in slices(batches):
+            n, seeds = [], []
+            for t in b.column("text").to_pylist():
+                w = words(t)
+                n.append(len(w))
+                seeds.append(list(set().union(*(_seed_hashes(w, k) for k in lengths or [min(MIN_MATCH, len(w))] if k))))
+            made = batch(_SEEDS, n, seeds)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *made.columns], names=[*columns, *_SEEDS.names])
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+    return df.select(*dict.fromkeys([*columns, "text"])).mapInArrow(find, f"{kinds}, n int, seeds array<bigint>")
+
+
+def _digest():
+    return F.sha2(F.col("text").cast("string"), 256)
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """row, and the judgement, of every distinct text where the benchmark is too large to broadcast: texts meet their items by a shuffle on the seed.
+
+    A judgement depends on the text alone, so that a text's digest stands for its rows; a
+    number of the row would change where Spark computes the documents again.
+    """
+    rows = docs.where("text is not null").groupBy(_digest().alias("row")).agg(F.first("text").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null")
+    item = items.where("text is not null").select("item_id", "text", F.xxhash64("text").alias("k")).distinct()
+    item_seeds = keep(_with_seeds(item, "item_id", "k"))
     # an item of fewer words than a match has its whole sequence as its seed; at most MIN_MATCH - 1 lengths
-    short = [r[0] for r in item_words.select(F.size("w").alias("n")).where(f"n between 1 and {MIN_MATCH - 1}").distinct().collect()]
-    of_item = F.when(F.size("w") < MIN_MATCH, F.filter(F.array(F.array_join("w", " ")), lambda t: t != "")).otherwise(grams(MIN_MATCH))
-    of_doc = F.concat(*[grams(n) for n in [MIN_MATCH, *short]])
-    pairs = with_words(rows).select("row", F.explode(F.array_distinct(of_doc)).alias("seed")).join(item_words.select("item_id", F.explode(F.array_distinct(of_item)).alias("seed")), "seed").select("row", "item_id").distinct()
-    full = rows.join(pairs.join(item.withColumnRenamed("text", "item_text"), "item_id"), "row", "left")
+    short = [r[0] for r in item_seeds.where(f"n between 1 and {MIN_MATCH - 1}").select("n").distinct().collect()]
+    of_doc = _with_seeds(rows, "row", lengths=[MIN_MATCH, *short]).select("row", F.explode("seeds").alias("seed"))
+    pairs = of_doc.join(item_seeds.select("item_id", "k", F.explode("seeds").alias("seed")), "seed").select("row", "item_id", "k").distinct()
+    full = rows.join(pairs.join(item.withColumnRenamed("text", "item_text"), ["item_id", "k"]), "row", "left")
 
     def judge(batches):
         for b in slices(batches):
             out = [Items([(i, t)]).judge(text, threshold) if i is not None else (False, None, 0.0, 0, 0) for text, i, t in zip(*(b.column(c).to_pylist() for c in ("text", "item_id", "item_text")))]
-            yield pa.RecordBatch.from_arrays([b.column("row"), *batch(_OUT, b.column("doc_id"), *zip(*out)).columns], names=["row", *_OUT.names])
+            found = batch(_OUT, [None] * b.num_rows, *zip(*out)).columns[1:]
+            yield pa.RecordBatch.from_arrays([b.column("row"), *found], names=["row", *_OUT.names[1:]])
 
-    each = full.mapInArrow(judge, "row bigint, doc_id bigint, contaminated boolean, item_id bigint, coverage double, n_items bigint, n_tiles bigint")
-    best = F.max(F.struct("coverage", (-F.col("item_id")).alias("i"), "contaminated", "item_id", "n_tiles")).alias("b")
-    return each.groupBy("row").agg(F.first("doc_id").alias("doc_id"), best, F.sum("n_items").alias("n_items")).select("doc_id", "b.contaminated", "b.item_id", "b.coverage", "n_items", "b.n_tiles")
+    each = full.mapInArrow(judge, "row string, contaminated boolean, item_id bigint, coverage double, n_items bigint, n_tiles bigint")
+    best = F.max(F.struct("coverage", (-F.col("item_id")).alias("i"), "contaminated", "n_tiles", "item_id")).alias("b")
+    return each.groupBy("row").agg(best, F.sum("n_items").alias("n_items")).select("row", "b.contaminated", "b.item_id", "b.coverage", "n_items", "b.n_tiles")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_seeds: int = MAX_SEEDS) -> DataFrame:
@@ -252,7 +284,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = _small(benchmark, max_seeds)
     if rows is None:
-        return _joined(docs, benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null"), threshold)
+        found = docs.select("doc_id", _digest().alias("row")).join(_joined(docs, benchmark, threshold), "row", "left")
+        none = {"contaminated": False, "coverage": 0.0, "n_items": 0, "n_tiles": 0}  # null texts
+        return found.select(*[F.coalesce(c, F.lit(none[c])).alias(c) if c in none else c for c in _OUT.names])
     return docs.mapInArrow(lambda batches: _judge(batches, rows, threshold), "doc_id bigint, contaminated boolean, item_id bigint, coverage double, n_items bigint, n_tiles bigint")
 
 
@@ -261,8 +295,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     prepare(docs.sparkSession)
     items = _small(benchmark, max_seeds)
     if items is None:
-        bad = decontaminate(docs, benchmark, threshold, max_seeds).where("contaminated").select(F.col("doc_id").alias("__d")).distinct()
-        return docs.join(bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__d")), "left_anti")
+        bad = _joined(docs, benchmark, threshold).where("contaminated").select(F.col("row").alias("__row"))
+        return docs.join(bad, _digest() == F.col("__row"), "left_anti")
 
     def clean(batches):
         found = _items(items)

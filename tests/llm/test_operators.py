@@ -464,3 +464,18 @@ def test_boxes_inside_an_article_do_not_split_it():
     page = f'<html><body><nav>{junk}</nav><%s><h1>{title}</h1><div class="share">share this page with all of your friends</div><p>{body}</p><div class="ad"><p>{junk}</p>{junk}</div>{"<aside></aside>" * 200}<form>{junk}<button>go</button></form><p>{end}</p></%s><footer>{junk}</footer></body></html>'
     for tag in ("article", "main"):
         assert html_extract.main_text(page % (tag, tag), html_extract.default_weights()) == "\n".join((title, body, end))
+
+
+def test_decontamination_is_the_same_for_small_and_large_benchmarks(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    marks = "nai\u0308ve cafe\u0301 \u0130stanbul x\u00b2 \u2160\u2161 a\u200db \u0915\u094d\u0937 end"  # combining marks, and letters and digits that Java and Python tell apart
+    items = [(1, a), (1, b), (1, b), (2, marks), (3, c), (3, c + " " + a), (4, "tiny it\u0301em"), (4, "tiny one")]
+    rows = [(None, "x " + a), (None, "clean words here"), (None, None), (7, "y " + b + " y"), (7, "clean seven of seven"), (8, "z " + marks + " z"), (9, c + " " + a), (10, "a tiny it\u0301em of"), (11, "a tiny one"), (7, "y " + b + " y"), (12, "")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = frame(spark, rows).repartition(3)
+    small, large = (sorted((tuple(r) for r in decontam.decontaminate(docs, bench, max_seeds=m).collect()), key=repr) for m in (decontam.MAX_SEEDS, 1))
+    assert small == large and len(small) == len(rows)
+    for m in (decontam.MAX_SEEDS, 1):
+        kept = decontam.drop_contaminated(docs, bench, max_seeds=m)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(None, "clean words here"), (None, None), (7, "clean seven of seven"), (12, "")], key=repr)
