@@ -1,10 +1,11 @@
 """Toxicity of documents, with obfuscated words restored through a noisy channel.
 
 1. A character trigram model is counted over every document.
-2. Segments that look obfuscated (look-alike digits and symbols inside words, letters
-   spelled with separators, letters repeated three times or more) become lattices: each
-   sign may stand for several letters, a repeated letter or a separator may be dropped. A
-   Viterbi search picks the restored string that is likeliest under model and channel.
+2. Segments that look obfuscated (look-alike digits and symbols inside words, letters or
+   look-alikes spelled with any white space or punctuation between, words parted by
+   punctuation, repeated letters) become lattices: each sign may stand for several
+   letters, a repeated letter or a separator may be dropped. A Viterbi search picks the
+   restored string that is likeliest under model and channel.
 3. Indicators are words and word beginnings whose share of toxic documents, among labelled
    documents that have them, is high beyond chance. Near copies count once: of the
    documents with an indicator, the distinct smallest hashes of word triples are counted.
@@ -39,13 +40,17 @@ from .common import batch, prepare, slices
 MAX_LABELS, BASE, LEAST, PREFIXES, CACHE = 30_000, 0.02, 0.7, (4, 5, 6), 300_000
 _words = re.compile(r"[^\W\d_]+").findall
 _L = "a-zß-ÿ"
+#: Signs that may stand for letters, and runs of white space and other punctuation.
+_S, _GAP = r"[^\W_]|[@$!|+]", r"(?:[^\w@$!|+]|_)+"
 _ODD = re.compile(
-    rf"(?<!\w)\w(?:[ .\-_*]\w){{2,}}(?!\w)"  # s.p.e.l.l.e.d
+    rf"(?<!\w)(?:{_S})(?:{_GAP}(?:{_S})){{2,}}(?!\w)"  # s.p.e.l.l.e.d
+    rf"|(?<![\w@$!|+])[{_L}0-9@$!|+]+(?:{_GAP}[{_L}0-9@$!|+]+)+"  # par-ted
     rf"|(?<![\w@$!|+])[0-9@$!|+]{{0,3}}[{_L}]+(?:[0-9@$!|+]{{1,6}}[{_L}]+)+(?:[013457@$](?!\w))?"  # w1th d1gits
     rf"|(?<![\w@$!|+])[013457@$!|+][{_L}]{{2,}}"
-    rf"|\w*([{_L}])\1\1\w*"  # looong
+    rf"|\w*([{_L}])\1\w*"  # looong, ddoouubbllee
 )
-_SPELLED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\w)")
+_SPELLED = re.compile(rf"(?<!\w)(?:{_S})(?:{_GAP}(?:{_S})){{2,}}(?!\w)")
+_gaps, _gap, _spaced = re.compile(_GAP).sub, re.compile(_GAP).search, re.compile(r"\s").search
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "2": "z", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SIGNS = 64
 _COUNT = pa.schema([("gram", pa.int32()), ("n", pa.int64())])
@@ -122,16 +127,17 @@ class Restorer:
         """Distinct tokens, and runs of single letters, which are restored as one."""
         low = (text or "").lower()
         found = set(low.split())
-        if sum(1 for x in found if len(x) == 1) > 2:
-            found.update(m[0] for m in _SPELLED.finditer(low))
+        found.update(m[0] for m in _SPELLED.finditer(low) if _spaced(m[0]))
         return found
 
     def words(self, token: str):
         """Words of one token, as they stand and restored."""
         yield from _words(token)
         for m in _ODD.finditer(token):
-            for k in range(0, max(1, len(m[0]) - 50), 150):
-                yield from decode(m[0][k : k + 200], self.model).split()
+            # one sign a gap, so that a word's letters fit into the windows' overlap; signs at the end are punctuation
+            s = _gaps(" ", m[0]).rstrip("!|+") if _gap(m[0]) else m[0]
+            for k in range(0, max(1, len(s) - 50), 150):
+                yield from decode(s[k : k + 200], self.model).split()
 
 
 def features(word: str):

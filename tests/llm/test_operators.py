@@ -479,3 +479,23 @@ def test_decontamination_is_the_same_for_small_and_large_benchmarks(spark):
         kept = decontam.drop_contaminated(docs, bench, max_seeds=m)
         assert kept.columns == docs.columns
         assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(None, "clean words here"), (None, None), (7, "clean seven of seven"), (12, "")], key=repr)
+
+
+HARD = ["l o $ e r", "i d ! o t", "i.d.!.o.t", "i/d/i/o/t", "i,d,i,o,t", "i~d~i~o~t", "i  d  i  o  t", "i\nd\n\ni\no\nt", "id-iot", "sc.um", "iddiioott", "$ t u p i d", "s t u p ! d", "i - d  !,o\tt", "s / c / u / m", "1d-i0t"]
+
+
+def test_obfuscated_words_reach_the_lattice():
+    model = toxicity.CharModel(trigrams("you are an idiot and a loser they are stupid scum of the earth " * 50))
+    restorer = toxicity.Restorer(model)
+    for hard in HARD:
+        found = {w for t in restorer.tokens(f"We say: {hard}!") for w in restorer.words(t)}
+        assert found & {"idiot", "loser", "scum", "stupid"}, hard
+
+
+def trigrams(text):
+    counts = np.zeros(toxicity.SIGNS**3, np.int64)
+    import pyarrow as pa
+
+    for b in toxicity._grams([pa.RecordBatch.from_pydict({"text": [text]})]):
+        counts[b.column(0).to_numpy()] += b.column(1).to_numpy()
+    return counts
