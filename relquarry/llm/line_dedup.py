@@ -16,7 +16,7 @@ A line's class is found on its normal form: lower case, white space as single sp
 
 Defined results. Null text: no lines. Empty text: one empty line. Lines without characters
 other than white space are always kept and belong to no class. Lines shorter than a
-shingle, and under WORTH characters, are copies only if equal in normal form. Null doc_id:
+shingle are copies only if equal in normal form. Null doc_id:
 its lines are treated as those of the last document. Repeated rows (doc_id and text alike)
 are one document: they keep the same lines. Rows of one doc_id with other texts are told
 apart by the text's hash. Ties: none left. Very long texts and lines: whole. Empty table:
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import batch, keep, partitions, prepare, slices
 from .components import components
 
-SHINGLE, ROWS, BANDS, THRESHOLD, WORTH, SEEN = 8, 4, 9, 0.8, 20, 200_000
+SHINGLE, ROWS, BANDS, THRESHOLD, WORTH, SEEN = 8, 4, 9, 0.8, 8, 200_000  # WORTH: SHINGLE, so that all lines with a shingle have bands
 #: MinHash values, of a byte each, that are compared before texts are.
 VALUES = 128
 _LINE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line_no", pa.int32()), ("h", pa.int64()), ("bands", pa.list_(pa.int64()))])

@@ -499,3 +499,8 @@ def trigrams(text):
     for b in toxicity._grams([pa.RecordBatch.from_pydict({"text": [text]})]):
         counts[b.column(0).to_numpy()] += b.column(1).to_numpy()
     return counts
+
+
+def test_short_lines_are_linked(spark):
+    rows = [(1, "abcdefgh ijklmno\nunrelated line"), (2, "abcdefgh ijklmnop"), (3, "exactly8"), (4, "exactly9!")]
+    assert {r.doc_id: r.text for r in line_dedup.deduplicate(frame(spark, rows)).collect()} == {1: rows[0][1], 2: "", 3: "exactly8", 4: "exactly9!"}
