@@ -3,7 +3,8 @@
 Both vocabularies here split a text by a regular expression and encode every piece by
 itself, so a piece's ids can be kept. Texts in which this module's expression might
 differ from the library's (characters beyond the Latin blocks, or the strings of
-special tokens) go to the library whole. A cache has at most CACHE pieces.
+special tokens, which get the special tokens' ids as the library gives them) go to the
+library whole. A cache has at most CACHE pieces.
 """
 
 from __future__ import annotations
@@ -42,7 +43,6 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         kind = type(self.tokenizer.pre_tokenizer).__name__
         lower = self.tokenizer.normalizer is not None

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -250,12 +251,15 @@ def test_bk_tree_finds_all_within_radius():
         seen.append(v)
 
 
-def encoded(name, text, end):
+@lru_cache
+def tokenizer(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, end]
+    return Tokenizer.from_file(vocabulary(name))
+
+
+def encoded(name, text, end):
+    return [*tokenizer(name).encode(text or "", add_special_tokens=False).ids, end]
 
 
 def test_packing_round_trip(spark, docs, empty):
@@ -425,9 +429,14 @@ def test_cached_pieces_equal_the_library():
     texts = ["", "it's We'll 'S don'T", "<|endoftext|> a", "1234 ½² x1y"] + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
     from relquarry.llm.tokens import Ids
 
-    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+    special = {"byte_bpe_50k.json": 50256, "word_bpe_49k.json": 49407}
+    texts += ["a <|endoftext|> b", "a<|ENDOFTEXT|>b<|startoftext|>", "<|", "x <|endoftext|>" * 50]
+    for name, end in special.items():
         coder = Ids(vocabulary(name))
-        assert coder.encode(texts) == coder.whole(texts)
+        got = coder.encode(texts)
+        assert got == coder.whole(texts)
+        assert [list(np.frombuffer(g, coder.kind)) for g in got] == [encoded(name, t, 0)[:-1] for t in texts]
+        assert end in np.frombuffer(got[texts.index("a <|endoftext|> b")], coder.kind)
 
 
 def test_pipeline_stages(spark, tmp_path):
