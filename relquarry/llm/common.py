@@ -6,6 +6,7 @@ import os
 import tempfile
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +69,25 @@ def crc_text(column) -> F.Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Text of a range that one task sorts and streams; the most ranges whose bounds the driver holds (past it they get larger); rows sampled a range.
+RANGE_BYTES, MOST_RANGES, SAMPLED = 32 << 20, 1 << 16, 24
+
+
+def sampled(docs: DataFrame) -> tuple[int, DataFrame]:
+    """Number of rows, and a random sample of them, about SAMPLED for every range of a table with texts of 4 KB; it only serves to place bounds."""
+    n = docs.count()
+    rows = SAMPLED * min(MOST_RANGES, max(partitions(docs.sparkSession), n * 4096 // RANGE_BYTES))
+    return n, docs.sample(fraction=min(1.0, rows / max(1, n)), seed=3)
+
+
+def bounds(spark: SparkSession, rows: int, seen: list[tuple]) -> list[tuple]:
+    """Bounds of ranges of about equal weight, from the sample's (key, ..., bytes); the number of ranges follows the data."""
+    seen = sorted(seen)
+    weight = np.cumsum([r[-1] + 16 for r in seen])
+    if not len(seen):
+        return []
+    n = min(MOST_RANGES, max(partitions(spark), int(rows * (weight[-1] / len(seen)) // RANGE_BYTES)))
+    cuts = np.searchsorted(weight, np.arange(1, n) * (weight[-1] / n))
+    return sorted({seen[i][:-1] for i in cuts})

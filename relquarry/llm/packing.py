@@ -21,7 +21,6 @@ from __future__ import annotations
 import bisect
 import zlib
 from functools import partial
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import batch, partitions, prepare, slices
+from .common import batch, bounds, prepare, sampled, slices
 
 DIMS, BITS = 3, 16
-_ROW = pa.schema([("pid", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+_ROW = pa.schema([("pid", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("m", pa.int64()), ("ids", pa.binary())])
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
@@ -81,14 +80,16 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def _encode(batches, path: str, bounds: list[tuple[int, int]]):
+def _encode(batches, path: str, ranges: list[tuple]):
+    """Rows with the number of their range of (key, doc_id, m); m parts the rows of one doc_id and key, however many."""
     coder = tokens.ids(path)
     for b in slices(batches):
         docs = b.column("doc_id").to_pylist()
         raw = coder.encode([t or "" for t in b.column("text").to_pylist()])
         keys = curve_keys([np.frombuffer(r, coder.kind) for r in raw])
-        pid = [bisect.bisect_right(bounds, (int(k), -(1 << 63) if d is None else d)) for k, d in zip(keys, docs)]
-        yield batch(_ROW, pid, keys, docs, raw)
+        places = zip(keys.tolist(), docs, b.column("m").to_pylist())
+        pid = [bisect.bisect_right(ranges, (k, -(1 << 63) if d is None else d, m)) for k, d, m in places]
+        yield batch(_ROW, pid, keys, docs, b.column("m"), raw)
 
 
 def _pack(batches, path: str, end: int, length: int):
@@ -139,27 +140,23 @@ def _pack(batches, path: str, end: int, length: int):
         yield batch(_PIECE, *zip(*out))
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = 1024, per_partition: int = 40) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = 1024) -> DataFrame:
     """Pieces of documents in sequences of at most ``length`` ids, a power of two.
 
     vocabulary: a file of the tokenizers library. end_id: appended to each document.
-    Ranges of the curve come from the keys of about ``per_partition`` documents a
-    partition, chosen by a hash of doc_id; every document is then packed. Equal keys (of
-    equal texts) are cut by doc_id. The ids, at two bytes each, are shuffled once.
+    Bounds of the curve's ranges come from the keys of a sample; every document is then
+    packed. The number of ranges follows the data, and equal keys (of equal texts) are cut
+    by doc_id and place in the input. The ids, at two bytes each, are shuffled once.
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    n = partitions(spark)
-    share = min(1.0, per_partition * n / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < ceil(share * (1 << 20)))
-    schema = "pid int, key bigint, doc_id bigint, ids binary"
-    seen = some.mapInArrow(partial(_encode, path=vocabulary, bounds=[]), schema).select("key", F.coalesce("doc_id", F.lit(-(1 << 63))), F.length("ids")).limit(2 * per_partition * n + 100).collect()
-    seen.sort()
-    weight = np.cumsum([r[2] + 2 for r in seen]) if seen else np.zeros(0)
-    cuts = np.searchsorted(weight, np.arange(1, n) * (weight[-1] / n)) if seen else []
-    bounds = sorted({(seen[i][0], seen[i][1]) for i in cuts})
-    rows = docs.mapInArrow(partial(_encode, path=vocabulary, bounds=bounds), schema)
-    rows = rows.repartitionById(len(bounds) + 1, F.col("pid")).sortWithinPartitions("key", "doc_id", "ids")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.monotonically_increasing_id().alias("m"))
+    schema = "pid int, key bigint, doc_id bigint, m bigint, ids binary"
+    n, some = sampled(docs)
+    size = F.length("ids").alias("size")
+    seen = some.mapInArrow(partial(_encode, path=vocabulary, ranges=[]), schema).select("key", F.coalesce("doc_id", F.lit(-(1 << 63))), "m", size).collect()
+    ranges = bounds(spark, n, list(map(tuple, seen)))
+    rows = docs.mapInArrow(partial(_encode, path=vocabulary, ranges=ranges), schema).drop("m")
+    rows = rows.repartitionById(len(ranges) + 1, F.col("pid")).sortWithinPartitions("key", "doc_id", "ids")
     return rows.mapInArrow(partial(_pack, path=vocabulary, end=end_id, length=length), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

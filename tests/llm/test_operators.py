@@ -262,7 +262,12 @@ def encoded(name, text, end):
     return [*tokenizer(name).encode(text or "", add_special_tokens=False).ids, end]
 
 
-def test_packing_round_trip(spark, docs, empty):
+@pytest.mark.parametrize("small", [False, True])
+def test_packing_round_trip(spark, docs, empty, monkeypatch, small):
+    from relquarry.llm import common
+
+    if small:
+        monkeypatch.setattr(common, "RANGE_BYTES", 2000)
     got = packing.pack(docs, vocabulary("byte_bpe_50k.json"), 0, 64).collect()
     want = {}
     for d, t in corpus():
@@ -396,12 +401,20 @@ def test_elias_fano():
     rng = np.random.default_rng(10)
     for v in (np.array([], np.uint64), np.array([0]), np.array([0, 0, 0]), np.sort(rng.integers(0, 10**7, 3000)), np.arange(700), np.array([5, 1 << 40])):
         e = token_output.EliasFano.from_bytes(memoryview(token_output.EliasFano.of(v).to_bytes()))
-        assert e.all().tolist() == v.tolist() and [e.select(i) for i in range(len(v))] == v.tolist()
+        assert e.run(0, len(v)).tolist() == v.tolist() and [e.select(i) for i in range(len(v))] == v.tolist()
+        for i, j in ((1, 2), (3, 300), (255, 258), (256, 600)):
+            assert e.run(min(i, len(v)), min(j, len(v))).tolist() == v[i:j].tolist()
     v = np.sort(rng.integers(0, 1 << 30, 100_000))
     assert len(token_output.EliasFano.of(v).to_bytes()) * 8 < len(v) * (2 + np.log2((1 << 30) / len(v)) + 1)
 
 
-def test_token_files_round_trip(spark, docs, empty, tmp_path):
+@pytest.mark.parametrize("small", [False, True])
+def test_token_files_round_trip(spark, docs, empty, tmp_path, monkeypatch, small):
+    from relquarry.llm import common
+
+    if small:  # many ranges and runs; the workers' own limits stay
+        monkeypatch.setattr(common, "RANGE_BYTES", 2000)
+        monkeypatch.setattr(token_output, "READ_IDS", 100)
     path = vocabulary("word_bpe_49k.json")
     manifest = token_output.write_tokens(docs, path, f"file://{tmp_path}/t", 2)
     rows = sorted(((d, encoded("word_bpe_49k.json", t, 2)) for d, t in corpus()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
@@ -417,12 +430,30 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
             assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(data.tobytes()))
         at += r.n_tokens
     assert at == sum(f["ids"] for f in manifest["files"])
-    t = token_output.TokenFile((tmp_path / "t" / manifest["files"][-1]["name"]).read_bytes())
+    t = token_output.TokenFile.of((tmp_path / "t" / manifest["files"][-1]["name"]).read_bytes())
     assert t.doc_id(len(t) - 1) == rows[-1][0] and t.ids(len(t) - 1).tolist() == rows[-1][1]
     token_output.write_tokens(empty, path, f"file://{tmp_path}/e", 2)
     assert token_output.read_tokens(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_token_files_roll_over(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_output, "FILE_IDS", 40)
+    monkeypatch.setattr(token_output, "FILE_DOCS", 3)
+    monkeypatch.setattr(token_output, "READ_IDS", 8)
+    path, rng = vocabulary("word_bpe_49k.json"), np.random.default_rng(2)
+    ids = [rng.integers(3, 40_000, n).astype("<u2").tobytes() for n in (5, 0, 70, 1, 2, 3, 30, 30, 1)]
+    docs = [None, None, -(1 << 62), -3, 0, 0, 7, 1 << 62, 1 << 62]
+    parts = [pa.RecordBatch.from_pydict({"pid": [4] * 9, "doc_id": pa.array(docs, pa.int64()), "ids": ids})]
+    files = [r for b in token_output._write(parts, path, 2, f"file://{tmp_path}") for r in b.to_pylist()]
+    assert [(f["part"], f["no"], f["n_docs"]) for f in files] == [(4, 0, 3), (4, 1, 3), (4, 2, 2), (4, 3, 1)]
+    asked = pa.RecordBatch.from_pydict({"name": [f["name"] for f in files], "base": [0, 78, 87, 149], "first": [0] * 4, "last": [f["n_docs"] for f in files]})
+    got = [r for b in token_output._read([asked], f"file://{tmp_path}", True) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in got] == docs and [r["ids"] for r in got] == [i + b"\x02\x00" for i in ids]
+    assert [r["start"] for r in got] == np.cumsum([0, *(len(i) // 2 + 1 for i in ids)]).tolist()[:-1]
+
+
 def test_cached_pieces_equal_the_library():
     rng = random.Random(11)
     signs = " \n\t'aZ09_-é½ßsÀ —.\x1f\xad‘’ŉİſ日🙂́<|"
