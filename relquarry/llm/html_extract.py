@@ -3,13 +3,16 @@
 A page becomes a sequence of text runs and tags. A run's words score positive, by the
 weight of the context that it stands in; tags score negative. The contiguous part with
 the largest sum, found in one scan, is the content region; its text is returned without
-the parts that are never content (menus, adverts, forms, scripts and the like, of which
-some lie inside articles; these score nothing there).
+the parts that are never content (menus, adverts, forms, scripts and the like). The words
+of such parts score nothing, and their tags nothing inside an article or main part, so
+that a box which is taken out anyway doesn't split the region.
 
 Weights are log odds from labelled pages: pages whose words are marked as content or not.
 ``LABELLED`` makes some from templates, with the page parts that sites use; a caller may
 fit weights on others with ``fit``. A context is the innermost element that says what
-its content is for: by its tag, its role, or words in its class or id.
+its content is for: by its tag, its role, or a name in its class or id. A name of several
+parts (``site-footer``) counts only where every part is a listed word. A header inside an
+article or main part is its own, with its title, and belongs to it.
 
 Defined results. Null or empty page, or one without content: empty text. Cut-off pages:
 what is there. Blocks join by one line feed, white space inside a block is one space,
@@ -42,21 +45,39 @@ PARTS = {"nav": "menu", "menu": "menu", "header": "head", "footer": "foot", "asi
 _WORDS = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs skip topbar",
     "head": "header masthead banner logo branding",
-    "foot": "footer copyright colophon legal bottom",
-    "side": "sidebar aside related recommended widget trending popular more rail promo",
+    "foot": "footer copyright colophon",
+    "side": "sidebar aside related recommended widget trending popular promo",
     "notice": "cookie cookies consent gdpr notice popup modal overlay alert toast newsletter subscribe paywall signup",
     "ad": "ad ads advert adverts advertisement advertising sponsor sponsored sponsors banner-ad adsense dfp",
     "form": "form search login share sharing social",
-    "comments": "comment comments disqus respond replies discussion responses",
-    "article": "article post-content entry-content post-body article-body story content-body",
+    "comments": "comment comments disqus respond replies",
+    "article": "article post-content entry-content post-body article-body content-body",
     "main": "content main",
 }
 HINT = {w: k for k, ws in _WORDS.items() for w in ws.split()}
+#: Words that say nothing by themselves in a name of several parts.
+_PLAIN = set("site page global primary secondary top bottom left right upper lower inner outer container wrapper wrap box block bar section area list item items links link slot unit group panel region row col column post entry blog news reader user the js main content article story button buttons icons media inline sticky fixed mobile desktop small large new first last".split())
+_OWN = {"post", "entry", "article", "story", "content"}
 _ROLES = {"navigation": "menu", "banner": "head", "contentinfo": "foot", "complementary": "side", "search": "form", "form": "form", "dialog": "notice", "alert": "notice", "main": "main", "article": "article"}
 #: Kinds that stay out even inside the region.
 NEVER = {"menu", "head", "foot", "side", "notice", "ad", "form", "comments", "meta"}
 
 
+def _named(name: str) -> str | None:
+    """What a class or id says."""
+    if kind := HINT.get(name):
+        return kind
+    parts = re.split(r"[-_]+", name)
+    if len(parts) == 1:
+        return None
+    parts = [p for p in parts if p and not p.isdigit()]
+    kinds = [HINT[p] for p in parts if p in HINT]
+    if not kinds or not all(p in HINT or p in _PLAIN for p in parts):
+        return None
+    out = next((k for k in kinds if k in NEVER), kinds[0])
+    return None if out == "head" and not _OWN.isdisjoint(parts) else out
+
+
 def kind_of(tag: str, markup: str) -> str | None:
     """What an element says that it holds."""
     if " " in markup or "\n" in markup or "\t" in markup:
@@ -69,24 +90,31 @@ def kind_of(tag: str, markup: str) -> str | None:
                     return _ROLES[value]
             elif tag not in ("body", "html"):
                 for w in value.split():
-                    k = HINT.get(w)
-                    if k is None:
-                        k = next((HINT[x] for x in re.split(r"[-_]+", w) if HINT.get(x) in NEVER), None)
-                    if k:
+                    if k := _named(w):
                         return k
     return PARTS.get(tag)
 
 
 class Weights:
-    """word: points for a word by context; tag: points for a tag."""
+    """word: points for a word by context; tag: points for a tag; inner: for one inside an article or main part, so that tables and pictures there outweigh no words."""
 
-    def __init__(self, word: dict[str, float], tag: float):
-        self.word, self.tag = word, tag
+    def __init__(self, word: dict[str, float], tag: float, inner: float = -1e-6):
+        self.word, self.tag, self.inner = word, tag, inner
 
 
 def runs(html: str):
     """Text runs and tags in page order: (context, text or None for a tag, whether a block ends before it, whether it is of a box inside an article or main part)."""
     stack: list[tuple[str, str, bool]] = []
+    places: dict[str, list[int]] = {}  # of the open elements of a name in the stack
+
+    def close(k: int) -> tuple[str, bool]:
+        """Context before the element at k, which ends with all that it holds."""
+        before = stack[k][1:]
+        for name, _, _ in stack[k:]:
+            places[name].pop()
+        del stack[k:]
+        return before
+
     context, boxed, at, n, low = "page", False, 0, len(html), None
     new_block = True
     while at < n:
@@ -108,32 +136,32 @@ def runs(html: str):
         own = None
         if token[1] != "/" and tag not in VOID and tag not in RAW and not token.endswith("/>"):
             own = kind_of(tag, token)
+            if own == "head" and context in ("article", "main"):
+                own = None
         # a box's first tag is of the box
         yield context, None, tag in BLOCK, boxed or own in NEVER and context in ("article", "main")
         new_block = new_block or tag in BLOCK
         if tag == "br":
             yield context, " ", False, boxed
         if token[1] == "/":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    context, boxed = stack[k][1:]
-                    del stack[k:]
-                    break
+            if places.get(tag):
+                context, boxed = close(places[tag][-1])
         elif tag in RAW and not token.endswith("/>"):
             low = low if low is not None else html.lower()
             end = low.find("</" + tag, at)
-            if end < 0:
+            if end >= 0:
+                at = end
+            elif tag not in ("svg", "math", "object", "canvas"):
                 return
-            at = end
         elif tag not in VOID and not token.endswith("/>"):
             if tag in ("p", "li", "dd", "dt", "option", "tr", "td", "th"):  # these end their like by themselves
                 for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
                     if stack[k][0] == tag:
-                        context, boxed = stack[k][1:]
-                        del stack[k:]
+                        context, boxed = close(k)
                         break
                     if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "blockquote"):
                         break
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, context, boxed))
             # what is never content stays so in all that it holds
             if own and (context not in NEVER):
@@ -149,29 +177,33 @@ def _settled(html: str):
     return found
 
 
-def main_text(html: str | None, weights: Weights) -> str:
-    """Blocks of the best region, one line each."""
+def best_region(gains: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous part with the largest positive sum, the first of equal ones; (0, 0) if there is none."""
     best = total = 0.0
     start = first = last = 0
-    texts: list[tuple[str, str, bool]] = []
-    for context, text, block, boxed in _settled(html or ""):
-        if text is None:
-            gain = weights.tag
-            texts.append((context, "", block))
-        else:
-            words = len(text.split())
-            gain = weights.word.get(context, 0.0) * words
-            texts.append((context, text, block))
-        if boxed:  # it is stripped anyway, so that it must not split the region
-            gain = 0.0
+    for i, gain in enumerate(gains):
         if total <= 0:
-            total, start = 0.0, len(texts) - 1
+            total, start = 0.0, i
         total += gain
         if total > best:
-            best, first, last = total, start, len(texts)
+            best, first, last = total, start, i + 1
+    return first, last
+
+
+def main_text(html: str | None, weights: Weights) -> str:
+    """Blocks of the best region, one line each."""
+    found = _settled(html or "")
+    word, tag = weights.word, {"article": weights.inner, "main": weights.inner}
+
+    def gain(context: str, text: str | None, boxed: bool) -> float:
+        if boxed or text is not None and context in NEVER:
+            return 0.0
+        return tag.get(context, weights.tag) if text is None else word.get(context, 0.0) * len(text.split())
+
+    first, last = best_region([gain(c, t, boxed) for c, t, _, boxed in found])
     blocks: list[str] = []
     now: list[str] = []
-    for context, text, block in texts[first:last]:
+    for context, text, block, _ in found[first:last]:
         if block and now:
             blocks.append("".join(now))
             now = []

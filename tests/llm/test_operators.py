@@ -129,6 +129,60 @@ def test_html_extract(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_region_is_the_best_of_all():
+    rng = random.Random(13)
+    for _ in range(300):
+        g = [rng.choice([-3, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(rng.randint(0, 14))]
+        i, j = html_extract.best_region(g)
+        best = max((sum(g[a:b]) for a in range(len(g)) for b in range(a + 1, len(g) + 1)), default=0)
+        assert sum(g[i:j]) == max(best, 0)
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>", "<main><article>%s</article></main>", '<div class="post-content">%s</div>', "<div>%s</div>"])
+def test_html_keeps_the_whole_article(wrap):
+    w = html_extract.default_weights()
+    said = lambda x, n: " ".join(f"{x}{k}" for k in range(n))
+    page = "<html><head><title>t</title></head><body><nav><a>m</a> <a>n</a></nav>" + wrap + "<footer>f f f</footer></body></html>"
+    title, short, end = "Title here", said("s", 6), said("e", 60)
+    for box in (f'<div class=ad>{said("a", 80)}</div>', f'<div class="share">{said("b", 50)}</div>', f"<form>{said('c', 90)}</form>", f'<div id="related-links">{said("d", 70)}</div>'):
+        for body, want in (
+            (f"<h1>{title}</h1><p>{short}</p>{box}<p>{end}</p>", [title, short, end]),
+            (f"<h1>{title}</h1><p>{end}</p>{box}<p>{short}</p>", [title, end, short]),
+        ):
+            assert html_extract.main_text(page % body, w).split("\n") == want, (box, wrap)
+    for name in ("social-history", "story", "commentary", "searching", "advertising-history-of-france", "discussion", "more", "menu-of-the-day"):
+        body = f'<h1>{title}</h1><p>{end}</p><div class="{name}"><p>{short}</p></div>'
+        assert html_extract.main_text(page % body, w).split("\n") == [title, end, short], name
+    for name in ("site-footer", "cookie-banner", "main-nav", "post-comments", "ad-slot-1", "newsletter_signup"):
+        body = f'<h1>{title}</h1><p>{end}</p><div class="{name}"><p>{short}</p></div>'
+        assert html_extract.main_text(page % body, w).split("\n") == [title, end], name
+
+
+def test_html_article_header_and_depth():
+    w = html_extract.default_weights()
+    body = "<header><h1>Title of it</h1></header><p>" + "word " * 30 + "</p>"
+    for page in (f"<body><header>Site name</header><article>{body}</article></body>", f"<body><header>Site name</header><main>{body}</main></body>", f'<body><header>Site name</header><article>{body.replace("<header>", chr(60) + "header class=entry-header>")}</article></body>'):
+        assert html_extract.main_text(page, w).split("\n")[0] == "Title of it"
+    import time
+
+    spent = []
+    for n in (4000, 32000):
+        start = time.process_time()
+        assert html_extract.main_text("<article>" + "<b>" * n + "text " * 4 * n + "</i>" * n + "<p>end of it</article>", w).endswith("end of it")
+        spent.append(time.process_time() - start)
+    assert spent[1] < 24 * spent[0]  # eight times the page; a walk over the stack would take 64 times
+
+
+def test_html_accuracy_on_held_out_templates():
+    """Words right on templates that weights were not fitted on."""
+    pages = list(html_extract.labelled())
+    for fold in range(3):
+        w = html_extract.fit([p for i, p in enumerate(pages) if i % 3 != fold])
+        for html, words_ in pages[fold::3]:
+            got = html_extract.main_text(html, w).split()
+            assert len(words_ - set(got)) == 0 and sum(g not in words_ for g in got) <= 2
+
+
 def test_html_weights_sign():
     w = html_extract.default_weights()
     assert w.tag < 0 < w.word["article"] and all(w.word[k] < 0 for k in html_extract.NEVER if k != "meta")
