@@ -4,10 +4,13 @@ A line's class is found on its normal form: lower case, white space as single sp
 1. Every document is scanned once. A line becomes a 64-bit hash of its normal form (equal
    lines are one from here on) and, where it has WORTH characters or more, BANDS band keys
    of ROWS MinHash values each over its SHINGLE-character shingles.
-2. Lines that share a band key are candidates. A key's lines are first paired with its
-   smallest line only; pairs among the others follow only where verification left them in
-   different classes. So a key with many similar lines costs a pair for each, and no
-   similar pair stays uncompared.
+2. Lines that share a band key are candidates. A key's lines are paired with its smallest
+   line only. Lines of keys that verification left in different classes then meet by an
+   exact prefix join: their shingles in one order, the rarest first, and two lines at the
+   threshold share one of the first ninth of the smaller's and the first fifth of the
+   larger's, at places that leave room for the overlap. So a key with many similar lines
+   costs a pair for each, one with many lines that share a common part but aren't similar
+   costs their rare shingles, and no similar pair stays uncompared.
 3. Pairs are verified by the exact Jaccard index of their shingle sets, at THRESHOLD. Before
    that, pairs go of which so few of VALUES MinHash values agree as 7 in 10,000 pairs do at
    the threshold. Only candidate lines move.
@@ -27,16 +30,19 @@ from __future__ import annotations
 
 import re
 from functools import partial
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, keep, partitions, prepare, slices
+from .common import batch, keep, prepare, slices
 from .components import components
 
 SHINGLE, ROWS, BANDS, THRESHOLD, WORTH, SEEN = 8, 4, 9, 0.8, 8, 200_000  # WORTH: SHINGLE, so that all lines with a shingle have bands
+#: Places of the table that orders shingles by frequency; lines of a shingle that one join task holds.
+PLACES, HOT = 1 << 20, 2000
 #: MinHash values, of a byte each, that are compared before texts are.
 VALUES = 128
 _LINE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line_no", pa.int32()), ("h", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -242,6 +248,57 @@ def _verify(batches, threshold: float):
         yield batch(_PAIR, [a[i] for i in good], [c[i] for i in good])
 
 
+def _ordered(form: str, counts: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of a form's distinct shingles, the rarest first; any order that all lines share gives the same pairs. Equal hashes of unequal shingles only cost a comparison."""
+    from xxhash import xxh64_intdigest
+
+    h = np.unique(np.array([xxh64_intdigest(x) for x in shingles(form)], np.uint64))
+    return h if counts is None else h[np.lexsort((h, counts[h & np.uint64(PLACES - 1)]))]
+
+
+def _count(batches):
+    total = np.zeros(PLACES, np.int64)
+    for b in batches:
+        for form in b.column("line").to_pylist():
+            np.add.at(total, _ordered(form) & np.uint64(PLACES - 1), 1)
+    at = np.flatnonzero(total)
+    yield batch(pa.schema([("place", pa.int32()), ("n", pa.int64())]), at.astype(np.int32), total[at])
+
+
+_PREFIX = pa.schema([("token", pa.int64()), ("h", pa.int64()), ("top", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("first", pa.bool_())])
+
+
+def _prefixes(batches, counts: np.ndarray, threshold: float):
+    """The shingles that a line's partners may be found by: (token, h, top, size, place, whether it will do for a larger partner)."""
+    for b in slices(batches, "line"):
+        out = []
+        for h, top, form in zip(*(b.column(c).to_pylist() for c in ("h", "top", "line"))):
+            s = _ordered(form, counts).view(np.int64)
+            n = len(s)
+            wide = n - ceil(threshold * n - 1e-9) + 1
+            narrow = n - ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1
+            out += [(t, h, top, n, i, i < narrow) for i, t in enumerate(s[:wide].tolist())]
+        if out:
+            yield batch(_PREFIX, *zip(*out))
+
+
+def prefix_pairs(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a < b of all pairs of lines (h, top, line; of a shingle and more) of different ``top`` that may have the threshold."""
+    spark = lines.sparkSession
+    rows = lines.mapInArrow(_count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(PLACES, np.int64)
+    counts[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    table = spark.sparkContext.broadcast(counts)
+    rows = keep(lines.mapInArrow(lambda batches: _prefixes(batches, table.value, threshold), "token bigint, h bigint, top bigint, size int, at int, first boolean"))
+    hot = rows.where("first").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("token", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    rows = rows.join(hot, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    small = rows.where("first").withColumn("part", F.expr("pmod(h, parts)"))
+    large = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    room = f"least(p.size - p.at, q.size - q.at) >= {threshold / (1 + threshold)!r} * (p.size + q.size) - 1e-6"
+    meet = f"p.token = q.token and p.part = q.part and p.top <> q.top and (p.size < q.size or p.size = q.size and p.h < q.h) and p.size >= {threshold!r} * q.size - 1e-6 and {room}"
+    return small.alias("p").join(large.alias("q"), F.expr(meet)).select(F.expr("least(p.h, q.h)").alias("a"), F.expr("greatest(p.h, q.h)").alias("b")).distinct()
+
+
 def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per line that isn't blank: doc_id, text_hash, line_no, first_doc_id, first_line_no (the line of its class that stays), kept."""
     spark = docs.sparkSession
@@ -265,11 +322,12 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     wanted = stars.select(F.explode(F.array("a", "b")).alias("h"))
     n = wanted.agg(F.approx_count_distinct("h")).first()[0]
-    # a bit table of fixed size at most: 32 MB; it only saves work, the join decides
+    # a bit table of fixed size at most: 32 MB, in words of 8 bytes; it only saves work, the join decides
     size = min(1 << 25, max(1 << 10, 1 << (4 * max(n, 1)).bit_length() - 1))
-    rows = wanted.select(F.expr(f"h & {size * 8 - 1}L").alias("bit")).groupBy(F.expr("cast(bit >> 3 as int)").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(size, np.uint8)
+    rows = wanted.select(F.expr(f"h & {size * 8 - 1}L").alias("bit")).groupBy(F.expr("cast(bit >> 6 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(size // 8, "<i8")
     bits[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    bits = bits.view(np.uint8)
     table = spark.sparkContext.broadcast(bits)
     found = docs.mapInArrow(lambda batches: _lines_of(batches, table.value), "h bigint, line string, sig binary")
     texts = keep(found.join(wanted.distinct(), "h", "left_semi").groupBy("h").agg(*[F.first(c).alias(c) for c in ("line", "sig")]))
@@ -279,9 +337,11 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     many = stars.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     member = keep(many.join(stars.select("key", "b"), "key").join(top, "b", "left").select("key", "b", F.coalesce("rb", "b").alias("rb")))
     left = member.groupBy("key").agg(F.min("rb").alias("lo"), F.max("rb").alias("hi")).where("lo <> hi").select("key").join(member, "key")
-    rest = left.alias("p").join(left.alias("q"), F.expr("p.key = q.key and p.b < q.b and p.rb <> q.rb")).select(F.col("p.b").alias("a"), F.col("q.b").alias("b")).distinct()
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
-    top = components(good.union(verified(rest))).withColumnRenamed("node", "h").withColumnRenamed("root", "top")
+    left = keep(left.select(F.col("b").alias("h"), F.col("rb").alias("top")).distinct())
+    if not left.isEmpty():
+        rest = prefix_pairs(left.join(texts.select("h", "line"), "h"), threshold).join(pairs, ["a", "b"], "left_anti")
+        good = good.union(verified(rest))
+    top = components(good).withColumnRenamed("node", "h").withColumnRenamed("root", "top")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l"), F.col("doc_id").alias("doc"))
     own = lines.drop("bands")
     by_hash = keep(own.groupBy("h").agg(F.min(place).alias("place"), F.count("*").alias("n")).join(top, "h", "left"))

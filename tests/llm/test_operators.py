@@ -104,6 +104,40 @@ def test_line_classes_match_brute_force(spark, docs, empty):
     assert line_dedup.deduplicate(empty).count() == 0
 
 
+def test_prefix_pairs_lose_none(spark, monkeypatch):
+    rng = random.Random(15)
+    forms = []
+    for k in range(12):
+        w = words(rng, rng.randint(4, 30))
+        for _ in range(14):
+            v = list(w)
+            for _ in range(rng.randint(0, 3)):
+                v[rng.randrange(len(v))] = rng.choice(words(rng, 3))
+            forms.append(" ".join(v[: rng.randint(max(2, len(v) - 2), len(v))]))
+    forms = [f for f in dict.fromkeys(forms) if len(f) >= line_dedup.SHINGLE]
+    rows = spark.createDataFrame([(i, i, f) for i, f in enumerate(forms)], "h bigint, top bigint, line string")
+    sets = [line_dedup.shingles(f) for f in forms]
+    near = {(i, j) for j in range(len(forms)) for i in range(j) if line_dedup.jaccard(sets[i], sets[j]) >= 0.8}
+    for hot in (2000, 3):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        got = {tuple(r) for r in line_dedup.prefix_pairs(rows, 0.8).collect()}
+        assert near and near <= got
+    same = rows.withColumn("top", rows.h * 0)
+    assert line_dedup.prefix_pairs(same, 0.8).isEmpty()
+
+
+def test_lines_with_a_common_part_cost_their_rare_shingles(spark):
+    """Lines that share band keys by the thousand without being similar: pairs grow with the lines, not with their square."""
+    rng = random.Random(16)
+    name = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(6))
+    pairs = []
+    for n in (1000, 4000):
+        forms = [f"posted by {name()} in the general discussion forum, reply number {rng.randrange(10**7)}" for _ in range(n)]
+        rows = spark.createDataFrame([(i, i, f) for i, f in enumerate(forms)], "h bigint, top bigint, line string")
+        pairs.append(line_dedup.prefix_pairs(rows, 0.8).count())
+    assert pairs[1] < 4000 and pairs[1] <= 40 + 8 * pairs[0]
+
+
 def test_packed_shingles_are_the_shingles():
     for form in ("the cat sat on the cat sat on the mat", "äöü ñandú über alles straße", "exactly8"):
         assert len(line_dedup.packed_shingles(form)) == len(line_dedup.shingles(form))
