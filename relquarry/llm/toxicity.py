@@ -4,8 +4,9 @@
 2. Segments that look obfuscated (look-alike digits and symbols inside words, letters or
    look-alikes spelled with any white space or punctuation between, words parted by
    punctuation, repeated letters) become lattices: each sign may stand for several
-   letters, a repeated letter or a separator may be dropped. A Viterbi search picks the
-   restored string that is likeliest under model and channel.
+   letters, a repeated letter or a separator may be dropped. An exact Viterbi search over
+   the whole segment, without a beam, picks the restored string that is likeliest under
+   model and channel.
 3. Indicators are words and word beginnings whose share of toxic documents, among labelled
    documents that have them, is high beyond chance. Near copies count once: of the
    documents with an indicator, the distinct smallest hashes of word triples are counted.
@@ -76,6 +77,15 @@ def _grams(batches):
     yield batch(_COUNT, at.astype(np.int32), total[at])
 
 
+class _Rows(dict):
+    def __init__(self, log: np.ndarray):
+        self.flat = log.reshape(-1, log.shape[2])
+
+    def __missing__(self, pair: int) -> list[float]:
+        self[pair] = row = self.flat[pair].tolist()
+        return row
+
+
 class CharModel:
     """Log probabilities of a sign after two, smoothed by shorter contexts."""
 
@@ -86,35 +96,53 @@ class CharModel:
         two = c.sum(axis=0)
         two = (two + 20 * one) / (two.sum(axis=1, keepdims=True) + 20)
         self.log = np.log((c + 20 * two[None]) / (c.sum(axis=2, keepdims=True) + 20)).astype(np.float32)
+        #: By the two signs before, as lists, which are faster to look single values up in.
+        self.rows = _Rows(self.log)
 
 
-def decode(segment: str, model: CharModel, beam: int = 48) -> str:
-    """The likeliest letters behind a segment (Viterbi over its lattice); ties: the smaller string."""
-    table = model.log
-    # (last two signs, last letter, whether the last sign was a dropped repeat) -> (log probability, string)
-    states = {(0, 0, "", False): (0.0, "")}
+def decode(segment: str, model: CharModel) -> str:
+    """The likeliest letters behind a segment: an exact Viterbi search over its whole lattice; ties: the smaller string.
+
+    A state is what later costs depend on: the last two signs, the last letter, and
+    whether a repeat was dropped last. Strings are chains of (before, letter).
+    """
+    rows = model.rows
+    states: dict[tuple, tuple[float, tuple | None]] = {(0, 0, "", False): (0.0, None)}
     for c in segment:
-        options = [(x, -0.7) for x in LOOKS[c]] if c in LOOKS else [(c, 0.0)] if c.isalpha() else []
-        after: dict[tuple, tuple[float, str]] = {}
+        options = [(x, -0.7, sign(x)) for x in LOOKS[c]] if c in LOOKS else [(c, 0.0, sign(c))] if c.isalpha() else []
+        droppable = c in LOOKS
+        after: dict[tuple, tuple[float, tuple | None]] = {}
+        get = after.get
 
         def offer(key, p, s):
-            old = after.get(key)
-            if old is None or p > old[0] or (p == old[0] and s < old[1]):
+            old = get(key)
+            if old is None or p > old[0] or (p == old[0] and _string(s) < _string(old[1])):
                 after[key] = (p, s)
 
-        for (a, b, last, dropped), (p, s) in states.items():
+        for key, (p, s) in states.items():
+            a, b, last, dropped = key
+            row = rows[a * SIGNS + b]
             if not options:
                 offer((a, b, last, dropped), p, s)
-                offer((b, 0, "", False), p - 1.0 + float(table[a, b, 0]), s + " ")
-            for letter, cost in options:
-                k = sign(letter)
-                offer((b, k, letter, False), p + cost + float(table[a, b, k]), s + letter)
+                offer((b, 0, "", False), p - 1.0 + row[0], (s, " "))
+            for letter, cost, k in options:
+                offer((b, k, letter, False), p + cost + row[k], (s, letter))
                 if letter == last:
                     offer((a, b, last, True), p + cost - (0.2 if dropped else 2.5), s)
-            if options and c in LOOKS:
-                offer((a, b, last, dropped), p - 12.0, s)
-        states = dict(sorted(after.items(), key=lambda x: -x[1][0])[:beam])
-    return max(((p + float(table[a, b, 0]), s) for (a, b, _, _), (p, s) in states.items()), key=lambda x: (x[0], x[1]))[1]
+            if droppable:
+                offer(key, p - 12.0, s)
+        states = after
+    ends = [(p + rows[a * SIGNS + b][0], s) for (a, b, _, _), (p, s) in states.items()]
+    best = max(p for p, _ in ends)
+    return min(_string(s) for p, s in ends if p == best)
+
+
+def _string(chain: tuple | None) -> str:
+    out = []
+    while chain is not None:
+        chain, letter = chain
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -134,10 +162,9 @@ class Restorer:
         """Words of one token, as they stand and restored."""
         yield from _words(token)
         for m in _ODD.finditer(token):
-            # one sign a gap, so that a word's letters fit into the windows' overlap; signs at the end are punctuation
+            # one sign a gap; signs at the end are punctuation
             s = _gaps(" ", m[0]).rstrip("!|+") if _gap(m[0]) else m[0]
-            for k in range(0, max(1, len(s) - 50), 150):
-                yield from decode(s[k : k + 200], self.model).split()
+            yield from decode(s, self.model).split()
 
 
 def features(word: str):

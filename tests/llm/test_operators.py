@@ -620,6 +620,65 @@ def test_obfuscated_words_reach_the_lattice():
         assert found & {"idiot", "loser", "scum", "stupid"}, hard
 
 
+def every_path(segment, model):
+    """(score, string) of all ways through a segment's lattice."""
+    log = model.log
+    todo = [(0, 0, 0, "", False, 0.0, "")]
+    while todo:
+        i, a, b, last, dropped, p, s = todo.pop()
+        if i == len(segment):
+            yield p + float(log[a, b, 0]), s
+            continue
+        c = segment[i]
+        letters = [(x, -0.7) for x in toxicity.LOOKS.get(c, "")] or ([(c, 0.0)] if c.isalpha() else [])
+        for x, cost in letters:
+            k = toxicity.sign(x)
+            todo.append((i + 1, b, k, x, False, p + cost + float(log[a, b, k]), s + x))
+            if x == last:
+                todo.append((i + 1, a, b, last, True, p + cost - (0.2 if dropped else 2.5), s))
+        if c in toxicity.LOOKS:
+            todo.append((i + 1, a, b, last, dropped, p - 12.0, s))
+        if not letters:
+            todo.append((i + 1, a, b, last, dropped, p, s))
+            todo.append((i + 1, b, 0, "", False, p - 1.0 + float(log[a, b, 0]), s + " "))
+
+
+def test_decode_finds_the_best_of_all_paths():
+    rng = random.Random(17)
+    model = toxicity.CharModel(trigrams("you are an idiot and a loser they are stupid scum of the earth " * 50))
+    for segment in ["1d10t", "l 0 5 e r", "$tup!d", "looooser", "s.c-u m", "ii11ii", "", "!!!", "äß7"] + ["".join(rng.choice("aidot 10!5|.sl6") for _ in range(rng.randint(1, 8))) for _ in range(120)]:
+        paths = list(every_path(segment, model))
+        best = max(p for p, _ in paths)
+        got = toxicity.decode(segment, model)
+        assert max(p for p, s in paths if s == got) == pytest.approx(best, abs=1e-9), segment
+        if sum(p > best - 1e-9 for p, _ in paths) == 1:
+            assert got == max(paths)[1]
+
+
+def test_toxicity_of_long_texts_repeated_rows_and_labels(spark):
+    model = toxicity.CharModel(trigrams("you are an idiot and a loser they are stupid scum of the earth " * 50))
+    letters = "youareanidiotandaloser" * 40
+    spelled = " ".join(letters)
+    found = {w for t in toxicity.Restorer(model).tokens(spelled) for w in toxicity.Restorer(model).words(t)}
+    assert letters in {"".join(toxicity.decode(spelled, model).split())} and any(len(w) > 4 for w in found)
+    rng = random.Random(18)
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 6 == 0
+        w = words(rng, 20)
+        if toxic:
+            w.insert(rng.randrange(20), "grumblox")
+        rows += [(i, " ".join(w))] * (1 + (i % 50 == 0))  # some rows twice
+        labels += [(i, int(toxic), 7, "t")] * (1 + i % 2) + ([(i, 0, 7, "t"), (i, None, 7, "t")] if i % 4 == 0 else [])
+    rows += [(9000, " ".join(words(rng, 150_000)) + " grumblox"), (9000, "kind words"), (9001, " ".join(words(rng, 150_000)))]
+    lab = spark.createDataFrame(labels, "doc_id bigint, toxic int, score int, text string")
+    docs = frame(spark, rows).selectExpr("*", "1 as score", "2 as toxic", "3 as held_out")
+    got = toxicity.score_toxicity(docs, lab).collect()
+    assert len(got) == len(rows) and sum(r.predicted for r in got) == sum("grumblox" in t for _, t in rows)
+    kept = toxicity.drop_toxic(docs, lab)
+    assert kept.columns == docs.columns and kept.count() == sum("grumblox" not in t for _, t in rows)
+
+
 def trigrams(text):
     counts = np.zeros(toxicity.SIGNS**3, np.int64)
     import pyarrow as pa
