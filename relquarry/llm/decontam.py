@@ -12,7 +12,11 @@ Every tile consists of seeds, so that the share of an item's words that shared s
 cover bounds its coverage from above; pairs below the threshold need no tiling, exactly.
 
 Benchmarks of up to MAX_SEEDS seeds (counted first) are broadcast; larger ones are joined
-by a shuffle on the seed. Both give the same rows.
+by a shuffle on the seed. Both give the same rows. There, tiles that cover the threshold
+of n words hold a quarter as many seeds at least, k, so that an item is looked up by all
+its seeds but the k - 1 that most documents have, which are the hot ones; those that are
+hot still are salted. Pairs are then dropped by the bound above, on seeds alone, before
+any text is fetched.
 
 Defined results. Null or empty text, or one of fewer than MIN_MATCH words: not
 contaminated, coverage 0. An item with fewer words than MIN_MATCH: its whole sequence is
@@ -30,7 +34,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, keep, prepare, slices
@@ -213,25 +217,31 @@ def _small(benchmark: DataFrame, max_seeds: int) -> tuple | None:
     return None if size // 2 > max_seeds else tuple(sorted(map(tuple, items.collect())))
 
 
-def _judge(batches, rows: tuple, threshold: float):
-    items = _items(rows)
+def _judge(batches, rows, threshold: float):
+    items = _items(rows.value)
     for b in slices(batches):
         found = [items.judge(t, threshold) for t in b.column("text").to_pylist()]
         yield batch(_OUT, b.column("doc_id"), *zip(*found)) if found else batch(_OUT, *[[]] * 6)
 
 
+#: Bits of the table of item seeds that documents' seeds are held against, and documents of a seed that one task joins.
+BITS, HOT = 1 << 27, 50_000
 _SEEDS = pa.schema([("n", pa.int32()), ("seeds", pa.list_(pa.int64()))])
 
 
-def _seed_hashes(w: list[str], n: int) -> set[int]:
+def _seed_hashes(w: list[str], n: int) -> list[int]:
     """Signed hashes of all runs of n words; equal hashes of unequal runs only cost a judgement."""
     from xxhash import xxh64_intdigest
 
-    return {h - (1 << 64) if h >> 63 else h for h in (xxh64_intdigest(" ".join(w[p : p + n])) for p in range(len(w) - n + 1))}
+    return [h - (1 << 64) if h >> 63 else h for h in (xxh64_intdigest(" ".join(w[p : p + n])) for p in range(len(w) - n + 1))]
 
 
-def _with_seeds(df: DataFrame, *columns: str, lengths: list[int] | None = None) -> DataFrame:
-    """The columns, with n (number of words) and seeds, found by the very words() of the judge. lengths: those of a document's seeds; else an item's own."""
+def _with_seeds(df: DataFrame, *columns: str, lengths: list[int] | None = None, known=None) -> DataFrame:
+    """The columns, with n (number of words) and seeds, found by the very words() of the judge.
+
+    An item has the seed at each of its places. With lengths, those of a document are
+    distinct, and only ones that the table ``known`` may hold.
+    """
 
     def find(batches):
         for b in slices(batches):
@@ -239,7 +249,12 @@ def _with_seeds(df: DataFrame, *columns: str, lengths: list[int] | None = None)
             for t in b.column("text").to_pylist():
                 w = words(t)
                 n.append(len(w))
-                seeds.append(list(set().union(*(_seed_hashes(w, k) for k in lengths or [min(MIN_MATCH, len(w))] if k))))
+                if lengths is None:
+                    seeds.append(_seed_hashes(w, min(MIN_MATCH, len(w))) if w else [])
+                    continue
+                own = np.unique(np.array([h for k in lengths for h in _seed_hashes(w, k)], np.int64))
+                at = own.view(np.uint64) & np.uint64(BITS - 1)
+                seeds.append(own[known.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0])
             made = batch(_SEEDS, n, seeds)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *made.columns], names=[*columns, *_SEEDS.names])
 
@@ -251,6 +266,48 @@ def _digest():
     return F.sha2(F.col("text").cast("string"), 256)
 
 
+def _bit_table(seeds: DataFrame):
+    """Broadcast bits of the seeds, in words of 8 bytes: 16 MB however many there are."""
+    rows = seeds.select(F.expr(f"seed & {BITS - 1}L").alias("bit")).groupBy(F.expr("cast(bit >> 6 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(BITS // 64, "<i8")
+    bits[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return seeds.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+
+def _covered(batches, threshold: float):
+    """Pairs of which shared seeds cover the threshold of the item."""
+    for b in batches:
+        ok = []
+        for n, own, seeds in zip(b.column("n").to_pylist(), b.column("own"), b.column("seeds")):
+            at = np.flatnonzero(np.isin(own.values.to_numpy(), seeds.values.to_numpy()))
+            covered = np.zeros(n + MIN_MATCH, bool)
+            for k in range(min(MIN_MATCH, n)):
+                covered[at + k] = True
+            ok.append(int(covered.sum()) >= threshold * n)
+        yield b.select(["row", "item_id", "k"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _candidates(rows: DataFrame, item: DataFrame, threshold: float) -> DataFrame:
+    """row, item_id, k of texts and items of which shared seeds cover the threshold."""
+    item_seeds = keep(_with_seeds(item, "item_id", "k").where("n > 0"))
+    placed = item_seeds.select("item_id", "k", "n", F.explode("seeds").alias("seed"))
+    # an item of fewer words than a match has its whole sequence as its seed; at most MIN_MATCH - 1 lengths
+    short = [r[0] for r in item_seeds.where(f"n < {MIN_MATCH}").select("n").distinct().collect()]
+    of_doc = keep(_with_seeds(rows, "row", lengths=[MIN_MATCH, *short], known=_bit_table(placed)).where("size(seeds) > 0").select("row", "seeds"))
+    each = of_doc.select("row", F.explode("seeds").alias("seed"))
+    df = each.join(placed.select("seed").distinct(), "seed", "left_semi").groupBy("seed").agg(F.count("*").alias("df"))
+    placed = placed.join(df, "seed", "left")
+    common = F.row_number().over(Window.partitionBy("item_id", "k").orderBy(F.col("df").desc_nulls_last(), "seed"))
+    needed = F.when(F.col("n") < MIN_MATCH, 1).otherwise(F.greatest(F.lit(1), F.ceil(threshold * F.col("n") / MIN_MATCH - 1e-9)))
+    asked = placed.withColumn("common", common).where(F.col("df").isNotNull() & (F.col("common") >= needed)).select("seed", "item_id", "k", F.ceil(F.col("df") / HOT).cast("int").alias("parts")).distinct()
+    parts = keep(asked.select("seed", "parts").distinct())
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    each = each.join(parts, "seed").select("row", "seed", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"))
+    pairs = each.join(asked, ["seed", "part"]).select("row", "item_id", "k").distinct()
+    full = pairs.join(of_doc, "row").join(item_seeds.select("item_id", "k", "n", F.col("seeds").alias("own")), ["item_id", "k"])
+    return full.select("row", "item_id", "k", "n", "own", "seeds").mapInArrow(lambda batches: _covered(batches, threshold), "row string, item_id bigint, k bigint")
+
+
 def _joined(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
     """row, and the judgement, of every distinct text where the benchmark is too large to broadcast: texts meet their items by a shuffle on the seed.
 
@@ -260,11 +317,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFram
     rows = docs.where("text is not null").groupBy(_digest().alias("row")).agg(F.first("text").alias("text"))
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null")
     item = items.where("text is not null").select("item_id", "text", F.xxhash64("text").alias("k")).distinct()
-    item_seeds = keep(_with_seeds(item, "item_id", "k"))
-    # an item of fewer words than a match has its whole sequence as its seed; at most MIN_MATCH - 1 lengths
-    short = [r[0] for r in item_seeds.where(f"n between 1 and {MIN_MATCH - 1}").select("n").distinct().collect()]
-    of_doc = _with_seeds(rows, "row", lengths=[MIN_MATCH, *short]).select("row", F.explode("seeds").alias("seed"))
-    pairs = of_doc.join(item_seeds.select("item_id", "k", F.explode("seeds").alias("seed")), "seed").select("row", "item_id", "k").distinct()
+    pairs = keep(_candidates(rows, item, threshold))
     full = rows.join(pairs.join(item.withColumnRenamed("text", "item_text"), ["item_id", "k"]), "row", "left")
 
     def judge(batches):
@@ -280,26 +333,30 @@ def _joined(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFram
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_seeds: int = MAX_SEEDS) -> DataFrame:
     """doc_id, contaminated, item_id and coverage of the best item, n_items at the threshold, n_tiles of the best, of every document."""
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = _small(benchmark, max_seeds)
     if rows is None:
         found = docs.select("doc_id", _digest().alias("row")).join(_joined(docs, benchmark, threshold), "row", "left")
         none = {"contaminated": False, "coverage": 0.0, "n_items": 0, "n_tiles": 0}  # null texts
         return found.select(*[F.coalesce(c, F.lit(none[c])).alias(c) if c in none else c for c in _OUT.names])
+    rows = spark.sparkContext.broadcast(rows)
     return docs.mapInArrow(lambda batches: _judge(batches, rows, threshold), "doc_id bigint, contaminated boolean, item_id bigint, coverage double, n_items bigint, n_tiles bigint")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_seeds: int = MAX_SEEDS) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     items = _small(benchmark, max_seeds)
     if items is None:
         bad = _joined(docs, benchmark, threshold).where("contaminated").select(F.col("row").alias("__row"))
         return docs.join(bad, _digest() == F.col("__row"), "left_anti")
+    items = spark.sparkContext.broadcast(items)
 
     def clean(batches):
-        found = _items(items)
+        found = _items(items.value)
         for b in slices(batches):
             yield b.filter(pa.array([not found.judge(t, threshold)[0] for t in b.column("text").to_pylist()], pa.bool_()))
 

@@ -594,19 +594,32 @@ def test_boxes_inside_an_article_do_not_split_it():
         assert html_extract.main_text(page % (tag, tag), html_extract.default_weights()) == "\n".join((title, body, end))
 
 
-def test_decontamination_is_the_same_for_small_and_large_benchmarks(spark):
+@pytest.mark.parametrize("hot", [50_000, 2])
+def test_decontamination_is_the_same_for_small_and_large_benchmarks(spark, monkeypatch, hot):
+    monkeypatch.setattr(decontam, "HOT", hot)
     a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
     marks = "nai\u0308ve cafe\u0301 \u0130stanbul x\u00b2 \u2160\u2161 a\u200db \u0915\u094d\u0937 end"  # combining marks, and letters and digits that Java and Python tell apart
     items = [(1, a), (1, b), (1, b), (2, marks), (3, c), (3, c + " " + a), (4, "tiny it\u0301em"), (4, "tiny one")]
     rows = [(None, "x " + a), (None, "clean words here"), (None, None), (7, "y " + b + " y"), (7, "clean seven of seven"), (8, "z " + marks + " z"), (9, c + " " + a), (10, "a tiny it\u0301em of"), (11, "a tiny one"), (7, "y " + b + " y"), (12, "")]
+    rng = random.Random(19)  # items and documents with a common beginning, mixed passages, repeats within an item
+    lead = "which of the following is true about"
+    for k in range(12):
+        items.append((20 + k, lead + " " + " ".join(f"q{k}x{rng.randrange(12)}" for _ in range(30))))
+        w = items[-1][1].split()
+        rows += [(100 + k, " ".join(w[rng.randrange(20) :] + w[: rng.randrange(20)] + ["pad"] * 9)), (200 + k, lead + " " + " ".join(f"z{rng.randrange(99)}" for _ in range(30)))]
+    items.append((50, "again and again and " * 8))
+    rows += [(300, "so again and again and so"), (301, "again and again and again and again and " * 3)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     docs = frame(spark, rows).repartition(3)
+    clean = {(r.doc_id, t) for (r, t) in zip(decontam.decontaminate(frame(spark, rows).coalesce(1), bench).collect(), [t for _, t in rows]) if not r.contaminated}
+    assert 12 < len(clean) < len(rows) - 12
     small, large = (sorted((tuple(r) for r in decontam.decontaminate(docs, bench, max_seeds=m).collect()), key=repr) for m in (decontam.MAX_SEEDS, 1))
     assert small == large and len(small) == len(rows)
     for m in (decontam.MAX_SEEDS, 1):
         kept = decontam.drop_contaminated(docs, bench, max_seeds=m)
         assert kept.columns == docs.columns
-        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(None, "clean words here"), (None, None), (7, "clean seven of seven"), (12, "")], key=repr)
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(clean, key=repr)
+    assert clean >= {(None, "clean words here"), (None, None), (7, "clean seven of seven"), (12, "")} and not clean & {rows[0], rows[3], rows[5], rows[6], rows[7], rows[8]}
 
 
 HARD = ["l o $ e r", "i d ! o t", "i.d.!.o.t", "i/d/i/o/t", "i,d,i,o,t", "i~d~i~o~t", "i  d  i  o  t", "i\nd\n\ni\no\nt", "id-iot", "sc.um", "iddiioott", "$ t u p i d", "s t u p ! d", "i - d  !,o\tt", "s / c / u / m", "1d-i0t"]
