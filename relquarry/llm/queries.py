@@ -80,7 +80,34 @@ _FITS = " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'"
     for v, h, p in sorted(URL_RULES, key=lambda r: (-r[1].count("."), -len(r[2])))
 )
+#: The CRC-32 of each byte, and that of a text's UTF-8 bytes.
+_CRC = [k for k in range(256)]
+for _ in range(8):
+    _CRC = [(x >> 1) ^ (0xEDB88320 if x & 1 else 0) for x in _CRC]
+_CRC32 = f"""xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+                  lambda c, b: xor(c >> 8, list_extract({_CRC}::BIGINT[], (xor(c, b) & 255) + 1))), 4294967295)"""
 ORACLE: dict[str, str] = {
+    # pre: groups with the bytes up to their end; search: a step fills one shard at the middle capacity; cut: the eight shards at the capacity found
+    "op7_sharding": f"""
+        WITH RECURSIVE doc AS (SELECT doc_id, text, coalesce(strlen(text), 0) + 1 AS size, coalesce(CAST('0x' || left(md5(text), 15) AS BIGINT), 0) AS h FROM documents),
+        sums AS (SELECT h, CAST(sum(size) AS BIGINT) AS s FROM doc GROUP BY h),
+        pre AS (SELECT h, s, CAST(sum(s) OVER (ORDER BY h) AS BIGINT) AS e FROM sums),
+        whole AS (SELECT max(e) AS total, greatest(max(s), (max(e) + 7) // 8) AS low FROM pre),
+        search(lo, hi, k, pos) AS (
+            SELECT low, total, 0, 0::BIGINT FROM whole
+            UNION ALL
+            SELECT CASE WHEN nxt < total AND k = 7 THEN mid + 1 ELSE lo END, CASE WHEN nxt >= total THEN mid ELSE hi END,
+                   CASE WHEN nxt >= total OR k = 7 THEN 0 ELSE k + 1 END, CASE WHEN nxt >= total OR k = 7 THEN 0 ELSE nxt END
+            FROM (SELECT lo, hi, k, (lo + hi) // 2 AS mid, (SELECT max(e) FROM pre WHERE e <= pos + (lo + hi) // 2) AS nxt FROM search WHERE lo < hi), whole),
+        cut(k, pos) AS (
+            SELECT 0, 0::BIGINT
+            UNION ALL
+            SELECT k + 1, (SELECT max(e) FROM pre WHERE e <= pos + (SELECT min(lo) FROM search WHERE lo >= hi)) FROM cut WHERE k < 7),
+        placed AS (SELECT doc_id, size, {_CRC32} AS text_crc32, CAST((SELECT count(*) FROM cut WHERE k > 0 AND cut.pos <= pre.e - pre.s) AS INT) AS shard FROM doc JOIN pre USING (h))
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+               row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard
+        FROM placed
+    """,
     "op9_url_filter": f"""
         WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         p AS (SELECT page_id, {_HOST} AS host, regexp_replace(regexp_extract(rest, '^[^?#]*'), '^[^/]*', '') AS path FROM u),

@@ -1,136 +1,152 @@
 """Shards of nearly equal bytes that never part equal texts.
 
-Rows of equal text form a group. Groups are ordered by the 64-bit hash of the text, and
-the order is cut into contiguous runs so that the largest run is as small as it can be:
-a binary search over the capacity, each candidate checked by filling shards greedily.
+Rows of equal text form a group. Groups are ordered by a 60-bit hash of the text, and the
+order is cut into contiguous runs so that the largest run is as small as it can be: a
+binary search over the capacity, each candidate checked by filling shards greedily.
 
-The driver never sees the groups. It has the bytes of BLOCKS ranges of the hash, which
-bound every greedy cut to one range; only ranges in which a cut of a capacity still in
-question falls are read in full, a fetch for each step of the search at most. A row's
-shard then follows from its hash and the seven cut hashes, with no join.
+The driver never sees the groups. It starts from the bytes of 4,096 ranges of the hash.
+Filling shards with ranges whole, and with ranges that may be cut anywhere, bounds the
+capacity and the place of every cut from both sides; only the ranges in which a cut may
+fall are refined, into 4,096 each, until those hold one group. So a level costs a job, and
+rows that depend on the number of shards, not on the number of groups; five levels end the
+hash. A row's shard then follows from its hash and the cut hashes, with no join.
+
+Slots follow doc_id, size and crc (nulls first): a range sort whose last key is the row's
+place in the input, so that no key, however hot, is one task.
 
 Defined results. Null text: no bytes, so size 1; all null texts are one group, apart from
 the empty text's. text_crc32 of a null: null. Null doc_id: kept. Repeated rows: each
 takes its own slot. Empty table: no rows. Other columns are ignored. Fewer groups than
-shards: the last shards stay empty. Texts whose 64-bit hashes are equal stay together.
+shards: the last shards stay empty. Texts whose hashes are equal stay together.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_text, keep, prepare
-
-BLOCKS, CELL = 1 << 16, 50_000
-
-
-class _Cuts:
-    """Greedy filling over blocks of groups, whose groups are fetched when a cut falls inside."""
-
-    def __init__(self, blocks: list[tuple[int, int]], shards: int, fetch):
-        self.id = [b for b, _ in blocks]
-        self.sum = np.concatenate([[0], np.cumsum([s for _, s in blocks], dtype=np.int64)])
-        self.shards, self.fetch = shards, fetch
-        self.inside: dict[int, tuple[list[int], np.ndarray]] = {}
-
-    def block(self, k: int):
-        if k not in self.inside:
-            got = sorted(self.fetch([self.id[k]]))
-            self.inside[k] = [h for h, _ in got], np.concatenate([[0], np.cumsum([s for _, s in got], dtype=np.int64)])
-        return self.inside[k]
-
-    def prefetch(self, ks: set[int]) -> None:
-        ks = sorted(k for k in ks if k not in self.inside and 0 <= k < len(self.id))
-        if not ks:
-            return
-        place = {self.id[k]: k for k in ks}
-        by: dict[int, list] = {k: [] for k in ks}
-        for b, h, s in self.fetch([self.id[k] for k in ks], True):
-            by[place[b]].append((h, s))
-        for k, got in by.items():
-            got.sort()
-            self.inside[k] = [h for h, _ in got], np.concatenate([[0], np.cumsum([s for _, s in got], dtype=np.int64)])
-
-    def fill(self, capacity: int) -> list[int] | None:
-        """The hash of the first group of every shard but the first; None if the shards don't hold all."""
-        at, cuts, total = 0, [], int(self.sum[-1])
-        for _ in range(self.shards):
+from .common import crc_text, keep, partitions, prepare
+
+BITS, FAN = 60, 12
+#: Rows of a range that slots are counted in.
+SLOT_ROWS = 1_000_000
+
+
+def group_hash(text: str = "text") -> F.Column:
+    """First 60 bits of the MD5; 0 for null."""
+    return F.coalesce(F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, BITS // 4), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
+
+
+class _Ranges:
+    """Ranges of the hash in order: the hash that each begins with, its bytes, and whether it is one group."""
+
+    def __init__(self, start: list[int], size: list[int], one: list[bool]):
+        self.start, self.size, self.one = start, np.array(size, np.int64), np.array(one, bool)
+        self.end = np.concatenate([[0], np.cumsum(self.size)])
+
+    def cuts(self, capacity: int, shards: int, whole: bool) -> list[int]:
+        """Bytes before each later shard, filled greedily; the list ends where all is held. whole: ranges of several groups aren't cut, else anywhere."""
+        at, out, total = 0, [], int(self.end[-1])
+        while at + capacity < total and len(out) < shards:
             to = at + capacity
-            if to >= total:
-                return cuts
-            k = int(np.searchsorted(self.sum, to, side="right")) - 1
-            hashes, inner = self.block(k)
-            i = int(np.searchsorted(inner, to - int(self.sum[k]), side="right")) - 1
-            at = int(self.sum[k] + inner[i])
-            cuts.append(hashes[i] if i < len(hashes) else None)
-        return None
+            k = int(np.searchsorted(self.end, to, side="right")) - 1
+            at = int(self.end[k]) if whole or self.one[k] else to
+            out.append(at)
+        return out
+
+    def least(self, low: int, shards: int, whole: bool) -> int:
+        """Smallest capacity from low on whose greedy filling holds all."""
+        high = max(low, int(self.end[-1]))
+        while low < high:
+            middle = (low + high) // 2
+            if len(self.cuts(middle, shards, whole)) < shards:
+                high = middle
+            else:
+                low = middle + 1
+        return low
 
 
 def capacity_cuts(sizes: DataFrame, shards: int) -> tuple[int, list[int]]:
-    """Smallest capacity that suffices, and the first hash of each later shard.
+    """Smallest capacity that suffices, and the first hash of each later shard that isn't empty.
 
-    sizes: block int, h bigint, bytes bigint, one row per group, h ascending with block.
+    sizes: h bigint (of BITS bits), bytes bigint, one row per group.
     """
-    blocks = sorted(map(tuple, sizes.groupBy("block").agg(F.sum("bytes"), F.max("bytes")).collect()))
-    if not blocks:
+
+    def children(shift: int, parents: list[int] | None):
+        rows = sizes if parents is None else sizes.where(F.shiftright("h", shift + FAN).isin(parents))
+        rows = rows.groupBy(F.shiftright("h", shift).alias("id")).agg(F.sum("bytes").alias("s"), F.count("*").alias("n"), F.min("h").alias("first"), F.max("bytes").alias("most"))
+        return sorted(map(tuple, rows.collect()))
+
+    shift = BITS - FAN
+    found = children(shift, None)
+    if not found:
         return 0, []
-    total, largest = sum(b[1] for b in blocks), max(b[2] for b in blocks)
-
-    def fetch(ids, many=False):
-        rows = sizes.where(F.col("block").isin(ids)).select("block", "h", "bytes").collect()
-        return [tuple(r) for r in rows] if many else [(r[1], r[2]) for r in rows]
-
-    cuts = _Cuts([(b, s) for b, s, _ in blocks], shards, fetch)
-    low = max(-(-total // shards), largest)
-    # where greedy cuts of a capacity a little over the lower bound can fall
-    step = max(b[1] for b in blocks)
-    near: set[int] = set()
-    for j in range(1, shards):
-        a, z = (int(np.searchsorted(cuts.sum, x, side="right")) - 1 for x in (j * low - 2 * step, j * low + 2 * step))
-        near.update(range(max(0, a), min(len(blocks) - 1, z) + 1))
-    if len(near) <= 64 * shards:
-        cuts.prefetch(near)
-    high = low
-    while cuts.fill(high) is None:  # doubling steps up to a capacity that suffices
-        high = low + max(1, 2 * (high - low), step // 8)
-    while low < high:
-        middle = (low + high) // 2
-        if cuts.fill(middle) is None:
-            low = middle + 1
-        else:
-            high = middle
-    return low, cuts.fill(low)
+    largest, total = max(r[4] for r in found), sum(r[1] for r in found)
+    ranges = _Ranges([r[3] for r in found], [r[1] for r in found], [r[2] == 1 for r in found])
+    low, high = max(-(-total // shards), largest), total
+    while True:
+        high = min(high, ranges.least(max(low, int(ranges.size.max())), shards, True))
+        low = ranges.least(low, shards, False)
+        near: set[int] = set()
+        # a cut of the true capacity is at or after that of the lower bound in whole ranges, and at or before that of the upper one in divisible ones
+        first, last = ranges.cuts(low, shards, True), ranges.cuts(high, shards, False)
+        first += [int(ranges.end[-1])] * (shards - len(first))
+        last += [int(ranges.end[-1])] * (shards - len(last))
+        for a, z in zip(first, last):
+            i, j = (int(np.searchsorted(ranges.end, x, side="right")) - 1 for x in (a, z))
+            near.update(k for k in range(max(0, i), min(len(ranges.one) - 1, j) + 1) if not ranges.one[k])
+        if not near:
+            break
+        shift -= FAN
+        by: dict[int, list] = {}
+        for r in children(shift, sorted({ranges.start[k] >> (shift + FAN) for k in near})):
+            by.setdefault(r[0] >> FAN, []).append(r)
+        start, size, one = [], [], []
+        for k, s in enumerate(ranges.start):
+            if k in near:
+                for r in by[s >> (shift + FAN)]:
+                    start.append(r[3])
+                    size.append(r[1])
+                    one.append(r[2] == 1)
+            else:
+                start.append(s)
+                size.append(int(ranges.size[k]))
+                one.append(bool(ranges.one[k]))
+        ranges = _Ranges(start, size, one)
+    capacity = ranges.least(low, shards, True)
+    at = np.searchsorted(ranges.end, ranges.cuts(capacity, shards, True))
+    return capacity, [ranges.start[k] for k in at.tolist()]
 
 
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row; a shard's slots run from 0 without a gap.
 
     Two passes over the texts, neither of which moves them: the first sums bytes by
-    group (16 bytes a group shuffled), the second ranks (doc_id, size, crc) within cells of
-    about CELL rows, so that a hot group, or a shard of any size, is never one task.
+    group (16 bytes a group shuffled), the second sorts rows of 40 bytes by shard, doc_id,
+    size and crc, and counts them off.
     """
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
-        crc_text("text").alias("text_crc32"),
-        F.when(F.col("text").isNull(), F.lit(-(1 << 63) + 1)).otherwise(F.xxhash64("text")).alias("h"),
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"), crc_text("text").alias("text_crc32"), group_hash().alias("h")
     )
-    block = (F.shiftright("h", 48) + BLOCKS // 2).cast("int")
-    sizes = keep(rows.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).select(block.alias("block"), "h", "bytes", "n"))
-    capacity, cuts = capacity_cuts(sizes, shards)
-    cells = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // (shards * CELL))
+    sizes = keep(rows.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    _, cuts = capacity_cuts(sizes.select("h", "bytes"), shards)
     where = F.lit(0)
     for c in cuts:
         where = where + (F.col("h") >= F.lit(c)).cast("int")
-    rows = rows.select("doc_id", "size", "text_crc32", where.alias("shard"), F.pmod(F.xxhash64("doc_id", "size"), F.lit(cells)).alias("cell"))
-    if cells == 1:
-        slot = F.row_number().over(Window.partitionBy("shard").orderBy("doc_id", "size", "text_crc32")) - 1
-        return rows.select("doc_id", "size", "text_crc32", "shard", slot.cast("bigint").alias("slot"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "size", "text_crc32")) - 1)
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = rows.groupBy("shard", "cell").agg(F.count("*").alias("n")).select("shard", "cell", before.alias("before"))
-    return ranked.join(counts, ["shard", "cell"]).select("doc_id", "size", "text_crc32", "shard", (F.col("rank") + F.col("before")).cast("bigint").alias("slot"))
+    rows = rows.select("doc_id", "size", "text_crc32", where.alias("shard"), F.monotonically_increasing_id().alias("m"))
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, min(n // SLOT_ROWS + 1, 1 << 16), partitions(spark) if n > SLOT_ROWS else 1)
+    key = [F.col(c).asc_nulls_first() for c in ("shard", "doc_id", "size", "text_crc32", "m")]
+    rows = keep(rows.repartitionByRange(parts, *key).sortWithinPartitions(*key).drop("m").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    # a few rows a partition: where each shard's rows begin in it
+    starts = sorted(map(tuple, rows.groupBy("shard", "part").agg(F.count("*"), F.min("at")).collect()))
+    offset, before, last = [], 0, None
+    for s, p, count, at in starts:
+        before = before if s == last else 0
+        offset.append((s, p, before - at))
+        before, last = before + count, s
+    offsets = F.broadcast(spark.createDataFrame(offset, "shard int, part int, offset bigint"))
+    return rows.join(offsets, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("at") + F.col("offset")).alias("slot"))

@@ -406,34 +406,52 @@ def brute_capacity(sizes, shards):
     return low
 
 
-@pytest.mark.parametrize("hot", [0, 400])
-def test_sharding(spark, docs, empty, hot):
-    rows = corpus() + [(10_000 + k, "the very same text") for k in range(hot)]
+@pytest.mark.parametrize("hot, fan", [(0, 12), (400, 12), (0, 2), (40, 2)])
+def test_sharding(spark, docs, empty, monkeypatch, hot, fan):
+    import hashlib
+
+    monkeypatch.setattr(sharding, "FAN", fan)
+    if hot == 40:  # slots over several ranges
+        monkeypatch.setattr(sharding, "SLOT_ROWS", 5)
+    rows = corpus() + [(None if k % 3 else 10_000 + k, "the very same text") for k in range(hot)]
     df = frame(spark, rows)
     got = sharding.shard(df, 8).collect()
-    assert len(got) == len(rows)
     size = lambda t: len((t or "").encode()) + 1
-    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted(((str(d), size(t), None if t is None else zlib.crc32(t.encode())) for d, t in rows), key=lambda x: (x[0], x[1])) or True
-    groups = df.selectExpr("CASE WHEN text IS NULL THEN -9223372036854775807 ELSE xxhash64(text) END AS h", "coalesce(octet_length(text), 0) + 1 AS s").groupBy("h").sum("s").orderBy("h").collect()
-    best = brute_capacity([g[1] for g in groups], 8)
-    load, slots, of = {}, {}, {}
+    crc = lambda t: None if t is None else zlib.crc32(t.encode())
+    assert sorted(((r.doc_id, r.size, r.text_crc32) for r in got), key=repr) == sorted(((d, size(t), crc(t)) for d, t in rows), key=repr)
+    groups = {}
+    for _, t in rows:
+        h = 0 if t is None else int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+        groups[h] = groups.get(h, 0) + size(t)
+    best = brute_capacity([groups[h] for h in sorted(groups)], 8)
+    # the greedy filling at that capacity
+    place, at, left = {}, 0, best
+    for h in sorted(groups):
+        if groups[h] > left:
+            at, left = at + 1, best
+        place[h], left = at, left - groups[h]
+    null_first = lambda v: (v is not None, v or 0)
+    want = sorted((place[0 if t is None else int(hashlib.md5(t.encode()).hexdigest()[:15], 16)], null_first(d), size(t), null_first(crc(t))) for d, t in rows)
+    assert [(r.shard, null_first(r.doc_id), r.size, null_first(r.text_crc32)) for r in sorted(got, key=lambda r: (r.shard, r.slot))] == want
+    slots = {}
     for r in got:
-        load[r.shard] = load.get(r.shard, 0) + r.size
         slots.setdefault(r.shard, []).append(r.slot)
-        of.setdefault((r.text_crc32, r.size), set()).add(r.shard)
-    assert max(load.values()) == best and set(load) <= set(range(8))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert all(len(s) == 1 for s in of.values())
     assert sharding.shard(empty).count() == 0
 
 
-def test_sharding_slots_over_many_cells(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "CELL", 3)
-    got = sharding.shard(frame(spark, corpus()), 4).collect()
-    slots = {}
-    for r in got:
-        slots.setdefault(r.shard, []).append(r.slot)
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(got) == len(corpus())
+def test_capacity_is_the_least(spark, monkeypatch):
+    rng = random.Random(21)
+    for n, shards, fan in ((1, 3, 12), (5, 8, 4), (200, 7, 3), (300, 4, 12), (120, 9, 2)):
+        monkeypatch.setattr(sharding, "FAN", fan)
+        groups = {rng.getrandbits(60) if rng.random() < 0.7 else rng.getrandbits(20): rng.choice([1, 5, 60, 900]) for _ in range(n)}
+        order = sorted(groups)
+        capacity, cuts = sharding.capacity_cuts(spark.createDataFrame(list(groups.items()), "h bigint, bytes bigint"), shards)
+        assert capacity == brute_capacity([groups[h] for h in order], shards)
+        load = [0] * shards
+        for h in order:
+            load[sum(h >= c for c in cuts)] += groups[h]
+        assert max(load) <= capacity
 
 
 def test_embeddings_match_brute_force(spark, monkeypatch):
