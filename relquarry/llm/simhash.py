@@ -8,10 +8,11 @@ Equal fingerprints are one node with a count. If two nodes differ in at most 3 b
 of their four 16-bit quarters is equal, so the nodes are sharded by (quarter, value) and
 every shard gets a BK-tree: children keyed by their Hamming distance to the parent, of
 which a search follows only the edges within the radius. A shard of more than LARGE
-nodes is sharded again by the same rule over the other 48 bits (four of 12). A pair is
-counted only in the first shard in which it can meet. A shard's tree returns counts and
-the edges of its local forest, never pairs. Shard trees are built where the shard is,
-rather than broadcast, because they grow with the data.
+nodes is sharded again by the same rule over the other 48 bits (four parts of 12), then
+over the next 36 and 27 (parts of 9 and 7). A pair is counted only in the first shard in
+which it can meet. A shard's tree returns counts and the edges of its local forest, never
+pairs. Shard trees are built where the shard is, rather than broadcast, because they grow
+with the data.
 
 Defined results. Null or empty text, or one without words: fingerprint zero, linked like
 any other. Under three words: one shingle, the whole sequence. Null doc_id: kept; it
@@ -33,6 +34,8 @@ from .common import batch, keep, prepare, slices
 from .components import components, forest
 
 RADIUS, LARGE = 3, 4096
+#: Bits of a part on each level of shards; a level has four parts.
+WIDTHS = (16, 12, 9, 7)
 _FP = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 _OUT = pa.schema([("fp", pa.int64()), ("near", pa.int64()), ("root", pa.int64())])
 
@@ -81,32 +84,38 @@ class BKTree:
         return near
 
 
-def _first_equal(x: int, first: int, width: int, places: int) -> int:
-    """Which of the fields of x, from the first on, is the first that is zero."""
-    for k in range(places):
-        if not x >> (first + k * width) & ((1 << width) - 1):
-            return k
-    return -1
+def _without(x: int, width: int, part: int) -> int:
+    """The bits besides a part."""
+    return x & ((1 << width * part) - 1) | x >> width * (part + 1) << width * part
 
 
-def _others(fp: int, quarter: int) -> int:
-    """The 48 bits besides a quarter."""
-    low = fp & ((1 << 16 * quarter) - 1)
-    return low | fp >> 16 * (quarter + 1) << 16 * quarter
+def _meets_here(x: int, path: tuple[int, ...]) -> bool:
+    """Whether these parts are, on each level, the first in which two fingerprints, which differ in the bits of x, are equal."""
+    for width, part in zip(WIDTHS, path):
+        mask = (1 << width) - 1
+        for k in range(part):
+            if not x >> k * width & mask:
+                return False
+        x = _without(x, width, part)
+    return True
+
+
+def _path(shard: int) -> tuple[int, ...]:
+    """The parts that a shard's number names: 2 bits with the level, then 2 for each part, then the values."""
+    return tuple(shard >> 50 - 2 * k & 3 for k in range((shard >> 52 & 3) + 1))
 
 
 def _shard_trees(batches):
-    """Rows (shard, quarter, part, fp, n) in the order of shard; a shard may span batches."""
+    """Rows (shard, fp, n) in the order of shard; a shard may span batches."""
     held: list[tuple[np.ndarray, ...]] = []
 
-    def tree(quarter: int, part: int, fps: np.ndarray, n: np.ndarray):
+    def tree(path: tuple[int, ...], fps: np.ndarray, n: np.ndarray):
         values = fps.view(np.uint64).tolist()
         where = {v: i for i, v in enumerate(values)}
         near, a, b, bk = np.zeros(len(values), np.int64), [], [], BKTree()
         for i, v in enumerate(values):
             for w in bk.add(v):
-                x = v ^ w
-                if _first_equal(x, 0, 16, 4) == quarter and (part < 0 or _first_equal(_others(x, quarter), 0, 12, 4) == part):
+                if _meets_here(v ^ w, path):
                     j = where[w]
                     near[i] += n[j]
                     near[j] += n[i]
@@ -119,17 +128,17 @@ def _shard_trees(batches):
         return None
 
     def close(parts):
-        shard, quarter, part, fp, n = (np.concatenate(c) for c in zip(*parts))
+        shard, fp, n = (np.concatenate(c) for c in zip(*parts))
         edges = np.flatnonzero(np.diff(shard)) + 1
         starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(shard)]])
-        found = [r for s, e in zip(starts.tolist(), ends.tolist()) if e - s > 1 and (r := tree(int(quarter[s]), int(part[s]), fp[s:e], n[s:e]))]
+        found = [r for s, e in zip(starts.tolist(), ends.tolist()) if e - s > 1 and (r := tree(_path(int(shard[s])), fp[s:e], n[s:e]))]
         if found:
             yield batch(_OUT, *(np.concatenate(c) for c in zip(*found)))
 
     for b in batches:
         if not b.num_rows:
             continue
-        c = tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        c = tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
         last = int(np.searchsorted(c[0], c[0][-1]))  # the last shard may go on
         if last:
             yield from close([*held, tuple(x[:last] for x in c)])
@@ -144,19 +153,31 @@ def _shard_trees(batches):
 
 def near_fingerprints(nodes: DataFrame) -> DataFrame:
     """Of distinct ``fp`` with counts ``n``: fp, near (rows of other nodes linked directly), root of a forest of the links; only nodes with a link, once for each shard that found one."""
-    quarter = F.explode(F.array(*[F.struct(F.lit(k).alias("quarter"), F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF).alias("value")) for k in range(4)]))
-    first = nodes.select("fp", "n", quarter.alias("s")).select("fp", "n", "s.quarter", "s.value")
-    large = first.groupBy("quarter", "value").agg(F.count("*").alias("c")).where(F.col("c") > LARGE).select("quarter", "value", F.lit(True).alias("large"))
-    first = first.join(large, ["quarter", "value"], "left")
-    one = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("bigint").alias("rest")))
-    low = F.col("fp").bitwiseAND(F.expr("shiftleft(1L, 16 * quarter) - 1"))
-    high = F.expr("CASE WHEN quarter = 3 THEN 0L ELSE shiftleft(shiftrightunsigned(fp, 16 * (quarter + 1)), 16 * quarter) END")
-    other = low.bitwiseOR(high)
-    four = F.array(*[F.struct(F.lit(k).alias("part"), F.shiftrightunsigned(other, 12 * k).bitwiseAND(0xFFF).alias("rest")) for k in range(4)])
-    rows = first.select("quarter", "value", "fp", "n", F.explode(F.when(F.col("large"), four).otherwise(one)).alias("s"))
-    shard = (F.col("value") * 4 + F.col("quarter")) * 32768 + (F.col("s.part") + 1) * 4096 + F.col("s.rest")
-    rows = rows.select(shard.alias("shard"), "quarter", F.col("s.part").alias("part"), "fp", "n")
-    return rows.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_shard_trees, "fp bigint, near bigint, root bigint")
+    rows = nodes.select("fp", "n", F.col("fp").alias("rest"), F.lit(0).cast("bigint").alias("shard"))
+    done, used = None, 0
+    for level, width in enumerate(WIDTHS):
+        mask = (1 << width) - 1
+        part = [
+            F.struct(
+                F.lit(k).alias("part"),
+                F.shiftrightunsigned("rest", width * k).bitwiseAND(mask).alias("value"),
+                # the bits besides the part; nothing is above the fourth of the first level
+                F.col("rest").bitwiseAND((1 << width * k) - 1).bitwiseOR(F.shiftleft(F.shiftrightunsigned("rest", width * (k + 1)), width * k) if width * (k + 1) < 64 else F.lit(0).cast("bigint")).alias("others"),
+            )
+            for k in range(4)
+        ]
+        used += width
+        # the number: level, parts, values
+        place = F.col("shard").bitwiseAND((1 << 52) - 1).bitwiseOR(F.shiftleft(F.col("s.part").cast("bigint"), 50 - 2 * level)).bitwiseOR(F.shiftleft("s.value", 44 - used)).bitwiseOR(F.lit(level << 52))
+        rows = rows.withColumn("s", F.explode(F.array(*part))).select("fp", "n", F.col("s.others").alias("rest"), place.alias("shard"))
+        large = keep(rows.groupBy("shard").agg(F.count("*").alias("c")).where(F.col("c") > LARGE).select("shard")) if level < len(WIDTHS) - 1 else None
+        if large is None or large.isEmpty():
+            done = rows if done is None else done.union(rows)
+            break
+        small = rows.join(large, "shard", "left_anti").select("fp", "n", "rest", "shard")
+        done = small if done is None else done.union(small)
+        rows = rows.join(large, "shard", "left_semi").select("fp", "n", "rest", "shard")
+    return done.select("shard", "fp", "n").repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_shard_trees, "fp bigint, near bigint, root bigint")
 
 
 def _row_key():
