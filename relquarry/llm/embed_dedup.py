@@ -32,8 +32,8 @@ from .common import batch, keep, prepare
 from .components import components, forest
 
 TREES, LEAF, SPILL, SAMPLE, LEAF_ROWS, MAX_DEPTH = 5, 256, 0.02, 20_000, 8192, 18
-_ASSIGN = "leaf bigint, label int, block int, node bigint, n bigint, own int, vector binary, leaves binary"
-_ASSIGNED = pa.schema([("leaf", pa.int64()), ("label", pa.int32()), ("block", pa.int32()), ("node", pa.int64()), ("n", pa.int64()), ("own", pa.int32()), ("vector", pa.binary()), ("leaves", pa.binary())])
+_ASSIGN = "leaf bigint, label int, node bigint, n bigint, vector binary, leaves binary"
+_ASSIGNED = pa.schema([("leaf", pa.int64()), ("label", pa.int32()), ("node", pa.int64()), ("n", pa.int64()), ("vector", pa.binary()), ("leaves", pa.binary())])
 _LINK = pa.schema([("node", pa.int64()), ("near", pa.int64()), ("root", pa.int64())])
 
 
@@ -78,8 +78,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assign(batches, forest_: Forest, crowded: dict):
-    """Rows for leaves: leaf, label, block pair, node, n, own block, vector, the node's leaves."""
+def _assign(batches, forest_: Forest):
+    """Rows for leaves: leaf, label, node, n, vector, the node's leaves."""
     dims = forest_.directions.shape[2]
     for b in batches:
         lengths = b.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
@@ -95,14 +95,9 @@ def _assign(batches, forest_: Forest, crowded: dict):
             label, node, n = (c.column(k).to_numpy(zero_copy_only=False) for k in ("label", "node", "n"))
             sets = [leaf[at[i] : at[i + 1]].tobytes() for i in range(c.num_rows)]
             data = [v.tobytes() for v in x]
-            out = []
-            for i, f in zip(row.tolist(), leaf.tolist()):
-                k = crowded.get((f, int(label[i])), 1)
-                own = int(node[i]) % k
-                for other in range(k):
-                    out.append((f, label[i], min(own, other) * k + max(own, other), node[i], n[i], own, data[i], sets[i]))
-            for s in range(0, len(out), 2000):
-                yield batch(_ASSIGNED, *zip(*out[s : s + 2000]))
+            for s in range(0, len(row), 2000):
+                i = row[s : s + 2000]
+                yield batch(_ASSIGNED, leaf[s : s + 2000], label[i], node[i], n[i], [data[k] for k in i], [sets[k] for k in i])
 
 
 def _codes(batches, forest_: Forest):
@@ -206,9 +201,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = TREES
         depth = min(MAX_DEPTH, max(0, ceil(log2(sizes[0] / leaf))))
         made = Forest(sample, depth, trees, spill)
         codes = nodes.select("label", "embedding").mapInArrow(partial(_codes, forest_=made), "leaf bigint, label int")
-        crowded = {(r[0], r[1]): -(-r[2] // (LEAF_ROWS // 2)) for r in codes.groupBy("leaf", "label").agg(F.count("*").alias("c")).where(F.col("c") > LEAF_ROWS).collect()}
+        crowded = keep(codes.groupBy("leaf", "label").agg(F.count("*").alias("c")).where(F.col("c") > LEAF_ROWS).select("leaf", "label", F.ceil(F.col("c") / (LEAF_ROWS // 2)).cast("int").alias("k")))
         # equal 64-bit keys of different vectors stay apart by their place in the key
-        assigned = nodes.select("node", "n", "label", "embedding").mapInArrow(partial(_assign, forest_=made, crowded=crowded), _ASSIGN)
+        assigned = nodes.select("node", "n", "label", "embedding").mapInArrow(partial(_assign, forest_=made), _ASSIGN)
+        if crowded.isEmpty():
+            assigned = assigned.withColumns({"own": F.lit(0), "block": F.lit(0)})
+        else:
+            assigned = assigned.join(crowded, ["leaf", "label"], "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("own", F.pmod("node", F.col("k")).cast("int"))
+            assigned = assigned.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("block", F.least("own", "other") * F.col("k") + F.greatest("own", "other"))
+        assigned = assigned.select("leaf", "label", "block", "node", "n", "own", "vector", "leaves")
         keys = ["leaf", "label", "block"]
         links = keep(assigned.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(partial(_compare, threshold=threshold, depth=depth), "node bigint, near bigint, root bigint"))
     else:
