@@ -6,8 +6,9 @@ path; a block wins over an allow for the very same host and path. URLs that no r
 get the default verdict.
 
 The trie's first levels are host labels from the right, then come path segments; a node
-holds the verdict of the rule that ends there. The rules are broadcast, so their number is
-checked against MAX_RULES.
+holds the verdict of the rule that ends there. The rules are broadcast, MAX_RULES of them
+at a time: more are judged block by block, and a URL carries the best rule so far from
+pass to pass, which gives the same verdicts.
 
 Defined results. Null URL, or one without "://": host and path are empty and no rule fits
 (a rule's path starts with "/"). Empty and very long URLs, repeated rows: each by itself.
@@ -16,15 +17,18 @@ Empty table: no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+from functools import partial
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, prepare
+from .common import batch, keep, prepare
 
-MAX_RULES = 2_000_000
+MAX_RULES = 1_000_000
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_OUT = pa.schema([("id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
+_OUT = pa.schema([("id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("labels", pa.int32()), ("length", pa.int32())])
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -54,10 +58,10 @@ class RuleTrie:
             prefixes = node.setdefault("prefixes", {})
             old = prefixes.setdefault(len(last), {}).get(last)
             if old is None or verdict == "block":
-                prefixes[len(last)][last] = (verdict, f"{host}{path}")
+                prefixes[len(last)][last] = (verdict, f"{host}{path}", host.count(".") + 1 if host else 0, len(path))
 
     def find(self, host: str, path: str):
-        """The verdict and text of the rule that wins, or None."""
+        """The verdict, text, number of host labels and path length of the rule that wins, or None."""
         node, best = self.root, None
         segments = path.split("/")
         best = self._path(node, segments) or best
@@ -80,23 +84,48 @@ class RuleTrie:
         return best
 
 
-_tries: dict[tuple, RuleTrie] = {}
+_tries: dict[int, RuleTrie] = {}
+
+
+def _judge(batches, rules, key: int):
+    """Rows (id, host, path, and the rule, verdict, labels and length of the best so far)."""
+    if key not in _tries:
+        _tries.clear()
+        _tries[key] = RuleTrie(rules.value)
+    find = _tries[key].find
+    for b in batches:
+        best = []
+        for host, path, *old in zip(*(b.column(c).to_pylist() for c in _OUT.names[1:])):
+            new = find(host, path)
+            if new and (old[2] is None or (new[2], new[3], new[0] == "block") > (old[2], old[3], old[1] == "block")):
+                old = new[1], *new[:1], *new[2:]
+            best.append(old)
+        rule, verdict, labels, length = zip(*best) if best else ([],) * 4
+        yield batch(_OUT, b.column("id"), b.column("host"), b.column("path"), rule, verdict, labels, length)
 
 
-def _judge(batches, rules: tuple, default: str):
-    trie = _tries.get(rules) or _tries.setdefault(rules, RuleTrie(rules))
+def _split(batches):
     for b in batches:
-        urls = [split_url(u) for u in b.column(1).to_pylist()]
-        found = [trie.find(h, p) or (default, None) for h, p in urls]
-        yield batch(_OUT, b.column(0), [h for h, _ in urls], [p for _, p in urls], [r for _, r in found], [v for v, _ in found])
+        parts = [split_url(u) for u in b.column(1).to_pylist()]
+        none = [None] * b.num_rows
+        yield batch(_OUT, b.column(0), [h for h, _ in parts], [p for _, p in parts], none, none, none, none)
+
+
+def _first(batches, rules, key: int):
+    return _judge(_split(batches), rules, key)
 
 
 def judge_urls(urls: DataFrame, rules, default: str = "allow", key: str = "page_id") -> DataFrame:
     """key, host, path, rule (host and path of the one that wins, else null), verdict, of every row."""
-    prepare(urls.sparkSession)
+    spark = urls.sparkSession
+    prepare(spark)
     rules = tuple(sorted(map(tuple, rules)))
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are broadcast")
-    rows = urls.select(F.col(key).cast("bigint").alias("id"), "url")
-    out = rows.mapInArrow(lambda batches: _judge(batches, rules, default), "id bigint, host string, path string, rule string, verdict string")
-    return out.withColumnRenamed("id", key)
+    out = urls.select(F.col(key).cast("bigint").alias("id"), F.col("url").cast("string").alias("url"))
+    blocks = [rules[i : i + MAX_RULES] for i in range(0, max(1, len(rules)), MAX_RULES)]
+    for k, block in enumerate(blocks):
+        table = spark.sparkContext.broadcast(block)
+        step = _judge if k else _first
+        if k:  # one block's trie at a time in a worker
+            out = keep(out)
+        out = out.mapInArrow(partial(step, rules=table, key=uuid.uuid4().int), "id bigint, host string, path string, rule string, verdict string, labels int, length int")
+    return out.select(F.col("id").alias(key), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

@@ -316,13 +316,13 @@ def test_simhash_matches_brute_force(spark, docs, empty, monkeypatch):
 def test_near_fingerprints_in_crowded_shards(spark, monkeypatch):
     rng = random.Random(6)
     base = rng.getrandbits(64)
-    values = {base} | {base ^ (1 << rng.randrange(48)) ^ (1 << rng.randrange(48)) for _ in range(120)} | {rng.getrandbits(64) for _ in range(100)}
+    values = {base} | {base ^ (1 << rng.randrange(24)) ^ (1 << rng.randrange(24)) ^ (1 << rng.randrange(64)) for _ in range(60)} | {base ^ (1 << rng.randrange(48)) ^ (1 << rng.randrange(48)) for _ in range(120)} | {rng.getrandbits(64) for _ in range(100)}
     values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
     count = {v: rng.randint(1, 3) for v in values}
     nodes = spark.createDataFrame(list(count.items()), "fp bigint, n bigint")
     close = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 3
     want = {a: sum(count[b] for b in values if b != a and close(a, b)) for a in values}
-    for large in (4096, 10):
+    for large in (4096, 10, 1):  # up to all four levels
         monkeypatch.setattr(simhash, "LARGE", large)
         got = {}
         for r in simhash.near_fingerprints(nodes).collect():
@@ -463,7 +463,7 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     label = [int(k) for k in rng.integers(0, 3, 300)]
     label += label[:60] + [label[0]] * 50 + label[5:8]
     rows = [(i, [float(np.float32(c)) for c in v], label[i]) for i, v in enumerate(x)]
-    odd = [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, [None] * 16, 1), (1004, rows[0][1], None), (1005, [], 1), (1006, [1.0] * 3, 1), (1007, [float("inf")] * 16, 1)]
+    odd = [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, [None] * 16, 1), (1004, rows[0][1], None), (1005, [], 1), (1006, [1.0] * 3, 1), (1007, [float("inf")] * 16, 1), (None, None, 1), (None, [float(c) for c in rng.standard_normal(16)], 2)]
     df = spark.createDataFrame([*rows, *odd], "vec_id bigint, embedding array<float>, label int").selectExpr("*", "1 as node", "2 as first")
     y = np.array([r[1] for r in rows])
     y /= np.linalg.norm(y, axis=1, keepdims=True)
@@ -473,8 +473,9 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     root = union(len(rows), pairs)
     for leaf, rows_a_leaf in ((32, 8192), (32, 20)):
         monkeypatch.setattr(embed_dedup, "LEAF_ROWS", rows_a_leaf)
-        got = {r.vec_id: r for r in embed_dedup.near_vectors(df, 0.93, leaf=leaf).collect()}
-        assert len(got) == len(rows) + len(odd)
+        every = embed_dedup.near_vectors(df, 0.93, leaf=leaf).collect()
+        got = {r.vec_id: r for r in every}
+        assert len(every) == len(rows) + len(odd)
         found = sum(got[i].n_links for i in range(len(rows)))
         assert found <= s.sum() and found >= 0.98 * s.sum()
         if found == s.sum():
@@ -490,17 +491,22 @@ def brute_rule(url):
     return max(fits)[3:] if fits else ("allow", None)
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("most", [url_filter.MAX_RULES, 2])
+def test_url_filter(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MAX_RULES", most)  # past it, block by block
     rng = random.Random(9)
     hosts = ["com", "example.com", "EXAMPLE.com", "www.example.com", "a.www.example.com", "notexample.com", "x.net", "net", "org", "example.com:80", "", "com.", "exampleacom"]
     paths = ["", "/", "/en", "/en/", "/en/1", "/EN/1", "/es/x", "/fr/", "//en/", "/en?x=/en/", "?q", "#f", "/es/#a"]
     urls = [f"{rng.choice(['http', 'https'])}://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme/en/", "://", "a://b://example.com/en/", "http://example.com/en/" + "x" * 50_000]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").selectExpr("*", "1 as host", "2 as id", "3 as rule")
-    for r in url_filter.judge_urls(df, URL_RULES).collect():
-        assert (r.verdict, r.rule) == brute_rule(urls[r.page_id]), urls[r.page_id]
+    df = spark.createDataFrame(list(enumerate(urls)) * 2 + [(None, urls[20])], "page_id bigint, url string").selectExpr("*", "1 as host", "2 as id", "3 as rule")
+    got = url_filter.judge_urls(df, URL_RULES).collect()
+    assert len(got) == 2 * len(urls) + 1
+    for r in got:
+        assert (r.verdict, r.rule) == brute_rule(urls[20 if r.page_id is None else r.page_id]), urls[r.page_id]
+    assert {r.verdict for r in url_filter.judge_urls(df, [], "block").collect()} == {"block"}
     assert url_filter.judge_urls(df.limit(0), URL_RULES).count() == 0
     trie = url_filter.RuleTrie([("block", "", "/ads"), ("allow", "b.c", "/a/b"), ("block", "b.c", "/a/b")])
-    assert trie.find("x.y", "/adsense/1") == ("block", "/ads") and trie.find("a.b.c", "/a/bc") == ("block", "b.c/a/b") and trie.find("b.c", "/a") is None
+    assert trie.find("x.y", "/adsense/1")[:2] == ("block", "/ads") and trie.find("a.b.c", "/a/bc")[:2] == ("block", "b.c/a/b") and trie.find("b.c", "/a") is None
 
 
 def test_elias_fano():
