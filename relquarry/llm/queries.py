@@ -103,7 +103,7 @@ ORACLE: dict[str, str] = {
             SELECT 0, 0::BIGINT
             UNION ALL
             SELECT k + 1, (SELECT max(e) FROM pre WHERE e <= pos + (SELECT min(lo) FROM search WHERE lo >= hi)) FROM cut WHERE k < 7),
-        placed AS (SELECT doc_id, size, {_CRC32} AS text_crc32, CAST((SELECT count(*) FROM cut WHERE k > 0 AND cut.pos <= pre.e - pre.s) AS INT) AS shard FROM doc JOIN pre USING (h))
+        placed AS (SELECT doc_id, size, CASE WHEN text IS NOT NULL THEN {_CRC32} END AS text_crc32, CAST((SELECT count(*) FROM cut WHERE k > 0 AND cut.pos <= pre.e - pre.s) AS INT) AS shard FROM doc JOIN pre USING (h))
         SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
                row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard
         FROM placed
