@@ -5,8 +5,8 @@ A line's class is found on its normal form: lower case, white space as single sp
    lines are one from here on) and, where it has WORTH characters or more, BANDS band keys
    of ROWS MinHash values each over its SHINGLE-character shingles.
 2. Lines that share a band key are candidates. A key's lines are paired with its smallest
-   line only. Lines of keys that verification left in different classes then meet by an
-   exact prefix join: their shingles in one order, the rarest first, and two lines at the
+   line only. Where verification left a key's lines in different classes, the others of up
+   to SMALL are paired, too, and those of larger keys meet by an exact prefix join: their shingles in one order, the rarest first, and two lines at the
    threshold share one of the first ninth of the smaller's and the first fifth of the
    larger's, at places that leave room for the overlap. So a key with many similar lines
    costs a pair for each, one with many lines that share a common part but aren't similar
@@ -43,6 +43,8 @@ from .components import components
 SHINGLE, ROWS, BANDS, THRESHOLD, WORTH, SEEN = 8, 4, 9, 0.8, 8, 200_000  # WORTH: SHINGLE, so that all lines with a shingle have bands
 #: Places of the table that orders shingles by frequency; lines of a shingle that one join task holds.
 PLACES, HOT = 1 << 20, 2000
+#: Lines of a key that are paired without more ado: at most half as many pairs a line.
+SMALL = 16
 #: MinHash values, of a byte each, that are compared before texts are.
 VALUES = 128
 _LINE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line_no", pa.int32()), ("h", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -101,11 +103,16 @@ def signatures(forms: list[str], values: int = ROWS * BANDS) -> np.ndarray:
     return out
 
 
-def _signatures(forms: list[str], values: int) -> np.ndarray:
-    c = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def _rolled(c: np.ndarray) -> np.ndarray:
+    """A hash of every SHINGLE characters in a row."""
     p2 = c[:-1] * np.uint64(0x1000193) + c[1:]
     p4 = p2[:-2] * np.uint64(0x9E3779B97F4A7C55) + p2[2:]
-    p8 = p4[:-4] * np.uint64(0xD6E8FEB86659FD93) + p4[4:]
+    return p4[:-4] * np.uint64(0xD6E8FEB86659FD93) + p4[4:]
+
+
+def _signatures(forms: list[str], values: int) -> np.ndarray:
+    c = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    p8 = _rolled(c)
     h = ((p8 ^ (p8 >> np.uint64(32))) * _M1 >> np.uint64(32)).astype(np.uint32)
     ends = np.cumsum([len(f) for f in forms])
     cuts = np.empty(2 * len(forms), np.int64)
@@ -250,17 +257,17 @@ def _verify(batches, threshold: float):
 
 def _ordered(form: str, counts: np.ndarray | None = None) -> np.ndarray:
     """Hashes of a form's distinct shingles, the rarest first; any order that all lines share gives the same pairs. Equal hashes of unequal shingles only cost a comparison."""
-    from xxhash import xxh64_intdigest
-
-    h = np.unique(np.array([xxh64_intdigest(x) for x in shingles(form)], np.uint64))
+    h = np.unique(_rolled(np.frombuffer(form.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)) * _M1)
+    h ^= h >> np.uint64(32)
     return h if counts is None else h[np.lexsort((h, counts[h & np.uint64(PLACES - 1)]))]
 
 
 def _count(batches):
     total = np.zeros(PLACES, np.int64)
-    for b in batches:
-        for form in b.column("line").to_pylist():
-            np.add.at(total, _ordered(form) & np.uint64(PLACES - 1), 1)
+    for b in slices(batches, "line"):
+        h = [_ordered(form) & np.uint64(PLACES - 1) for form in b.column("line").to_pylist()]
+        if h:
+            total += np.bincount(np.concatenate(h).astype(np.int64), minlength=PLACES)
     at = np.flatnonzero(total)
     yield batch(pa.schema([("place", pa.int32()), ("n", pa.int64())]), at.astype(np.int32), total[at])
 
@@ -336,11 +343,14 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     top = components(good).select(F.col("node").alias("b"), F.col("root").alias("rb"))
     many = stars.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     member = keep(many.join(stars.select("key", "b"), "key").join(top, "b", "left").select("key", "b", F.coalesce("rb", "b").alias("rb")))
-    left = member.groupBy("key").agg(F.min("rb").alias("lo"), F.max("rb").alias("hi")).where("lo <> hi").select("key").join(member, "key")
-    left = keep(left.select(F.col("b").alias("h"), F.col("rb").alias("top")).distinct())
-    if not left.isEmpty():
-        rest = prefix_pairs(left.join(texts.select("h", "line"), "h"), threshold).join(pairs, ["a", "b"], "left_anti")
-        good = good.union(verified(rest))
+    mixed = member.groupBy("key").agg(F.min("rb").alias("lo"), F.max("rb").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    left = keep(mixed.join(member, "key"))
+    few = left.where(F.col("n") <= SMALL)
+    rest = few.alias("p").join(few.alias("q"), F.expr("p.key = q.key and p.b < q.b and p.rb <> q.rb")).select(F.col("p.b").alias("a"), F.col("q.b").alias("b"))
+    crowd = keep(left.where(F.col("n") > SMALL).select(F.col("b").alias("h"), F.col("rb").alias("top")).distinct())
+    if not crowd.isEmpty():
+        rest = rest.union(prefix_pairs(crowd.join(texts.select("h", "line"), "h"), threshold))
+    good = good.union(verified(rest.distinct().join(pairs, ["a", "b"], "left_anti")))
     top = components(good).withColumnRenamed("node", "h").withColumnRenamed("root", "top")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l"), F.col("doc_id").alias("doc"))
     own = lines.drop("bands")

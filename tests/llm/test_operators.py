@@ -78,7 +78,9 @@ def line_dedup_hash(t):
     return h - (1 << 64) if h >> 63 else h
 
 
-def test_line_classes_match_brute_force(spark, docs, empty):
+@pytest.mark.parametrize("small", [line_dedup.SMALL, 1])
+def test_line_classes_match_brute_force(spark, docs, empty, monkeypatch, small):
+    monkeypatch.setattr(line_dedup, "SMALL", small)
     rng = random.Random(5)
     rows = corpus()
     line = " ".join(words(rng, 60))
