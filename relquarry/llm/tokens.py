@@ -4,7 +4,8 @@ Both vocabularies here split a text by a regular expression and encode every pie
 itself, so a piece's ids can be kept. Texts in which this module's expression might
 differ from the library's (characters beyond the Latin blocks, or the strings of
 special tokens, which get the special tokens' ids as the library gives them) go to the
-library whole. A cache has at most CACHE pieces.
+library whole. A cache has at most CACHE pieces, and as many of the one before it, out of
+which frequent pieces come back without being encoded again.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from array import array as _array
 
 import numpy as np
 
-CACHE = 400_000
+CACHE = 300_000
 
 
 def _visible() -> dict[int, str]:
@@ -26,13 +27,14 @@ def _visible() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """Pieces' ids, found when first asked for."""
+    """Pieces' ids, taken from the cache before or found when first asked for."""
 
-    def __init__(self, find):
-        self.find = find
+    def __init__(self, find, before: dict | None = None):
+        self.find, self.before = find, before or {}
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = ids = self.find(piece)
+        ids = self.before.get(piece)
+        self[piece] = ids = self.find(piece) if ids is None else ids
         return ids
 
 
@@ -46,15 +48,19 @@ class Ids:
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         kind = type(self.tokenizer.pre_tokenizer).__name__
         lower = self.tokenizer.normalizer is not None
+        safe = self._safe()
+        # of safe characters, these are all letters, and 0 to 9 all digits
+        letters = "".join(f"\\u{ord(c):04x}" for c in safe if c.isalpha())
         if kind == "ByteLevel" and not lower:
-            self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+            self.split = re.compile(rf" ?[{letters}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s0-9{letters}]+|\s+(?!\S)|\s+").findall
             self.normal = None
         elif kind == "Sequence" and lower:
-            self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
+            self.split = re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9{letters}]+").findall
             self.normal = str.lower
         else:
             self.split = None
-        self.unsafe = re.compile("[^" + "".join(f"\\u{ord(c):04x}" for c in self._safe()) + "]|<\\|").search
+        self.other = re.compile("[^" + "".join(f"\\u{ord(c):04x}" for c in safe) + "]").search
+        self.controls = [chr(c) for c in range(128) if chr(c) not in set(safe)]
         self.cache = _Pieces(self._piece)
         self.table = _visible()
         self.code = "H" if self.kind.itemsize == 2 else "I"
@@ -73,6 +79,11 @@ class Ids:
                 out.append(c)
         return out
 
+    def unsafe(self, text: str) -> bool:
+        if "<|" in text:
+            return True
+        return any(c in text for c in self.controls) if text.isascii() else bool(self.other(text))
+
     def _piece(self, piece: str) -> bytes:
         return self._pack([x.id for x in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.table))])
 
@@ -90,7 +101,7 @@ class Ids:
             return self.whole(texts)
         out: list[bytes | None] = [None] * len(texts)
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.cache = _Pieces(self._piece, dict(self.cache))
         get, split, normal, unsafe, rest = self.cache.__getitem__, self.split, self.normal, self.unsafe, []
         for i, t in enumerate(texts):
             if unsafe(t):
