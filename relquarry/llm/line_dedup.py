@@ -315,9 +315,8 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keys = lines.where("bands is not null and size(bands) > 0").select(F.explode("bands").alias("key"), "h")
     stars = keep(keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_stars, "key bigint, a bigint, b bigint"))
     pairs = stars.select("a", "b").distinct()
-    texts = None
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         def meet(pairs: DataFrame, *columns: str) -> DataFrame:
             for end in "ab":
                 pairs = pairs.join(texts.select(F.col("h").alias(end), *[F.col(c).alias(c[0] + end) for c in columns]), end)
@@ -338,29 +337,35 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     table = spark.sparkContext.broadcast(bits)
     found = docs.mapInArrow(lambda batches: _lines_of(batches, table.value), "h bigint, line string, sig binary")
     texts = keep(found.join(wanted.distinct(), "h", "left_semi").groupBy("h").agg(*[F.first(c).alias(c) for c in ("line", "sig")]))
-    good = verified(pairs)
+    good = verified(pairs, texts)
     # members of keys of three lines or more whose lines are not all in one class yet
     top = components(good).select(F.col("node").alias("b"), F.col("root").alias("rb"))
     many = stars.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     member = keep(many.join(stars.select("key", "b"), "key").join(top, "b", "left").select("key", "b", F.coalesce("rb", "b").alias("rb")))
     mixed = member.groupBy("key").agg(F.min("rb").alias("lo"), F.max("rb").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
     left = keep(mixed.join(member, "key"))
+    part = keep(texts.join(left.select(F.col("b").alias("h")).distinct(), "h", "left_semi"))
     few = left.where(F.col("n") <= SMALL)
     rest = few.alias("p").join(few.alias("q"), F.expr("p.key = q.key and p.b < q.b and p.rb <> q.rb")).select(F.col("p.b").alias("a"), F.col("q.b").alias("b"))
     crowd = keep(left.where(F.col("n") > SMALL).select(F.col("b").alias("h"), F.col("rb").alias("top")).distinct())
     if not crowd.isEmpty():
-        rest = rest.union(prefix_pairs(crowd.join(texts.select("h", "line"), "h"), threshold))
-    good = good.union(verified(rest.distinct().join(pairs, ["a", "b"], "left_anti")))
-    top = components(good).withColumnRenamed("node", "h").withColumnRenamed("root", "top")
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l"), F.col("doc_id").alias("doc"))
-    own = lines.drop("bands")
-    by_hash = keep(own.groupBy("h").agg(F.min(place).alias("place"), F.count("*").alias("n")).join(top, "h", "left"))
-    first = by_hash.where("top is not null").select("top", "place").union(by_hash.join(top.select(F.col("top").alias("h")).distinct(), "h", "left_semi").select("h", "place")).groupBy("top").agg(F.min("place").alias("best"))
-    # the class of a line that is its class's name has no row in top
-    by_hash = by_hash.withColumn("top", F.coalesce("top", "h")).join(first, "top", "left").select("h", F.coalesce("best", "place").alias("place"))
-    rows = own.join(by_hash, "h")
-    kept = F.col("place.d").eqNullSafe(F.coalesce("doc_id", F.lit((1 << 63) - 1))) & (F.col("place.t") == F.col("text_hash")) & (F.col("place.l") == F.col("line_no"))
-    return rows.select("doc_id", "text_hash", "line_no", F.col("place.doc").alias("first_doc_id"), F.col("place.l").alias("first_line_no"), kept.alias("kept"))
+        rest = rest.union(prefix_pairs(crowd.join(part.select("h", "line"), "h"), threshold))
+    good = good.union(verified(rest.distinct().join(pairs, ["a", "b"], "left_anti"), part))
+    top = components(good).toDF("h", "top")
+    # only lines that are there repeatedly, or have similar ones, need another place than their own
+    names = top.union(top.select("top", "top")).distinct()
+    last = F.lit((1 << 63) - 1)  # of null doc_ids
+    own = lines.select("doc_id", "text_hash", "line_no", "h")
+    counts = own.groupBy("h").agg(F.count("*").alias("n"), F.min(F.coalesce("doc_id", last)).alias("d"))
+    known = keep(counts.join(names, "h", "left").where("n > 1 or top is not null").select("h", F.coalesce("top", "h").alias("top"), "d"))
+    least = known.groupBy("top").agg(F.min("d").alias("d"))
+    rows = keep(own.join(known.drop("d").join(least, "top"), "h", "left"))
+    several = rows.where("top is not null")
+    best = several.where(F.coalesce("doc_id", last) == F.col("d")).groupBy("top").agg(F.min(F.struct(F.col("text_hash").alias("t"), F.col("line_no").alias("l"), F.col("doc_id").alias("doc"))).alias("best"))
+    here = F.coalesce("doc_id", last) == F.col("d")
+    kept = here & (F.col("best.t") == F.col("text_hash")) & (F.col("best.l") == F.col("line_no"))
+    out = several.join(best, "top").select("doc_id", "text_hash", "line_no", F.col("best.doc").alias("first_doc_id"), F.col("best.l").alias("first_line_no"), kept.alias("kept"))
+    return out.union(rows.where("top is null").select("doc_id", "text_hash", "line_no", "doc_id", "line_no", F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
