@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from math import log
 
 import pandas as pd
 from pyspark.sql import Column
@@ -142,7 +143,13 @@ def stemmed(tokens_: Column, stemmer: str | None) -> Column:
 
 def analyze(text, meta) -> Column:
     """The token column of an index's settings: tokenizer, stop words, stemmer, in this order."""
-    return stemmed(without(tokens(text, meta.tokenizer), meta.stop_words), meta.stemmer)
+    return stemmed(without(tokens(text, meta.tokenizer, log_dictionary(meta.zh_dictionary)), meta.stop_words), meta.stemmer)
+
+
+def log_dictionary(words) -> dict[str, float]:
+    """Log probabilities of (word, frequency) pairs."""
+    total = sum(n for _, n in words)
+    return {w: log(n / total) for w, n in words if n > 0}
 
 
 def quantized_length(n: Column) -> Column:
@@ -222,9 +229,17 @@ def chunks(text: str | None, size: int = 1000) -> list[str]:
     return [c for c in out if c]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def chunk_text(s: pd.Series) -> pd.Series:
-    return s.map(chunks)
+def chunk_text_of(size: int):
+    """Arrow UDF: a text's chunks of at most ``size`` bytes."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def of(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: chunks(t, size))
+
+    return of
+
+
+chunk_text = chunk_text_of(1000)
 
 
 def substring(c: Column, start: int, length: int) -> Column:

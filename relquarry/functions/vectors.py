@@ -63,6 +63,22 @@ def similarity_to(query, kind: str):
     return score
 
 
+def similarity_to_i8(query, kind: str):
+    """Similarity of (int8 components, scale) columns to one query vector, by Arrow batches."""
+    q = np.asarray(query, np.float64)
+    if kind == "Cosine":
+        q = q / np.linalg.norm(q)
+
+    @F.pandas_udf("double")
+    def score(s: pd.Series, scale: pd.Series) -> pd.Series:
+        x = np.stack(s.to_numpy()).astype(np.float64) * scale.to_numpy()[:, None] if len(s) else np.zeros((0, len(q)))
+        if kind == "Euclidean":
+            return pd.Series(-((x - q) ** 2).sum(axis=1))
+        return pd.Series(x @ q / (np.linalg.norm(x, axis=1) if kind == "Cosine" else 1))
+
+    return score
+
+
 def reported(score: Column, kind: str, quantized: bool = False) -> Column:
     """The score that a result shows: the squared distance, or (s + 1) / 2."""
     if kind == "Euclidean":

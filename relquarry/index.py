@@ -3,16 +3,22 @@
 Documents come in levels, which never change once committed: ``docs`` (stored fields,
 facets, geography), ``postings`` (bucketed by a hash of the term and sorted by it, so that
 a query reads its terms' buckets only), ``terms`` (document frequencies), ``vectors``,
-``dictionary`` and ``completions``. Levels that aren't committed are seen by real-time
-searches only. Deletes are a table of ids; statistics keep counting deleted documents
-until ``compact``.
+``dictionary`` and ``completions``. Vectors lie in folders of their cluster, whose medoids
+were fitted when the level was written, so that a search reads the clusters that it
+probes only. Levels that aren't committed are seen by real-time searches only. Deletes
+are a table of ids; statistics keep counting deleted documents until ``compact``.
+
+The state file names the levels that count and is replaced in one move, after a level's
+files are whole; files that it doesn't name are left over from a failure, or superseded.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+import math
+from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +51,7 @@ class Index:
     def __init__(self, spark: SparkSession, path: str, schema: Schema, meta: IndexMeta, state: dict):
         prepare(spark)
         self.spark, self.path, self.schema, self.meta, self.state = spark, path.rstrip("/"), schema, meta, state
+        self.embedder = None
 
     # -- lifecycle
 
@@ -98,7 +105,10 @@ class Index:
         return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*paths) if paths else None
 
     def deleted(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/deleted") if self.state["deleted"] else None
+        return self.spark.read.parquet(self._deletes()) if self.state["deleted"] else None
+
+    def _deletes(self) -> str:
+        return f"{self.path}/deleted-{self.state.get('deletes', 0)}"
 
     def _alive(self, df: DataFrame) -> DataFrame:
         gone = self.deleted()
@@ -138,6 +148,8 @@ class Index:
             if old is s["levels"][-1]:
                 s["next_doc"] = old["first"]
             s["levels"].remove(old)
+        else:
+            old = None
         level, first = s["next_level"], s["next_doc"]
         s["next_level"] += 1
         names = docs.columns
@@ -164,33 +176,54 @@ class Index:
         n, last = docs.agg(F.count("*"), F.max("doc_id")).first()
         relations, length = ["docs"], 0
         if self.schema.lexical and n:
-            cores = spark.sparkContext.defaultParallelism
-            if docs.rdd.getNumPartitions() < cores:  # a small level in few files
-                docs = docs.repartition(cores)
-            tokens = build.token_rows(docs, self.schema, self.meta)
-            rows = build.with_synonyms(build.postings(tokens, self.meta), self.synonyms())
-            self._write_postings(rows, level, n)
-            length = self._read_postings(level).where(~F.col("term").contains(" ")).groupBy("doc_id", "field_id").agg(F.first("dl").alias("dl")).agg(F.sum("dl")).first()[0] or 0
-            self._write_terms(level)
-            relations += ["postings", "terms"]
-            sources = [i for i, f in enumerate(self.schema.lexical) if f.completion_source]
-            if sources or self.meta.query_completion:
-                of = tokens.where(F.col("field_id").isin(sources)) if sources else tokens
-                build.completions(of).write.mode("overwrite").parquet(f"{self.path}/completions/level={level}")
-                relations.append("completions")
-            words = [i for i, f in enumerate(self.schema.lexical) if f.dictionary_source]
-            if words or self.meta.spelling_correction:
-                of = self._read_postings(level).where(~F.col("term").contains(" "))
-                build.dictionary(of.where(F.col("field_id").isin(words)) if words else of).write.mode("overwrite").parquet(f"{self.path}/dictionary/level={level}")
-                relations.append("dictionary")
+            length = self._write_lexical(docs, level, n, relations)
         if self.schema.vectors and n:
             self._write_vectors(docs, level)
             relations.append("vectors")
         s["levels"].append({"id": level, "first": first, "docs": n, "length": int(length), "committed": False, "relations": relations, "batch": batch})
-        s["next_doc"] = max(first + n, (last if last is not None else -1) + 1) if id_column else first + n
-        self._save()
+        s["next_doc"] = max(first, (last if last is not None else -1) + 1) if id_column else first + n
+        if self.meta.auto_commit_docs and sum(x["docs"] for x in s["levels"] if not x["committed"]) >= self.meta.auto_commit_docs:
+            self.commit()
+        else:
+            self._save()
+        if old:
+            self._remove([old])
         return n
 
+    def _write_lexical(self, docs: DataFrame, level: int, n: int, relations: list[str]) -> int:
+        """Postings, terms, completions and dictionary of a level, from tokens that are made and written once; returns the sum of lengths."""
+        spark, fields = self.spark, self.schema.lexical
+        cores = spark.sparkContext.defaultParallelism
+        if docs.rdd.getNumPartitions() < cores:  # a small level in few files
+            docs = docs.repartition(cores)
+        staged = f"{self.path}/tokens/level={level}"
+        dl = analysis.quantized_length(F.size("tokens")).cast("int").alias("dl")
+        build.token_rows(docs, self.schema, self.meta).select("doc_id", "field_id", "tokens", dl).write.mode("overwrite").parquet(staged)
+        tokens = spark.read.parquet(staged)
+        length = tokens.agg(F.sum("dl")).first()[0] or 0
+        self._write_postings(build.with_synonyms(build.postings(tokens, self.meta), self.synonyms()), level, n)
+        rows = self._read_postings(level)
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.state["buckets"])).cast("int")
+        terms = build.dictionary(rows, len(fields)).withColumn("bucket", bucket)
+        terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms/level={level}")
+        relations += ["postings", "terms"]
+        sources = [i for i, f in enumerate(fields) if f.completion_source]
+        if sources or self.meta.query_completion:
+            of = tokens.where(F.col("field_id").isin(sources)) if 0 < len(sources) < len(fields) else tokens
+            build.completions(of).write.mode("overwrite").parquet(f"{self.path}/completions/level={level}")
+            relations.append("completions")
+        words = [i for i, f in enumerate(fields) if f.dictionary_source]
+        if words or self.meta.spelling_correction:
+            if 0 < len(words) < len(fields):
+                known = build.dictionary(rows.where(F.col("field_id").isin(words) & ~F.col("term").contains(" ")), len(words))
+            else:  # all fields: the terms that are no n-grams
+                known = spark.read.parquet(f"{self.path}/terms/level={level}").where(~F.col("term").contains(" ")).select("term", "df")
+            known.write.mode("overwrite").parquet(f"{self.path}/dictionary/level={level}")
+            relations.append("dictionary")
+        where, root = self._files(self.path)
+        where.delete_dir(f"{root}/tokens")
+        return length
+
     def index_document(self, doc: dict) -> int:
         """One document; returns its id."""
         first = self.state["next_doc"]
@@ -208,54 +241,144 @@ class Index:
     def _read_postings(self, level: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/postings/level={level}")
 
-    def _write_terms(self, level: int) -> None:
-        t = build.dictionary(self._read_postings(level)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.state["buckets"])).cast("int"))
-        t.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms/level={level}")
-
     def _write_vectors(self, docs: DataFrame, level: int) -> None:
         parts = None
         for i, f in enumerate(self.schema.vectors):
             c = F.col(f"`{f.field}`")
-            v = V.external_vector(c) if f.field_type == "Binary" else V.json_vector(c)
-            one = docs.where(c.isNotNull()).select("doc_id", F.lit(i).alias("field_id"), v.alias("vector"))
+            if f.field_type == "Text":  # chunks of the text, through the embedder
+                if self.embedder is None:
+                    raise ValueError(f"{f.field}: texts need an embedder")
+                one = docs.where(c.isNotNull()).select("doc_id", F.lit(i).alias("field_id"), F.explode(analysis.chunk_text_of(self.meta.chunk_size)(c)).alias("chunk"))
+                one = one.select("doc_id", "field_id", self._embed("chunk").alias("vector"))
+            else:
+                v = V.external_vector(c) if f.field_type == "Binary" else V.json_vector(c)
+                one = docs.where(c.isNotNull()).select("doc_id", F.lit(i).alias("field_id"), v.alias("vector"))
             parts = one if parts is None else parts.union(one)
-        if self.meta.vector_similarity == "Cosine":
+        kind = self.meta.vector_similarity
+        if kind == "Cosine":
             parts = parts.withColumn("vector", V.normalize(F.col("vector")).cast("array<float>"))
-        parts.write.mode("overwrite").parquet(f"{self.path}/vectors/level={level}")
+        out, staged = f"{self.path}/vectors/level={level}", f"{self.path}/vectors-staged/level={level}"
+        parts.write.mode("overwrite").parquet(staged)
+        parts = self.spark.read.parquet(staged)
+        medoids = vector.fit_medoids(parts, self.meta.clustering, kind)
+        parts = vector.assign(parts, medoids, kind)
+        where, root = self._files(self.path)
+        where.create_dir(f"{root}/medoids", recursive=True)
+        with where.open_output_stream(f"{root}/medoids/{level}.json") as f:
+            f.write(json.dumps({"medoids": medoids.tolist(), "nprobe": vector.fit_nprobe(parts, medoids, kind)}).encode())
+        if self.meta.quantization == "I8":
+            parts = parts.withColumn("q", V.quantize_symmetric(F.col("vector"))).select("doc_id", "field_id", F.col("q.values").alias("vector"), F.col("q.scale").alias("scale"), "cluster_id")
+        elif self.meta.quantization == "RotatedI8":
+            parts = parts.withColumn("q", V.quantize_rotated()("vector")).select("doc_id", "field_id", F.col("q.values").alias("vector"), F.col("q.scale").alias("scale"), "cluster_id")
+        salt = max(1, min(64, parts.count() // 1_000_000 // max(1, len(medoids))))
+        n = max(1, min(len(medoids) * salt, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        parts = parts.repartition(n, "cluster_id", F.pmod(F.xxhash64("doc_id"), F.lit(salt))).sortWithinPartitions("cluster_id", "doc_id")
+        parts.write.mode("overwrite").partitionBy("cluster_id").parquet(out)
+        where.delete_dir(f"{root}/vectors-staged")
+
+    def _embed(self, column: str):
+        """Arrow UDF of the index's embedder, a function of a list of texts to a matrix."""
+        embed = self.embedder
+
+        @F.pandas_udf("array<float>")
+        def of(s):
+            import pandas as pd
+
+            return pd.Series([[float(x) for x in v] for v in embed(s.tolist())], index=s.index)
+
+        return of(column)
+
+    def set_embedder(self, embed) -> None:
+        """How texts of vector fields, and query texts, become vectors: a function that Python workers can load. It isn't stored with the index."""
+        self.embedder = embed
+
+    def _medoids(self, level: int) -> tuple[np.ndarray, int]:
+        where, root = self._files(self.path)
+        with where.open_input_file(f"{root}/medoids/{level}.json") as f:
+            d = json.loads(f.read())
+        return np.array(d["medoids"], np.float64).reshape(len(d["medoids"]), -1), d["nprobe"]
 
     def commit(self) -> None:
         for x in self.state["levels"]:
             x["committed"] = True
         self._save()
+        if self.meta.merge_levels > 1:
+            self.merge()
+
+    def merge(self) -> int:
+        """Merge runs of committed levels of about one size (a power of merge_levels) into one; returns the number of merges.
+
+        So a level is rewritten once a power of merge_levels, and their number stays
+        logarithmic in the number of documents.
+        """
+        most, merges = max(2, self.meta.merge_levels or 8), 0
+        while True:
+            by: dict[int, list[dict]] = {}
+            for x in self._levels():
+                by.setdefault(int(math.log(max(x["docs"], 1), most)), []).append(x)
+            some = next((v[:most] for _, v in sorted(by.items()) if len(v) >= most), None)
+            if some is None:
+                return merges
+            self._rewrite_levels(some)
+            merges += 1
 
     def compact(self) -> None:
         """Rewrite all levels as one, without deleted documents; ids stay."""
-        docs = self.documents(realtime=True)
-        keep = f"{self.path}-compact"
-        new = Index.create(self.spark, keep, self.schema, self.meta, self.state["synonyms"], self.state["buckets"])
-        new.index_documents(docs, id_column="doc_id")
-        new.commit()
-        new.state["next_doc"] = self.state["next_doc"]
-        new._save()
+        for x in self.state["levels"]:
+            x["committed"] = True
+        if self.state["levels"]:
+            self._rewrite_levels(list(self.state["levels"]))
+        if self.state["deleted"]:
+            self.state["deleted"] = 0
+            self.state["deletes"] = self.state.get("deletes", 0) + 1
+            self._save()
+
+    def _rewrite_levels(self, old: list[dict]) -> None:
+        """A new level with the documents of others that aren't deleted. The old files go only after the state names the new one."""
+        s, ids = self.state, [x["id"] for x in old]
+        paths = [f"{self.path}/docs/level={i}" for i in ids]
+        docs = self._alive(self.spark.read.option("basePath", f"{self.path}/docs").parquet(*paths).drop("level"))
+        first, kept, saved, auto = min(x["first"] for x in old), s["next_doc"], self._save, self.meta
+        self._save, self.meta = (lambda: None), replace(self.meta, auto_commit_docs=0)  # one save for both
+        try:
+            self.index_documents(docs, id_column="doc_id")
+        finally:
+            self._save, self.meta = saved, auto
+        new = s["levels"].pop()
+        new |= {"committed": True, "first": first}
+        s["levels"] = [new, *(x for x in s["levels"] if x["id"] not in ids)] if new["docs"] else [x for x in s["levels"] if x["id"] not in ids]
+        s["next_doc"] = kept
+        self._save()
+        self._remove(old)
+
+    def _remove(self, levels: list[dict]) -> None:
         where, root = self._files(self.path)
-        where.delete_dir(root)
-        where.move(self._files(keep)[1], root)
-        self.state = new.state
+        for x in levels:
+            for name in x["relations"]:
+                at = f"{root}/{name}/level={x['id']}"
+                if where.get_file_info(at).type != fs.FileType.NotFound:
+                    where.delete_dir(at)
 
     # -- deletes and updates
 
     def delete_documents(self, ids) -> None:
         """ids: numbers, or a DataFrame with doc_id."""
         df = ids.select(F.col("doc_id").cast("bigint")) if isinstance(ids, DataFrame) else self.spark.createDataFrame([(int(i),) for i in ids], "doc_id bigint")
-        df.distinct().write.mode("append").parquet(f"{self.path}/deleted")
-        self.state["deleted"] = self.spark.read.parquet(f"{self.path}/deleted").distinct().count()
+        df.distinct().write.mode("append").parquet(self._deletes())
+        self.state["deleted"] = self.spark.read.parquet(self._deletes()).distinct().count()
         self._save()
 
     delete_document = lambda self, doc_id: self.delete_documents([doc_id])
 
-    def delete_by_query(self, text: str, **options) -> None:
-        options.setdefault("length", 1 << 31 - 1)
-        found = self.search(text, result_type="Topk", **options).results
+    def delete_by_query(self, text: str, query_type: str = "intersection", fields=(), filters=(), realtime: bool = False, offset: int = 0, length: int | None = None, **options) -> None:
+        """Delete all that a query matches; with offset or length, those places of its ranking only."""
+        if offset or length is not None or options:
+            options |= {"query_type": query_type, "fields": fields, "filters": filters, "realtime": realtime}
+            found = self.search(text, result_type="Topk", offset=offset, length=length if length is not None else (1 << 31) - 1 - offset, with_documents=False, **options).results
+        else:
+            found = self.matches(Q.parse(text, self.meta, query_type), realtime, fields, score=False)
+            if filters:
+                found = found.join(facets.filtered(self.documents(realtime), filters).select("doc_id"), "doc_id", "left_semi")
         self.delete_documents(found)
 
     def update_documents(self, ids, docs: DataFrame) -> None:
@@ -299,18 +422,43 @@ class Index:
 
     def dictionary(self) -> DataFrame | None:
         d = self.relation("dictionary", True)
-        return d.groupBy("term").agg(F.sum("df").alias("df")) if d is not None else None
+        if loaded := self.state.get("dictionary"):
+            more = self.spark.read.schema("term string, df bigint").csv(loaded)
+            d = more if d is None else d.select("term", "df").union(more)
+        if d is None:
+            return None
+        d = d.groupBy("term").agg(F.sum("df").alias("df"))
+        return build.most_frequent(d, "df", self.meta.spelling_correction.max_dictionary_entries) if self.meta.spelling_correction else d
 
     def completions(self) -> DataFrame | None:
         c = self.relation("completions", True)
-        return c.groupBy("gram").agg(F.sum("n").alias("n")) if c is not None else None
+        if loaded := self.state.get("completions"):
+            more = self.spark.read.schema("gram string, n bigint").csv(loaded)
+            c = more if c is None else c.select("gram", "n").union(more)
+        if c is None:
+            return None
+        c = c.groupBy("gram").agg(F.sum("n").alias("n"))
+        return build.most_frequent(c, "n", self.meta.query_completion.max_completion_entries) if self.meta.query_completion else c
 
     def save_dictionary(self, path: str) -> None:
         """As CSV: term, count."""
         self.dictionary().write.mode("overwrite").csv(path)
 
     def load_dictionary(self, path: str) -> DataFrame:
-        return self.spark.read.schema("term string, df bigint").csv(path)
+        """Add the entries of a CSV file to the index's own, for corrections."""
+        self.state["dictionary"] = path
+        self._save()
+        return self.dictionary()
+
+    def save_completions(self, path: str) -> None:
+        """As CSV: words, count."""
+        self.completions().write.mode("overwrite").csv(path)
+
+    def load_completions(self, path: str) -> DataFrame:
+        """Add the entries of a CSV file to the index's own, for suggestions."""
+        self.state["completions"] = path
+        self._save()
+        return self.completions()
 
     # -- reads
 
@@ -379,7 +527,7 @@ class Index:
 
     def search(
         self, text: str = "", query_type: str = "intersection", result_type: str = "TopkCount", offset: int = 0, length: int = 10, realtime: bool = False, fields=(), filters=(), query_facets=(), sort=(),
-        mode: str = "lexical", query_vector=None, ann_mode: str = "All", nprobe: int = 16, similarity_threshold: float | None = None, enable_empty_query: bool = False,
+        mode: str = "lexical", query_vector=None, ann_mode: str = "All", nprobe: int | None = None, similarity_threshold: float | None = None, enable_empty_query: bool = False,
         rewriting: str = "SearchOnly", suggestions: int = 10, return_fields=(), highlights=(), distances=(), with_documents: bool = True,
     ) -> Result:
         """Search of one of the modes lexical, vector or hybrid; result_type: Count, Topk or TopkCount."""
@@ -436,15 +584,26 @@ class Index:
                 res.result_count = max(0, min(length, res.result_count_total - offset))
         return res
 
-    def _near(self, query, realtime: bool, ann_mode: str, nprobe: int, least: float | None) -> DataFrame:
+    def _near(self, query, realtime: bool, ann_mode: str, nprobe: int | None, least: float | None) -> DataFrame:
+        """doc_id, score by similarity to a vector, or to a text through the embedder; nprobe None: each level's own."""
         rows, kind = self.relation("vectors", realtime), self.meta.vector_similarity
         if rows is None:
             return self.spark.createDataFrame([], "doc_id bigint, score double")
-        rows = self._alive(rows)
-        if ann_mode == "All":
-            return vector.exact(rows, query, kind, least)
-        medoids = vector.fit_medoids(rows, self.meta.clustering, kind)
-        return vector.search(vector.assign(rows, medoids, kind), query, medoids, ann_mode, nprobe, least, kind)
+        if isinstance(query, str):
+            query = self.embedder([query])[0]
+        q = np.asarray(query, np.float64)
+        if ann_mode != "All":
+            # clusters are folders, so that this filter prunes what is read
+            chosen = F.lit(False)
+            for x in self._levels(realtime):
+                if "vectors" in x["relations"]:
+                    medoids, own = self._medoids(x["id"])
+                    ids = vector.probe(q, medoids, (nprobe or own) if "Nprobe" in ann_mode else None, least if "threshold" in ann_mode else None, kind)
+                    chosen = chosen | ((F.col("level") == x["id"]) & F.col("cluster_id").isin(ids))
+            rows = rows.where(chosen)
+        if self.meta.quantization == "RotatedI8":
+            q = V.rotate(q[None])[0]
+        return vector.exact(self._alive(rows), q, kind, least)
 
     def _rewrite(self, res: Result, text: str, mode: str, length: int) -> None:
         words = Q.split(text, self.meta.tokenizer)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,18 +109,51 @@ def lengths(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", "field_id", analysis.quantized_length(F.size("tokens")).cast("int").alias("dl"))
 
 
-def dictionary(rows: DataFrame) -> DataFrame:
-    """term, df: documents that have a term in any field."""
-    return rows.groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
+def dictionary(rows: DataFrame, fields: int = 2) -> DataFrame:
+    """term, df: documents that have a term in any field. A document has a term once a field, so that rows are counted where there is one field."""
+    return rows.groupBy("term").agg((F.count("*") if fields == 1 else F.count_distinct("doc_id")).alias("df"))
+
+
+_GRAM = pa.schema([("gram", pa.string()), ("n", pa.int64())])
+_number = re.compile(r"\d+").fullmatch
+
+
+def _grams(batches):
+    """Words, pairs and triples that completion offers, counted within a batch of token lists."""
+    for b in batches:
+        tokens = b.column("tokens")
+        flat = tokens.flatten().dictionary_encode()
+        if not len(flat):
+            continue
+        words, code = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(b.num_rows), tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        text = words.to_pylist()
+        long = np.array([len(w) > 1 for w in text])
+        single = long & ~np.array([bool(_number(w)) for w in text])
+        v = len(text)
+        one, n1 = np.unique(code[single[code]], return_counts=True)
+        at = np.flatnonzero((row[:-1] == row[1:]) & long[code[:-1]])
+        two, n2 = np.unique(code[at] * v + code[at + 1], return_counts=True)
+        at = np.flatnonzero((row[:-2] == row[2:]) & long[code[1:-1]])
+        three, n3 = np.unique((code[at] * v + code[at + 1]) * v + code[at + 2], return_counts=True)
+        take = lambda k: words.take(pa.array(k))
+        yield pa.RecordBatch.from_arrays([take(one), pa.array(n1)], schema=_GRAM)
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(take(two // v), take(two % v), " "), pa.array(n2)], schema=_GRAM)
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(take(three // v // v), take(three // v % v), take(three % v), " "), pa.array(n3)], schema=_GRAM)
 
 
 def completions(tokens: DataFrame) -> DataFrame:
-    """gram, n: frequency of words, word pairs and triples that completion offers."""
-    t = F.col("tokens")
-    at = lambda i, j: F.get(t, i + j)
-    number = lambda c: c.rlike(r"^\p{Nd}+$")
-    one = F.filter(t, lambda w: (F.length(w) > 1) & ~number(w))
-    two = F.when(F.size(t) > 1, F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - 2, F.lit(0))), lambda i: F.when(F.length(at(i, 0)) > 1, F.concat_ws(" ", at(i, 0), at(i, 1)))), lambda g: g.isNotNull()))
-    three = F.when(F.size(t) > 2, F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - 3, F.lit(0))), lambda i: F.when(F.length(at(i, 1)) > 1, F.concat_ws(" ", at(i, 0), at(i, 1), at(i, 2)))), lambda g: g.isNotNull()))
-    empty = F.array().cast("array<string>")
-    return tokens.select(F.explode(F.concat(one, F.coalesce(two, empty), F.coalesce(three, empty))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    """gram, n: frequency of words of over one character that aren't numbers, of pairs whose first and triples whose middle word has over one character."""
+    prepare(tokens.sparkSession)
+    return tokens.select("tokens").mapInArrow(_grams, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows of at most ``most`` that have the highest numbers; of equal numbers at the limit, none. The driver sees a count for each number."""
+    counts = sorted(map(tuple, rows.groupBy(column).agg(F.count("*")).collect()), reverse=True)
+    total = 0
+    for value, n in counts:
+        total += n
+        if total > most:
+            return rows.where(F.col(column) > F.lit(value))
+    return rows

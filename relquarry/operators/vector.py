@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..storage import prepare
 
-SAMPLE = 50_000
+SAMPLE, MOST_CLUSTERS = 50_000, 16_384
 
 
 def best_chunks(scored: DataFrame) -> DataFrame:
@@ -28,9 +28,10 @@ def threshold(scored: DataFrame, least: float | None, kind: str) -> DataFrame:
 
 
 def exact(vectors: DataFrame, query, kind: str = "Dot", least: float | None = None) -> DataFrame:
-    """doc_id, score of every document (rows: doc_id, vector; one per chunk)."""
+    """doc_id, score of every document (rows: doc_id, vector, and scale where the vector is int8 codes; one per chunk)."""
     prepare(vectors.sparkSession)
-    scored = vectors.select("doc_id", V.similarity_to(query, kind)("vector").alias("score"))
+    score = V.similarity_to_i8(query, kind)("vector", "scale") if "scale" in vectors.columns else V.similarity_to(query, kind)("vector")
+    scored = vectors.select("doc_id", score.alias("score"))
     return threshold(best_chunks(scored), least, kind)
 
 
@@ -53,11 +54,11 @@ def kmedoids(x: np.ndarray, k: int, kind: str = "Dot", rounds: int = 8, seed: in
 
 
 def fit_medoids(vectors: DataFrame, clusters: int | str = "Auto", kind: str = "Dot") -> np.ndarray:
-    """Medoids fitted on SAMPLE vectors at most; Auto: two times the root of the number of vectors. No clusters under 100 vectors."""
+    """Medoids fitted on SAMPLE vectors at most; Auto: two times the root of the number of vectors, MOST_CLUSTERS at most, so that the medoids fit the driver and a sample has some vectors for each. No clusters under 100 vectors."""
     n = vectors.count()
     if n < 100:
         return np.zeros((0, 0))
-    k = max(1, int(2 * math.sqrt(n))) if clusters == "Auto" else int(clusters)
+    k = min(MOST_CLUSTERS, max(1, int(2 * math.sqrt(n)))) if clusters == "Auto" else int(clusters)
     share = min(1.0, SAMPLE / n)
     some = vectors.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).orderBy("doc_id").select("vector").toPandas()
     x = np.stack(some["vector"].to_numpy()).astype(np.float64)
@@ -89,9 +90,15 @@ def probe(query, medoids: np.ndarray, nprobe: int | None = None, least: float |
     return [int(c) for c in (order if nprobe is None else order[:nprobe])]
 
 
-def wide_nprobe(medoids: np.ndarray) -> int:
-    """Clusters to probe for a recall at 10 of 0.9 and more: four in five, so that the share doesn't fall as clusters grow in number."""
-    return max(8, len(medoids) * 4 // 5)
+def fit_nprobe(clustered: DataFrame, medoids: np.ndarray, kind: str = "Dot", target: float = 0.97, k: int = 10, queries: int = 200) -> int:
+    """Clusters to probe so that ``target`` of the true k nearest of a bounded sample of queries, at most ``queries`` vectors chosen by a hash, lie in them."""
+    if not len(medoids):
+        return 1
+    some = clustered.orderBy(F.xxhash64("doc_id"), "doc_id").limit(queries).select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query"))
+    truth = search_many(clustered.select("doc_id", "vector"), some, k, kind)
+    where = truth.select("query_id", "doc_id").join(clustered.select("doc_id", "cluster_id"), "doc_id").join(some, "query_id").select("query", "cluster_id").collect()
+    places = sorted(probe(q, medoids, None, None, kind).index(c) + 1 for q, c in where)
+    return places[min(len(places) - 1, math.ceil(target * len(places)) - 1)] if places else 1
 
 
 def search(clustered: DataFrame, query, medoids: np.ndarray, mode: str = "All", nprobe: int = 16, least: float | None = None, kind: str = "Dot") -> DataFrame:

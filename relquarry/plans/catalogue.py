@@ -19,6 +19,7 @@ from ..functions.words import ENGLISH
 from ..index import Index
 from ..operators import build, facets, lexical, rewrite, vector
 from ..schema import IndexMeta, Schema, SchemaField, SpellingCorrection
+from ..sources import readers
 from ..storage import prepare, scratch
 from . import query as Q
 
@@ -188,11 +189,18 @@ def json_field(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("value"))
 
 
-@query()
+@query("SELECT event_id, array_to_string(list_transform(list_filter(json_keys(props), lambda k: json_type(props, '$.' || k) = 'VARCHAR'), lambda k: json_extract_string(props, '$.' || k)), ' ') AS text FROM events")
 def json_values(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", analysis.json_text("props").alias("text"))
 
 
+@query("SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type || ' end' AS text FROM part")
+def json_nested(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    doc = F.to_json(F.struct("p_name", F.struct("p_size", F.array("p_brand", "p_type").alias("l")).alias("o"), F.lit("end").alias("z"), F.lit(True).alias("b")))
+    return part.select("p_partkey", analysis.json_text(doc).alias("text"))
+
+
 @query("SELECT p_partkey, base64(encode(p_name)) AS b64, substr(p_name, 3, 5) AS part, left(p_name, 6) AS head FROM part")
 def text_utils(spark, sf_dir):
     c = F.col("p_name")
@@ -458,7 +466,16 @@ def geo_sort(spark, sf_dir):
     return facets.top(p, [facets.ResultSort("far")], 20).select("doc_id", "point.lat", "point.lon")
 
 
-@query()
+def _morton_sql(c: str) -> str:
+    """Bits of a coordinate in units of 1e-7 degrees, each followed by a free one."""
+    x = f"(CAST(trunc({c} * 1e7) AS BIGINT) & 4294967295)"
+    parts = [f"(SELECT {x}::HUGEINT AS v)"]
+    for shift, mask in geo._SPREAD:
+        parts.append(f"(SELECT ((v | (v << {shift})) & {mask}::HUGEINT) AS v FROM {parts[-1]})")
+    return f"(SELECT v FROM {parts[-1]})"
+
+
+@query(f"{_POINTS}, m AS (SELECT doc_id, {_morton_sql('lat')} | ({_morton_sql('lon')} << 1) AS code FROM p) SELECT doc_id, CAST(CASE WHEN code >= 9223372036854775808 THEN code - 18446744073709551616 ELSE code END AS BIGINT) AS code FROM m")
 def geo_morton(spark, sf_dir):
     return _points(spark, sf_dir).select("doc_id", geo.morton(F.col("point.lat"), F.col("point.lon")).alias("code"))
 
@@ -468,9 +485,17 @@ def geo_morton(spark, sf_dir):
 
 @query("WITH m AS (SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(lower(text), '" + RX + "'), 'thing')) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM m)")
 def delete_by_query(spark, sf_dir):
-    index = index_for(spark, sf_dir)
-    gone = index.matches(Q.parse("thing", index.meta), score=False)
-    return index.documents().join(gone, "doc_id", "left_anti").select("doc_id")
+    index = _fresh(spark, sf_dir, "delete", Schema((SchemaField("text", index_lexical=True),)))
+    index.index_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), id_column="doc_id")
+    index.commit()
+    index.delete_by_query("thing")
+    return index.documents().select("doc_id")
+
+
+def _fresh(spark, sf_dir, name: str, schema: Schema, meta: IndexMeta = PLAIN, buckets: int = 8) -> Index:
+    index = Index.create(spark, f"{scratch(spark)}/{name}-{crc32(sf_dir.encode()):08x}", schema, meta, buckets=buckets)
+    index.clear()
+    return index
 
 
 @query("WITH m AS (SELECT max(doc_id) AS top FROM documents) SELECT doc_id, lang FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT top + row_number() OVER (ORDER BY doc_id), 'new' FROM documents, m WHERE doc_id % 10 = 3")
@@ -500,7 +525,11 @@ def committed_only(spark, sf_dir):
     return lexical.rank(index.matches(Q.parse("the thing", index.meta, "union")), 25)
 
 
-@query()
+@query(
+    f"""{_postings(where="doc_id % 4 <> 3")} SELECT 'index' AS name, (SELECT max(doc_id) + 1 FROM documents) AS next_doc_id, (SELECT count(*) FROM documents WHERE doc_id % 4 = 3) AS uncommitted_docs, n AS committed_docs,
+    (SELECT count(*) FROM documents) - (SELECT count(*) FROM documents WHERE doc_id % 7 = 0 AND doc_id % 4 <> 3) AS current_docs, (SELECT count(*) FROM documents WHERE doc_id % 7 = 0 AND doc_id % 4 <> 3) AS deleted_docs,
+    2 AS levels, 3 AS facets, round(avgdl, 6) AS average_length, 0 AS vectors FROM stat"""
+)
 def index_info(spark, sf_dir):
     return index_for(spark, sf_dir, "live").info()
 
@@ -558,7 +587,10 @@ def vec_rotated_i8(spark, sf_dir):
     return _vectors(spark, sf_dir).select("doc_id", V.quantize_rotated()("vector").alias("q")).select("doc_id", F.round("q.scale", 9).alias("scale"), "q.values")
 
 
-@query()
+_RANGE = "SELECT min(list_min(embedding))::DOUBLE AS low, max(list_max(embedding))::DOUBLE AS high FROM embeddings"
+
+
+@query(f"WITH r AS ({_RANGE}), s AS (SELECT low, ((1 << CAST(greatest(1, ceil(log2(high - low + 1))) AS INT)) - 1) / 255.0::DOUBLE AS step FROM r) SELECT vec_id AS doc_id, list_transform(embedding, lambda x: CAST(least(greatest(round((x::DOUBLE - low) / step), 0), 255) AS SMALLINT)) AS values FROM embeddings, s")
 def vec_affine_i8(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     low, high = v.select(F.min(F.array_min("vector")), F.max(F.array_max("vector"))).first()
@@ -566,20 +598,40 @@ def vec_affine_i8(spark, sf_dir):
     return v.select("doc_id", V.quantize_affine(F.col("vector"), step, zero).alias("values"))
 
 
+def _vector_index(spark, sf_dir, quantization: str = "None") -> Index:
+    key = (spark.sparkContext.applicationId, sf_dir, "vectors", quantization)
+    if key not in _built:
+        index = _fresh(spark, sf_dir, f"vectors-{quantization}", Schema((SchemaField("embedding", field_type="Json", store=False, index_vector=True),)), IndexMeta(quantization=quantization))
+        index.index_documents(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.to_json("embedding").alias("embedding")), id_column="doc_id")
+        index.commit()
+        _built[key] = index
+    return _built[key]
+
+
 @query()
 def vec_ivf_nprobe(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    medoids = vector.fit_medoids(v)
-    return lexical.rank(vector.search(vector.assign(v, medoids), _query_vector(spark, sf_dir), medoids, "Nprobe", vector.wide_nprobe(medoids)), 10)
+    """Ten nearest in the clusters that the index probes by itself: stored clusters, of which a scan reads those alone."""
+    return lexical.rank(_vector_index(spark, sf_dir)._near(_query_vector(spark, sf_dir), False, "Nprobe", None, None), 10)
+
+
+@query(_NEAR.format(_VEC_SQL["Dot"]))
+def vec_index_exact(spark, sf_dir):
+    return _vector_index(spark, sf_dir).search(query_vector=_query_vector(spark, sf_dir), mode="vector", with_documents=False).results
+
+
+@query()
+def vec_index_i8(spark, sf_dir):
+    return lexical.rank(_vector_index(spark, sf_dir, "I8")._near(_query_vector(spark, sf_dir), False, "All", None, None), 10)
 
 
 @query()
 def recall_at_10(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
+    """Recall of the index's own probe setting, over a stated query set."""
+    v, index = _vectors(spark, sf_dir), _vector_index(spark, sf_dir)
     queries = v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query"))
     truth = vector.search_many(v, queries, 10)
-    medoids = vector.fit_medoids(v)
-    found = vector.search_many(vector.assign(v, medoids), queries, 10, medoids=medoids, nprobe=vector.wide_nprobe(medoids))
+    medoids, nprobe = index._medoids(index.state["levels"][0]["id"])
+    found = vector.search_many(index.relation("vectors"), queries, 10, medoids=medoids, nprobe=nprobe)
     return vector.recall(found, truth)
 
 
@@ -676,3 +728,131 @@ def highlight_markup(spark, sf_dir):
 def highlight_kwic(spark, sf_dir):
     index = index_for(spark, sf_dir)
     return index.search("the thing", "union", result_type="Topk", return_fields=("lang",), highlights=(highlight.Highlight("text", "kwic", 2, 160, True),)).results
+
+
+# -- ingest, levels, result types
+
+
+_PART = Schema((SchemaField("p_partkey", field_type="I64"), SchemaField("p_name"), SchemaField("p_size", field_type="I32"), SchemaField("p_retailprice", field_type="F64")))
+_PART_SQL = "SELECT p_partkey, p_name, p_size, p_retailprice FROM part"
+
+
+def _file(spark, sf_dir, name: str) -> str:
+    return f"{scratch(spark)}/{name}-{crc32(sf_dir.encode()):08x}"
+
+
+@query(_PART_SQL)
+def ingest_json_lines(spark, sf_dir):
+    path = _file(spark, sf_dir, "part-json")
+    table(spark, sf_dir, "part").write.mode("overwrite").json(path)
+    return readers.read_json(spark, path, _PART)
+
+
+@query(_PART_SQL)
+def ingest_json_array(spark, sf_dir):
+    """Files that each hold an array of documents."""
+    path = _file(spark, sf_dir, "part-array")
+    part = table(spark, sf_dir, "part").select(F.pmod("p_partkey", F.lit(8)).alias("k"), F.to_json(F.struct("p_partkey", "p_name", "p_size", "p_retailprice")).alias("d"))
+    part.groupBy("k").agg(F.concat(F.lit("["), F.array_join(F.collect_list("d"), ","), F.lit("]")).alias("value")).select("value").repartition(8).write.mode("overwrite").text(path)
+    return readers.read_json(spark, path, _PART)
+
+
+for _kind, _sign in {"csv": ",", "ssv": ";", "tsv": "\t", "psv": "|"}.items():
+
+    @query(_PART_SQL, f"ingest_{_kind}")
+    def _ingest(spark, sf_dir, kind=_kind, sign=_sign):
+        path = f"{_file(spark, sf_dir, 'part')}.{kind}"
+        table(spark, sf_dir, "part").select(*[f.field for f in _PART.fields]).write.mode("overwrite").option("sep", sign).option("escape", '"').csv(path)
+        return readers.read_csv(spark, path, _PART)
+
+
+@query("SELECT vec_id AS id, embedding AS vector FROM embeddings")
+def ingest_fvecs(spark, sf_dir):
+    """Files of float vectors, one a partition of ascending ids."""
+    path = _file(spark, sf_dir, "fvecs")
+    readers.write_fvecs(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), path)
+    return readers.read_fvecs(spark, path)
+
+
+@query("SELECT p_partkey, p_size FROM part")
+def file_store(spark, sf_dir):
+    """Original files, listed and read as bytes."""
+    path = _file(spark, sf_dir, "files")
+    table(spark, sf_dir, "part").select("p_partkey", "p_size").write.mode("overwrite").json(path)
+    rows = readers.read_files(spark, path, "*.json").select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line <> ''")
+    return rows.select(F.from_json("line", "p_partkey bigint, p_size int").alias("d")).select("d.*")
+
+
+_TEXT = Schema((SchemaField("text", index_lexical=True),))
+
+
+@query(_ranked(["the", "thing"], k=20))
+def merged_levels(spark, sf_dir):
+    """Eight batches, each committed by itself, of which merges make few levels: the same rows as from one."""
+    index = _fresh(spark, sf_dir, "merged", _TEXT, IndexMeta(lexical_similarity="Bm25f", ngram_indexing=0, auto_commit_docs=1, merge_levels=4), 4)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for k in range(8):
+        index.index_documents(docs.where(F.pmod("doc_id", F.lit(8)) == k), id_column="doc_id")
+    return lexical.rank(index.matches(Q.parse("the thing", index.meta, "union")), 20)
+
+
+@query(_ranked(["the", "thing"], "doc_id % 5 <> 0", 20, postings=_postings(where="doc_id % 5 <> 0")))
+def compacted(spark, sf_dir):
+    """Statistics follow the documents that are left."""
+    index = _fresh(spark, sf_dir, "compacted", _TEXT, PLAIN, 4)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for k in range(2):
+        index.index_documents(docs.where(F.pmod("doc_id", F.lit(2)) == k), id_column="doc_id")
+    index.delete_documents(docs.where("doc_id % 5 = 0"))
+    index.compact()
+    return lexical.rank(index.matches(Q.parse("the thing", index.meta, "union")), 20)
+
+
+@query("SELECT doc_id, lang FROM documents")
+def stream_ingest(spark, sf_dir):
+    """A stream of files, committed batch by batch."""
+    from uuid import uuid4
+
+    from ..streaming import ingest
+
+    schema = Schema((SchemaField("own_id", field_type="I64"), SchemaField("lang", field_type="String16", facet=True)))
+    index, folder = _fresh(spark, sf_dir, "stream", schema), _file(spark, sf_dir, "stream-files")
+    table(spark, sf_dir, "documents").select(F.col("doc_id").alias("own_id"), "lang").repartition(4).write.mode("overwrite").parquet(folder)
+    wait = ingest.stream_into(index, ingest.read_stream(spark, folder, schema, files_per_trigger=2), f"{folder}-{uuid4().hex}")
+    wait.awaitTermination()
+    return index.documents().select(F.col("own_id").alias("doc_id"), "lang")
+
+
+@query(f"{_postings()} SELECT count(*) AS n FROM (SELECT doc_id FROM post WHERE term IN ('the', 'thing') GROUP BY doc_id HAVING count(DISTINCT term) = 2)")
+def result_count(spark, sf_dir):
+    """A search of length 0 gives the count alone."""
+    found = index_for(spark, sf_dir).search("the thing", length=0)
+    return spark.createDataFrame([(found.result_count_total,)], "n bigint")
+
+
+@query(f"{_postings()} SELECT term, count(DISTINCT doc_id) AS df FROM post GROUP BY term")
+def dictionary_csv(spark, sf_dir):
+    """The dictionary saved as CSV and loaded by an index without documents."""
+    path = _file(spark, sf_dir, "dictionary-csv")
+    index_for(spark, sf_dir).save_dictionary(path)
+    return _fresh(spark, sf_dir, "loaded", _TEXT).load_dictionary(path)
+
+
+@query(f"{_postings()}, w AS (SELECT term, count(DISTINCT doc_id) AS df FROM post WHERE term IN {_in(['thing', 'the', 'of', 'nosuchterm'])} GROUP BY term) SELECT term, df FROM w")
+def query_terms_df(spark, sf_dir):
+    """Frequencies of a query's terms, from their buckets alone."""
+    df = index_for(spark, sf_dir).document_frequency(["thing", "the", "of", "nosuchterm"])
+    return spark.createDataFrame(sorted(df.items()), "term string, df bigint")
+
+
+@query("SELECT count(*) AS n FROM documents WHERE lang = 'de'")
+def clear_and_reindex(spark, sf_dir):
+    """What was there before clear() is gone; the schema stays."""
+    index = _fresh(spark, sf_dir, "cleared", Schema((SchemaField("lang", field_type="String16", facet=True),)))
+    docs = table(spark, sf_dir, "documents").select("lang")
+    index.index_documents(docs)
+    index.commit()
+    index.clear()
+    index.index_documents(docs.where("lang = 'de'"))
+    index.close()
+    return Index.open(spark, index.path).documents().agg(F.count("*").alias("n"))

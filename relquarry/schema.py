@@ -19,6 +19,7 @@ TYPES: dict[str, T.DataType] = {
 }
 NUMERIC = {"U8", "U16", "U32", "U64", "I8", "I16", "I32", "I64", "Timestamp", "F32", "F64"}
 SIMILARITIES, TOKENIZERS = ("Bm25f", "Bm25fProximity"), ("AsciiAlphabetic", "UnicodeAlphanumeric", "UnicodeAlphanumericFolded", "Whitespace", "WhitespaceLowercase", "UnicodeAlphanumericZH")
+QUANTIZATIONS = ("None", "I8", "RotatedI8")
 #: Kinds of n-grams that an index may hold (F: frequent word, R: rare word).
 NGRAMS = {"FF": 1, "FR": 2, "RF": 4, "FFF": 8, "RFF": 16, "FFR": 32, "FRF": 64}
 
@@ -76,8 +77,15 @@ class IndexMeta:
     quantization: str = "None"
     clustering: str | int = "Auto"
     chunk_size: int = 1000
+    #: Word segmentation of UnicodeAlphanumericZH: (word, frequency).
+    zh_dictionary: tuple[tuple[str, float], ...] = ()
+    #: Documents after which a level is committed by itself, and levels that are merged into one; 0: never.
+    auto_commit_docs: int = 0
+    merge_levels: int = 0
 
     def __post_init__(self):
+        if self.quantization not in QUANTIZATIONS:
+            raise ValueError(f"unknown quantization {self.quantization}")
         if self.lexical_similarity not in SIMILARITIES:
             raise ValueError(f"unknown similarity {self.lexical_similarity}")
         if self.tokenizer not in TOKENIZERS:
@@ -133,6 +141,7 @@ def meta_from_json(text: str) -> IndexMeta:
     d = json.loads(text)
     for k in ("stop_words", "frequent_words"):
         d[k] = tuple(d[k]) if isinstance(d[k], list) else d[k]
+    d["zh_dictionary"] = tuple(map(tuple, d.get("zh_dictionary") or ()))
     s = d.get("spelling_correction")
     d["spelling_correction"] = s and SpellingCorrection(**(s | {"term_length_threshold": s["term_length_threshold"] and tuple(s["term_length_threshold"])}))
     c = d.get("query_completion")

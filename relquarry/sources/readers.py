@@ -140,48 +140,99 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 class _Part(InputPartition):
-    def __init__(self, start: int, count: int):
-        self.start, self.count = start, count
+    def __init__(self, file: str, start: int, count: int, base: int):
+        self.file, self.start, self.count, self.base = file, start, count, base
+
+
+def _files(path: str):
+    """File system and files of a URI or path, which may name a folder; in the order of their names."""
+    from pyarrow import fs
+
+    where, at = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+    info = where.get_file_info(at)
+    if info.type == fs.FileType.File:
+        return where, [info]
+    found = where.get_file_info(fs.FileSelector(at, recursive=True))
+    return where, sorted((f for f in found if f.is_file and not f.base_name.startswith((".", "_"))), key=lambda f: f.path)
 
 
 class _VecsReader(DataSourceReader):
+    """Ranges of records of each file; ids count through all files."""
+
     def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
         self.kind = options.get("kind", "f")
         self.rows = int(options.get("rowsperpartition", 100_000))
 
-    def _dim(self) -> tuple[int, int]:
-        import os
-
-        size = os.path.getsize(self.path)
-        if not size:
-            return 0, 0
-        with open(self.path, "rb") as f:
-            dim = struct.unpack("<i", f.read(4))[0]
-        return dim, size // (4 + 4 * dim)
+    @staticmethod
+    def _dim(where, file: str) -> int:
+        with where.open_input_file(file) as f:
+            return struct.unpack("<i", f.read(4))[0]
 
     def partitions(self):
-        _, n = self._dim()
-        return [_Part(i, min(self.rows, n - i)) for i in range(0, n, self.rows)] or [_Part(0, 0)]
+        where, files = _files(self.path)
+        out, base = [], 0
+        for f in files:
+            n = f.size // (4 + 4 * self._dim(where, f.path)) if f.size else 0
+            out += [_Part(f.path, i, min(self.rows, n - i), base + i) for i in range(0, n, self.rows)]
+            base += n
+        return out or [_Part("", 0, 0, 0)]
 
     def read(self, part: _Part):
         import numpy as np
         import pyarrow as pa
 
-        dim, _ = self._dim()
         if not part.count:
             return
-        a = np.fromfile(self.path, "<i4", part.count * (dim + 1), offset=part.start * 4 * (dim + 1)).reshape(-1, dim + 1)
+        from pyarrow import fs
+
+        where, _ = fs.FileSystem.from_uri(self.path if ":/" in self.path else f"file://{self.path}")
+        dim = self._dim(where, part.file)
+        with where.open_input_file(part.file) as f:
+            f.seek(part.start * 4 * (dim + 1))
+            a = np.frombuffer(f.read(part.count * 4 * (dim + 1)), "<i4").reshape(-1, dim + 1)
         if (a[:, 0] != dim).any():
             raise ValueError("vectors of several lengths in one file")
         flat = np.ascontiguousarray(a[:, 1:]).ravel()
         values = pa.array(flat.view("<f4") if self.kind == "f" else flat)
         offsets = pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.start, part.start + part.count)), pa.ListArray.from_arrays(offsets, values)], names=["id", "vector"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.base, part.base + part.count)), pa.ListArray.from_arrays(offsets, values)], names=["id", "vector"])
+
+
+def write_fvecs(vectors: DataFrame, path: str) -> None:
+    """Files of float vectors in a folder, ranges of the first column in its order; a row of null or without components is refused."""
+    import uuid
+
+    from pyarrow import fs
+
+    prepare(vectors.sparkSession)
+    key, value = vectors.columns
+    where, at = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+    if where.get_file_info(at).type != fs.FileType.NotFound:
+        where.delete_dir(at)
+    where.create_dir(at, recursive=True)
+
+    def write(batches: Iterator[pd.DataFrame]):
+        import numpy as np
+        from pyspark import TaskContext
+
+        target, folder = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+        name, n = f"part-{TaskContext.get().partitionId():06d}.fvecs", 0
+        fresh = f"{folder}/.{name}.{uuid.uuid4().hex}"  # a task that runs twice leaves one whole file
+        with target.open_output_stream(fresh) as f:
+            for b in batches:
+                for v in b[value]:
+                    f.write(struct.pack("<i", len(v)) + np.asarray(v, "<f4").tobytes())
+                    n += 1
+        target.move(fresh, f"{folder}/{name}")
+        yield pd.DataFrame({"n": [n]})
+
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors.repartitionByRange(parts, key).sortWithinPartitions(key).mapInPandas(write, "n bigint").write.format("noop").mode("overwrite").save()
 
 
 class VecsSource(DataSource):
-    """Files of records (int32 length, then so many 32-bit floats or integers), little-endian; option kind: f or i. Split into ranges of records."""
+    """Files of records (int32 length, then so many 32-bit floats or integers), little-endian, a file or a folder of them; option kind: f or i. Split into ranges of records."""
 
     @classmethod
     def name(cls) -> str:
