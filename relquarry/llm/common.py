@@ -50,6 +50,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """A table that lies in fewer pieces than there are cores, dealt out to all; any other as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def slices(batches, column: int | str = "text"):
     """Record batches cut so that each holds about SLICE_BYTES in ``column``; a row is never cut."""
     for b in batches:

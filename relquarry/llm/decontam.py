@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, keep, prepare, slices
+from .common import batch, keep, prepare, slices, spread
 
 MIN_MATCH, THRESHOLD, MAX_SEEDS = 4, 0.5, 2_000_000
 _words = re.compile(r"\w+").findall
@@ -335,7 +335,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """doc_id, contaminated, item_id and coverage of the best item, n_items at the threshold, n_tiles of the best, of every document."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     rows = _small(benchmark, max_seeds)
     if rows is None:
         found = docs.select("doc_id", _digest().alias("row")).join(_joined(docs, benchmark, threshold), "row", "left")
@@ -349,7 +349,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """The documents that aren't contaminated, with all their columns."""
     spark = docs.sparkSession
     prepare(spark)
-    items = _small(benchmark, max_seeds)
+    docs, items = spread(docs), _small(benchmark, max_seeds)
     if items is None:
         bad = _joined(docs, benchmark, threshold).where("contaminated").select(F.col("row").alias("__row"))
         return docs.join(bad, _digest() == F.col("__row"), "left_anti")

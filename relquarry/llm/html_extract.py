@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, prepare, slices
+from .common import batch, prepare, slices, spread
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>?", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
@@ -279,4 +279,4 @@ def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page."""
     prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(lambda batches: _extract(batches, weights), "page_id bigint, url string, text string, n_chars bigint")
+    return spread(rows).mapInArrow(lambda batches: _extract(batches, weights), "page_id bigint, url string, text string, n_chars bigint")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, keep, prepare, slices
+from .common import batch, keep, prepare, slices, spread
 from .components import components
 
 SHINGLE, ROWS, BANDS, THRESHOLD, WORTH, SEEN = 8, 4, 9, 0.8, 8, 200_000  # WORTH: SHINGLE, so that all lines with a shingle have bands
@@ -310,7 +310,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per line that isn't blank: doc_id, text_hash, line_no, first_doc_id, first_line_no (the line of its class that stays), kept."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     lines = keep(docs.mapInArrow(_scan, "doc_id bigint, text_hash bigint, line_no int, h bigint, bands array<bigint>"))
     keys = lines.where("bands is not null and size(bands) > 0").select(F.explode("bands").alias("key"), "h")
     stars = keep(keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_stars, "key bigint, a bigint, b bigint"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import batch, bounds, prepare, sampled, slices
+from .common import batch, bounds, prepare, sampled, slices, spread
 
 DIMS, BITS = 3, 16
 _ROW = pa.schema([("pid", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("m", pa.int64()), ("ids", pa.binary())])
@@ -151,7 +151,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = 1024)
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.monotonically_increasing_id().alias("m"))
+    docs = spread(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.monotonically_increasing_id().alias("m"))
     schema = "pid int, key bigint, doc_id bigint, m bigint, ids binary"
     n, some = sampled(docs)
     size = F.length("ids").alias("size")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, keep, prepare, slices
+from .common import batch, keep, prepare, slices, spread
 from .components import components, forest
 
 RADIUS, LARGE = 3, 4096
@@ -189,7 +189,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(*[c.alias(n) for c, n in zip(_row_key(), ("doc_id", "text_hash"))], "text")
-    rows = keep(rows.mapInArrow(partial(_fingerprints), "doc_id bigint, text_hash bigint, fp bigint"))
+    rows = keep(spread(rows).mapInArrow(partial(_fingerprints), "doc_id bigint, text_hash bigint, fp bigint"))
     nodes = keep(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")))
     links = keep(near_fingerprints(nodes.select("fp", "n")))
     root = components(links.select("fp", "root"))

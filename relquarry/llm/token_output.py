@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import batch, bounds, prepare, sampled, slices
+from .common import batch, bounds, prepare, sampled, slices, spread
 
 MAGIC, EVERY = b"TOKEF002", 256
 #: Where a writer starts another file, and the ids that a reader holds at a time.
@@ -234,7 +234,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int) ->
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.col("text").cast("string")).alias("h"), F.monotonically_increasing_id().alias("m"))
+    docs = spread(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.col("text").cast("string")).alias("h"), F.monotonically_increasing_id().alias("m"))
     n, some = sampled(docs)
     known, size = F.col("doc_id").isNotNull(), F.coalesce(F.octet_length("text"), F.lit(0))
     ranges = bounds(spark, n, list(map(tuple, some.select(known, F.coalesce("doc_id", F.lit(0)), "h", "m", size).collect())))

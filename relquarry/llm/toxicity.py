@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, prepare, slices
+from .common import batch, prepare, slices, spread
 
 MAX_LABELS, BASE, LEAST, PREFIXES, CACHE = 30_000, 0.02, 0.7, (4, 5, 6), 300_000
 _words = re.compile(r"[^\W\d_]+").findall
@@ -305,6 +305,7 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, max_labels: in
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 if the score is 0.5 or more) of every document."""
     prepare(docs.sparkSession)
+    docs = spread(docs)
     counts = char_counts(docs)
     weights = learn(docs, labels, counts, max_labels)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(partial(_score, counts=counts, weights=weights), "doc_id bigint, score double")
@@ -314,6 +315,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LAB
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
     """The documents, with all their columns, whose score is under 0.5."""
     prepare(docs.sparkSession)
+    docs = spread(docs)
     counts = char_counts(docs)
     weights = learn(docs, labels, counts, max_labels)
 

@@ -637,7 +637,8 @@ def test_decontamination_is_the_same_for_small_and_large_benchmarks(spark, monke
     rows += [(300, "so again and again and so"), (301, "again and again and again and again and " * 3)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     docs = frame(spark, rows).repartition(3)
-    clean = {(r.doc_id, t) for (r, t) in zip(decontam.decontaminate(frame(spark, rows).coalesce(1), bench).collect(), [t for _, t in rows]) if not r.contaminated}
+    judge = decontam.Items(items).judge
+    clean = {(d, t) for d, t in rows if not judge(t, decontam.THRESHOLD)[0]}
     assert 12 < len(clean) < len(rows) - 12
     small, large = (sorted((tuple(r) for r in decontam.decontaminate(docs, bench, max_seeds=m).collect()), key=repr) for m in (decontam.MAX_SEEDS, 1))
     assert small == large and len(small) == len(rows)
