@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, prepare, slices, spread
 
-MAX_LABELS, BASE, LEAST, PREFIXES, CACHE = 30_000, 0.02, 0.7, (4, 5, 6), 300_000
+MAX_LABELS, BASE, LEAST, PREFIXES, CACHE = 30_000, 0.02, 0.7, (4, 5, 6), 200_000
 _words = re.compile(r"[^\W\d_]+").findall
 _L = "a-zß-ÿ"
 #: Signs that may stand for letters, and runs of white space and other punctuation.
@@ -51,6 +51,7 @@ _ODD = re.compile(
     rf"|\w*([{_L}])\1\w*"  # looong, ddoouubbllee
 )
 _SPELLED = re.compile(rf"(?<!\w)(?:{_S})(?:{_GAP}(?:{_S})){{2,}}(?!\w)")
+_double = re.compile(rf"([{_L}])\1").search
 _gaps, _gap, _spaced = re.compile(_GAP).sub, re.compile(_GAP).search, re.compile(r"\s").search
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "2": "z", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SIGNS = 64
@@ -160,6 +161,12 @@ class Restorer:
 
     def words(self, token: str):
         """Words of one token, as they stand and restored."""
+        plain = token.strip(".,;:?()\"'")
+        if plain.isalpha():  # most are: a word between punctuation, of which only doubled letters can be odd
+            yield plain
+            if _double(plain):
+                yield from decode(plain, self.model).split()
+            return
         yield from _words(token)
         for m in _ODD.finditer(token):
             # one sign a gap; signs at the end are punctuation
@@ -249,16 +256,18 @@ def indicators(rows, n_pos: int, n_neg: int, tested: int) -> dict[str, float]:
 
 class Scorer:
     def __init__(self, model: CharModel, weights: dict[str, float]):
-        self.restorer, self.weights, self.of = Restorer(model), weights, {}
+        self.restorer, self.weights, self.of, self.before = Restorer(model), weights, {}, {}
 
     def score(self, text: str | None) -> float:
-        of, weights, left = self.of, self.weights, 1 - BASE
-        if len(of) > CACHE:
-            of.clear()
+        if len(self.of) > CACHE:  # frequent tokens come back from the cache before
+            self.of, self.before = {}, self.of
+        of, before, weights, left = self.of, self.before, self.weights, 1 - BASE
         found = set()
         for w in self.restorer.tokens(text):
             f = of.get(w)
-            if f is None:
+            if f is None and (f := before.get(w)) is not None:
+                of[w] = f
+            elif f is None:
                 hits = ([x for x in features(v) if x in weights] for v in self.restorer.words(w))
                 f = of[w] = tuple({max(h, key=lambda x: (weights[x], x)) for h in hits if h})
             if f:

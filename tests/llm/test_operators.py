@@ -719,6 +719,20 @@ def test_toxicity_of_long_texts_repeated_rows_and_labels(spark):
     assert kept.columns == docs.columns and kept.count() == sum("grumblox" not in t for _, t in rows)
 
 
+def test_plain_words_are_restored_as_by_the_expressions():
+    rng = random.Random(22)
+    model = toxicity.CharModel(trigrams("you are an idiot and a loser they are stupid scum of the earth " * 50))
+    restorer = toxicity.Restorer(model)
+    tokens = ["word", "(iddiot),", "'looser'", "stuupid.", "na\u00efve?", "\u00e9\u00e9t\u00e9;", "\u65e5\u65e5", "...", "", "a.b", "ab-cd:", "scum!", "\"!diot\"", "x1", "aa", "re:.aa"]
+    tokens += ["".join(rng.choice("aiddo.,;:?()'\"!1\u00e9\u00e9") for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    for t in tokens:
+        want = toxicity._words(t)
+        for m in toxicity._ODD.finditer(t):
+            x = toxicity._gaps(" ", m[0]).rstrip("!|+") if toxicity._gap(m[0]) else m[0]
+            want += toxicity.decode(x, model).split()
+        assert list(restorer.words(t)) == want, t
+
+
 def trigrams(text):
     counts = np.zeros(toxicity.SIGNS**3, np.int64)
     import pyarrow as pa
