@@ -51,6 +51,7 @@ _ODD = re.compile(
     rf"|\w*([{_L}])\1\w*"  # looong, ddoouubbllee
 )
 _SPELLED = re.compile(rf"(?<!\w)(?:{_S})(?:{_GAP}(?:{_S})){{2,}}(?!\w)")
+_single = re.compile(r"(.)\1+", re.S).sub
 _double = re.compile(rf"([{_L}])\1").search
 _gaps, _gap, _spaced = re.compile(_GAP).sub, re.compile(_GAP).search, re.compile(r"\s").search
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "2": "z", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -159,12 +160,12 @@ class Restorer:
         found.update(m[0] for m in _SPELLED.finditer(low) if _spaced(m[0]))
         return found
 
-    def words(self, token: str):
-        """Words of one token, as they stand and restored."""
+    def words(self, token: str, may=None):
+        """Words of one token, as they stand and restored. may: whether a plain word's restored form can matter."""
         plain = token.strip(".,;:?()\"'")
         if plain.isalpha():  # most are: a word between punctuation, of which only doubled letters can be odd
             yield plain
-            if _double(plain):
+            if _double(plain) and (may is None or may(plain)):
                 yield from decode(plain, self.model).split()
             return
         yield from _words(token)
@@ -257,6 +258,14 @@ def indicators(rows, n_pos: int, n_neg: int, tested: int) -> dict[str, float]:
 class Scorer:
     def __init__(self, model: CharModel, weights: dict[str, float]):
         self.restorer, self.weights, self.of, self.before = Restorer(model), weights, {}, {}
+        # a word restored from doubled letters is the same as it without any repeat, and so are their beginnings
+        self.single = {_single(r"\1", f[1:]) for f in weights}
+        self.lengths = sorted({len(f) for f in self.single})
+
+    def _may(self, word: str) -> bool:
+        """Whether a word may have an indicator once letters that repeat are dropped."""
+        s = _single(r"\1", word)
+        return any(s[:k] in self.single for k in self.lengths)
 
     def score(self, text: str | None) -> float:
         if len(self.of) > CACHE:  # frequent tokens come back from the cache before
@@ -268,7 +277,7 @@ class Scorer:
             if f is None and (f := before.get(w)) is not None:
                 of[w] = f
             elif f is None:
-                hits = ([x for x in features(v) if x in weights] for v in self.restorer.words(w))
+                hits = ([x for x in features(v) if x in weights] for v in self.restorer.words(w, self._may))
                 f = of[w] = tuple({max(h, key=lambda x: (weights[x], x)) for h in hits if h})
             if f:
                 found.update(f)

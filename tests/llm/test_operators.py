@@ -731,6 +731,11 @@ def test_plain_words_are_restored_as_by_the_expressions():
             x = toxicity._gaps(" ", m[0]).rstrip("!|+") if toxicity._gap(m[0]) else m[0]
             want += toxicity.decode(x, model).split()
         assert list(restorer.words(t)) == want, t
+    weights = {"=idiot": 0.9, "^loos": 0.8, "^aidd": 0.7, "=oo": 0.6, "^ioaad": 0.6}
+    scorer = toxicity.Scorer(model, weights)
+    for t in tokens + ["iiddioott", "loooser", "aaiddx", "ioaaadd"]:
+        hit = {max(h, key=lambda x: (weights[x], x)) for v in restorer.words(t) if (h := [f for f in toxicity.features(v) if f in weights])}
+        assert scorer.score(t) == pytest.approx(1 - 0.98 * np.prod([1 - weights[f] for f in hit])), t
 
 
 def trigrams(text):
