@@ -28,7 +28,6 @@ no rows. Other columns are kept by ``deduplicate`` and ignored by ``line_classes
 
 from __future__ import annotations
 
-import re
 from functools import partial
 from math import ceil
 
@@ -45,31 +44,35 @@ SHINGLE, ROWS, BANDS, THRESHOLD, WORTH, SEEN = 8, 4, 9, 0.8, 8, 200_000  # WORTH
 PLACES, HOT = 1 << 20, 2000
 #: Lines of a key that are paired without more ado: at most half as many pairs a line.
 SMALL = 16
+#: Rows of a key that are put in order in memory.
+HELD = 1 << 18
 #: MinHash values, of a byte each, that are compared before texts are.
 VALUES = 128
 _LINE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line_no", pa.int32()), ("h", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_STAR = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 _TEXT = pa.schema([("h", pa.int64()), ("line", pa.string()), ("sig", pa.binary())])
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PERMS = np.random.default_rng(1).integers(1, 1 << 32, (2, VALUES), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
-
-_OTHER = re.compile(r"[^\S ]").search
+#: What str.split takes for white space, but for the space and the line's end.
+_WHITE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def forms(text: str):
+def forms(text: str) -> list[str]:
     """Normal forms of a text's lines."""
     low = text.lower()
-    for line in low.split("\n"):
-        # most lines are normal as they stand
-        if line.isascii() and "  " not in line and not line.startswith(" ") and not line.endswith(" ") and not _OTHER(line):
-            yield line
-        else:
-            yield " ".join(line.split())
+    lines = low.split("\n")
+    if any(c in low for c in _WHITE):
+        return [" ".join(line.split()) for line in lines]
+    # most texts are normal as they stand
+    if "  " not in low and " \n" not in low and "\n " not in low and not low.startswith(" ") and not low.endswith(" "):
+        return lines
+    return [" ".join(line.split()) if "  " in line or line.startswith(" ") or line.endswith(" ") else line for line in lines]
 
 
 def line_hash(form: str) -> int:
@@ -137,67 +140,88 @@ def bands(forms: list[str]) -> np.ndarray:
     return ((key + np.arange(BANDS, dtype=np.uint64)) * _M2).view(np.int64)
 
 
+def _signed(hashes: list[int]) -> np.ndarray:
+    return np.array(hashes, np.uint64).view(np.int64)
+
+
 def _scan(batches):
     from xxhash import xxh64_intdigest
 
     seen: set[int] = set()
     for b in slices(batches):
-        doc, text_hash, no, hs, new, at = [], [], [], [], [], []
-        for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            if t is None:
-                continue
-            th = xxh64_intdigest(t, 42)  # as Spark's xxhash64
-            th = th - (1 << 64) if th >> 63 else th
-            for k, form in enumerate(forms(t)):
-                if not form:
-                    continue
-                h = line_hash(form)
-                doc.append(d)
-                text_hash.append(th)
-                no.append(k)
-                hs.append(h)
-                if h not in seen and len(form) >= WORTH:
-                    seen.add(h)
-                    new.append(form)
-                    at.append(len(hs) - 1)
+        text_hash, many, no, hs, new, at = [], [], [], [], [], []
+        for t in b.column("text").to_pylist():
+            before = len(hs)
+            if t is not None:
+                for k, form in enumerate(forms(t)):
+                    if form:
+                        h = xxh64_intdigest(form)  # as line_hash
+                        if h not in seen and len(form) >= WORTH:
+                            seen.add(h)
+                            new.append(form)
+                            at.append(len(hs))
+                        no.append(k)
+                        hs.append(h)
+            text_hash.append(0 if t is None else xxh64_intdigest(t, 42))  # as Spark's xxhash64
+            many.append(len(hs) - before)
         if len(seen) > SEEN:
             seen.clear()
         sizes = np.zeros(len(hs) + 1, np.int32)
         sizes[np.array(at, int) + 1] = BANDS
         values = bands(new).ravel() if new else np.zeros(0, np.int64)
-        yield batch(_LINE, doc, text_hash, no, hs, pa.ListArray.from_arrays(np.cumsum(sizes, dtype=np.int32), values))
+        doc = b.column("doc_id").take(pa.array(np.repeat(np.arange(b.num_rows), many)))
+        yield batch(_LINE, doc, np.repeat(_signed(text_hash), many), no, _signed(hs), pa.ListArray.from_arrays(np.cumsum(sizes, dtype=np.int32), values))
+
+
+def _star(key: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    """Stars of whole keys, of which each is in one piece."""
+    new = np.ones(len(key) + 1, bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:-1])
+    several = ~(new[:-1] & new[1:])
+    key, h = key[several], h[several]
+    order = np.lexsort((h, key))
+    key, h = key[order], h[order]
+    same = np.zeros(len(key), bool)
+    np.equal(key[1:], key[:-1], out=same[1:])
+    first = h[np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))]
+    same[1:] &= h[1:] != h[:-1]
+    return batch(_STAR, key[same], first[same], h[same])
 
 
 def _stars(batches):
-    """(key, a, b): each key's smallest line with each of its others. Rows come in the order of key and h; a line that several workers sent is there repeatedly."""
-    last = None  # key, smallest h of the key, h of the row before
+    """(key, a, b): each key's smallest line with each of its others. Rows come in the order of key only, which is what Spark sorts fast; a line that several workers sent is there repeatedly.
+
+    Of a key with more than HELD rows it is the smallest of those that came first, and its others may come repeatedly.
+    """
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64)  # rows of the key that may go on
+    centre = None  # key of more than HELD rows, its line
     for b in batches:
-        key, h = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        if not len(key):
-            continue
-        same = np.concatenate([[last is not None and key[0] == last[0]], key[1:] == key[:-1]])
-        before = np.concatenate([[last[2] if last else 0], h[:-1]])
-        first = h[np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))]
-        if same[0]:
-            first[: len(key) if same.all() else int(np.argmin(same))] = last[1]
-        other = same & (h != before) & (h != first)
-        yield batch(pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]), key[other], first[other], h[other])
-        last = (key[-1], first[-1], h[-1])
+        key, h = (np.concatenate([x, b.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate(held))
+        if centre and len(key) and key[0] == centre[0]:
+            n = int(np.searchsorted(key, key[0], "right"))
+            other = np.unique(h[:n])
+            other = other[other != centre[1]]
+            yield batch(_STAR, np.full(len(other), centre[0]), np.full(len(other), centre[1]), other)
+            key, h = key[n:], h[n:]
+        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if len(key) - cut > HELD:
+            centre = key[-1], h[cut:].min()
+            cut = len(key)
+        yield _star(key[:cut], h[:cut])
+        held = key[cut:], h[cut:]
+    yield _star(*held)
 
 
 def _lines_of(batches, bits: np.ndarray):
     """Normal forms of the lines that a bit table knows; each once a worker."""
+    from xxhash import xxh64_intdigest
+
     mask, sent = np.uint64(len(bits) * 8 - 1), set()
     for b in slices(batches):
-        hs, found = [], []
-        for t in b.column("text").to_pylist():
-            if t is not None:
-                for form in forms(t):
-                    if len(form) >= WORTH:
-                        hs.append(line_hash(form))
-                        found.append(form)
-        if hs:
-            at = np.array(hs, np.int64).view(np.uint64) & mask
+        found = [form for t in b.column("text").to_pylist() if t is not None for form in forms(t) if len(form) >= WORTH]
+        if found:
+            hs = [xxh64_intdigest(form) for form in found]
+            at = np.array(hs, np.uint64) & mask
             hit = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
             new = []
             for i in hit.tolist():
@@ -207,8 +231,9 @@ def _lines_of(batches, bits: np.ndarray):
             if len(sent) > SEEN:
                 sent.clear()
             lines = [found[i] for i in new]
-            sig = pa.array([x.tobytes() for x in signatures(lines, VALUES).astype(np.uint8)], pa.binary())
-            yield batch(_TEXT, [hs[i] for i in new], lines, sig)
+            sig = np.ascontiguousarray(signatures(lines, VALUES).astype(np.uint8))
+            ends = np.arange(0, sig.size + 1, VALUES, dtype=np.int32)
+            yield batch(_TEXT, _signed([hs[i] for i in new]), lines, pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends), pa.py_buffer(sig)]))
 
 
 def _likely(batches, threshold: float):
@@ -220,27 +245,51 @@ def _likely(batches, threshold: float):
         yield batch(_PAIR, *(b.column(k).filter(pa.array(ok)) for k in ("a", "b")))
 
 
-def packed_shingles(form: str) -> set[int] | None:
-    """The shingles of a form of SHINGLE characters or more as 8-byte numbers, one for one; None if a character needs more than a byte."""
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """As np.unique, which hashes first and takes several times as long for a line's few hundred numbers."""
+    x = np.sort(numbers)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
+def packed(form: str) -> np.ndarray | None:
+    """The distinct shingles of a form of SHINGLE characters or more as 8-byte numbers, one for one, in order; None if a character needs more than a byte."""
     try:
         data = form.encode("latin-1")
     except UnicodeEncodeError:
         return None
-    return set(np.ndarray((len(data) - SHINGLE + 1,), "<u8", data, 0, (1,)).tolist())
+    return distinct(np.ndarray((len(data) - SHINGLE + 1,), "<u8", data, 0, (1,)))
+
+
+def packed_shingles(form: str) -> set[int] | None:
+    numbers = packed(form)
+    return None if numbers is None else set(numbers.tolist())
+
+
+def similar(s: np.ndarray, t: np.ndarray, threshold: float) -> bool:
+    """Whether the sets of two arrays of distinct numbers have the threshold by their exact Jaccard index."""
+    n, m = len(s), len(t)
+    if min(n, m) < threshold * max(n, m):
+        return False
+    x = np.concatenate([s, t])
+    x.sort()
+    both = int(np.count_nonzero(x[1:] == x[:-1]))
+    return both / (n + m - both) >= threshold
 
 
 def _verify(batches, threshold: float):
-    kept: dict[int, set | None] = {}
+    kept: dict[int, np.ndarray | None] = {}
     size = 0
 
-    def of(h: int, form: str) -> set | None:
+    def of(h: int, form: str) -> np.ndarray | None:
         nonlocal size
         if h not in kept:
-            if size > 500_000:  # shingles, of about 70 bytes
+            if size > 2_000_000:  # shingles, of 8 bytes
                 kept.clear()
                 size = 0
-            s = kept[h] = packed_shingles(form)
-            size += len(s or ())
+            s = kept[h] = packed(form)
+            size += 20 if s is None else 20 + len(s)
         return kept[h]
 
     for b in batches:
@@ -248,16 +297,19 @@ def _verify(batches, threshold: float):
         good = []
         for i in range(b.num_rows):
             s, t = of(a[i], x[i]), of(c[i], y[i])
-            if s is None or t is None:
+            if s is not None and t is not None:
+                near = similar(s, t, threshold)
+            else:
                 s, t = shingles(x[i]), shingles(y[i])
-            if min(len(s), len(t)) >= threshold * max(len(s), len(t)) and jaccard(s, t) >= threshold:
+                near = min(len(s), len(t)) >= threshold * max(len(s), len(t)) and jaccard(s, t) >= threshold
+            if near:
                 good.append(i)
         yield batch(_PAIR, [a[i] for i in good], [c[i] for i in good])
 
 
 def _ordered(form: str, counts: np.ndarray | None = None) -> np.ndarray:
     """Hashes of a form's distinct shingles, the rarest first; any order that all lines share gives the same pairs. Equal hashes of unequal shingles only cost a comparison."""
-    h = np.unique(_rolled(np.frombuffer(form.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)) * _M1)
+    h = distinct(_rolled(np.frombuffer(form.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)) * _M1)
     h ^= h >> np.uint64(32)
     return h if counts is None else h[np.lexsort((h, counts[h & np.uint64(PLACES - 1)]))]
 
@@ -313,7 +365,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     lines = keep(docs.mapInArrow(_scan, "doc_id bigint, text_hash bigint, line_no int, h bigint, bands array<bigint>"))
     keys = lines.where("bands is not null and size(bands) > 0").select(F.explode("bands").alias("key"), "h")
-    stars = keep(keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_stars, "key bigint, a bigint, b bigint"))
+    stars = keep(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_stars, "key bigint, a bigint, b bigint"))
     pairs = stars.select("a", "b").distinct()
 
     def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:

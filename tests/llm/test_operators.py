@@ -1,10 +1,12 @@
 """Each operator against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import random
+import time
 import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from relquarry.llm import decontam, embed_dedup, html_extract, line_dedup, packing, sharding, simhash, token_output, toxicity, url_filter
 from relquarry.llm.components import components, forest
@@ -147,6 +149,66 @@ def test_packed_shingles_are_the_shingles():
     assert line_dedup.packed_shingles("日本語日本語日本語") is None
 
 
+def test_forms_are_the_lines_normal_forms():
+    rng = random.Random(17)
+    white = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+    texts = ["".join(rng.choice([*white, *"  \n\n\naBÄ日"]) for _ in range(rng.randrange(14))) for _ in range(5000)]
+    texts += ["".join(rng.choice("  \naB") for _ in range(rng.randrange(14))) for _ in range(5000)]
+    for t in [*texts, *(f"a{c}b c\nd" for c in white), *(f"{c}a\nb{c}" for c in white)]:
+        assert list(line_dedup.forms(t)) == [line_dedup.normal(x) for x in t.split("\n")]
+
+
+@pytest.mark.parametrize("held", [1 << 18, 40, 2])
+def test_stars_need_their_keys_in_order_only(monkeypatch, held):
+    """Rows of a key come in any order, repeatedly, over several batches; all its lines meet one of them."""
+    monkeypatch.setattr(line_dedup, "HELD", held, raising=False)
+    rng = random.Random(18)
+    rows = [(k, h) for k in (-7, -3, 0, 4, 5, 9) for h in rng.choices(range(-50, 50), k=rng.choice([1, 2, 90, 300]))]
+    rows += [(20 + k, rng.randrange(5)) for k in range(200) for _ in range(rng.randint(1, 3))]
+    cuts = sorted([0, 3, len(rows), *rng.sample(range(len(rows)), 20)])
+    got = [r for b in line_dedup._stars(line_dedup.batch(pa.schema([("key", pa.int64()), ("h", pa.int64())]), *zip(*rows[i:j])) for i, j in zip(cuts, cuts[1:]) if i < j) for r in zip(*b.to_pydict().values())]
+    lines, centres = {}, {}
+    for k, h in rows:
+        lines.setdefault(k, set()).add(h)
+    for k, a, b in got:
+        centres.setdefault(k, set()).add(a)
+        assert a != b
+    assert set(centres) == {k for k, hs in lines.items() if len(hs) > 1}
+    for k, c in centres.items():
+        assert len(c) == 1 and {b for key, _, b in got if key == k} == lines[k] - c
+        assert held < 1 << 18 or min(lines[k]) in c
+    assert held < 1 << 18 or len(set(got)) == len(got)
+    assert sum(b.num_rows for b in line_dedup._stars(iter(()))) == 0
+
+
+def test_pairs_are_verified_exactly_and_without_sets():
+    rng = random.Random(19)
+    pairs = []
+    for _ in range(150):
+        w = words(rng, 70)
+        v = [x if rng.random() > 0.03 else "other" for x in w]
+        pairs.append((" ".join(w), " ".join(v)))
+    pairs += [("exactly8", "exactly8"), ("ab" * 20, "ab" * 30), ("日本語" * 9, "日本語" * 8), ("plain line of text", "plain line of text日")]
+    rows = line_dedup.batch(pa.schema([("a", pa.int64()), ("b", pa.int64()), ("la", pa.string()), ("lb", pa.string())]), range(len(pairs)), range(1000, 1000 + len(pairs)), *zip(*pairs))
+
+    def sets():
+        packed = [(line_dedup.packed_shingles(x), line_dedup.packed_shingles(y)) for x, y in pairs]
+        return [i for i, (s, t) in enumerate(packed) if s and t and line_dedup.jaccard(s, t) >= 0.8]
+
+    def took(f):
+        best = []
+        for _ in range(7):
+            began = time.process_time()
+            f()
+            best.append(time.process_time() - began)
+        return min(best)
+
+    want = [i for i, (x, y) in enumerate(pairs) if line_dedup.jaccard(line_dedup.shingles(x), line_dedup.shingles(y)) >= 0.8]
+    (got,) = line_dedup._verify([rows], 0.8)
+    assert got.column("a").to_pylist() == want and 20 < len(want) < len(pairs) - 5
+    assert took(lambda: list(line_dedup._verify([rows], 0.8))) < 0.75 * took(sets)
+
+
 PAGE = """<html><head><title>no</title></head><body><header>Site</header><nav><a>m</a></nav><div class="cookie-banner">We use cookies</div>
 <main><article><h1>Title &amp; more</h1><p>First   para<br>with <b>bold</b> words.<p>Second &lt;para&gt; &eacute;.<div class="ad">Buy</div><script>if (a < b) { "</p>" }</script>
 <form>Your name <input><button>Go</button></form><ul><li>item one</li><li>item two</li></ul></article><section id="comments"><p>reader says hello hello hello</p></section></main>
