@@ -10,6 +10,7 @@ from datetime import datetime, timezone
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import Schema
@@ -18,19 +19,12 @@ from ..storage import prepare
 DELIMITERS = {".csv": ",", ".ssv": ";", ".tsv": "\t", ".psv": "|"}
 
 
-def _first_sign(spark: SparkSession, path: str) -> str:
-    row = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.trim("value"), 1, 1)).head(1)
-    return row[0][0] if row else ""
-
-
 def read_json(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
-    """A JSON array, or documents one per line, or documents one after the other over lines."""
+    """JSON arrays of documents, documents one per line, or either one after the other over lines; a file may hold several arrays."""
     fields = schema.struct()
-    if _first_sign(spark, path) == "[":
-        return spark.read.schema(fields).option("multiLine", True).json(path)
-    # a line is a document by itself if it parses as an object
+    # a line goes by itself if it parses as an object or an array
     text = spark.read.text(path).where(F.trim("value") != "")
-    if text.where(F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{")).isEmpty():
+    if text.where(F.try_parse_json("value").isNull() | ~F.substring(F.trim("value"), 1, 1).isin("{", "[")).isEmpty():
         return spark.read.schema(fields).json(path)
     whole = spark.read.text(path, wholetext=True)
 
@@ -45,14 +39,20 @@ def read_json(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
                 at = m.end()
                 if at >= len(t):
                     break
-                _, end = decoder.raw_decode(t, at)
+                try:
+                    _, end = decoder.raw_decode(t, at)
+                except json.JSONDecodeError:
+                    end = len(t)
                 out.append(t[at:end])
                 at = end
             return out
 
         return s.map(cut)
 
-    return whole.select(F.explode(documents("value")).alias("v")).select(F.from_json("v", fields).alias("d")).select("d.*")
+    values = whole.select(F.explode(documents("value")).alias("v"))
+    # an object counts as an array of one; what can't be parsed is a row of nulls
+    docs = F.coalesce(F.from_json("v", T.ArrayType(fields)), F.array(F.lit(None).cast(fields)))
+    return values.select(F.explode(docs).alias("d")).select("d.*")
 
 
 def read_csv(spark: SparkSession, path: str, schema: Schema, has_header: bool = False, quoting: bool = True, flexible: bool = True, delimiter: str | None = None, skip_docs: int = 0, num_docs: int | None = None) -> DataFrame:

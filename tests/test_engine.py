@@ -253,6 +253,18 @@ def test_readers(spark, tmp_path):
     assert readers.read_files(spark, f"{tmp_path}/d").count() == 1
 
 
+@pytest.mark.parametrize("indent", [None, 1])
+def test_a_file_of_several_json_arrays(spark, tmp_path, indent):
+    schema = Schema((SchemaField("n", field_type="I64"), SchemaField("o", field_type="Text")))
+    docs = [{"n": k, "o": "[{" if k % 2 else None} for k in range(12)]
+    for name, part in (("a", docs[:7]), ("b", docs[7:])):
+        (tmp_path / f"{name}.json").write_text("\n".join(json.dumps(part[k : k + 3], indent=indent) for k in range(0, len(part), 3)) + "\n[]\n")
+    got = readers.read_json(spark, str(tmp_path), schema).collect()
+    assert sorted(map(tuple, got)) == [(d["n"], d["o"]) for d in docs]
+    (tmp_path / "b.json").write_text('[{"n": 1},')
+    assert sorted(map(tuple, readers.read_json(spark, f"{tmp_path}/b.json", schema).collect()), key=repr) in ([(1, None)], [(None, None)], [(1, None), (None, None)])
+
+
 def test_stream_into_index(spark, tmp_path):
     schema = Schema((SchemaField("body", index_lexical=True),))
     i = Index.create(spark, f"file://{tmp_path}/s", schema, META, buckets=2)
