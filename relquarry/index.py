@@ -31,7 +31,9 @@ from .plans import query as Q
 from .schema import NUMERIC, IndexMeta, Schema, meta_from_json, meta_to_json
 from .storage import prepare
 
-FORMAT = 1
+FORMAT = 2
+#: Deleted ids that are broadcast.
+BROADCAST_IDS = 4_000_000
 
 
 @dataclass
@@ -112,7 +114,10 @@ class Index:
 
     def _alive(self, df: DataFrame) -> DataFrame:
         gone = self.deleted()
-        return df if gone is None else df.join(gone, "doc_id", "left_anti")
+        if gone is None:
+            return df
+        # up to so many ids, 16 bytes each, documents needn't be shuffled by theirs
+        return df.join(F.broadcast(gone) if self.state["deleted"] <= BROADCAST_IDS else gone, "doc_id", "left_anti")
 
     def documents(self, realtime: bool = False, include_deleted: bool = False) -> DataFrame:
         docs = self.relation("docs", realtime)
@@ -176,7 +181,7 @@ class Index:
         n, last = docs.agg(F.count("*"), F.max("doc_id")).first()
         relations, length = ["docs"], 0
         if self.schema.lexical and n:
-            length = self._write_lexical(docs, level, n, relations)
+            length = self._write_lexical(docs, level, relations)
         if self.schema.vectors and n:
             self._write_vectors(docs, level)
             relations.append("vectors")
@@ -190,53 +195,73 @@ class Index:
             self._remove([old])
         return n
 
-    def _write_lexical(self, docs: DataFrame, level: int, n: int, relations: list[str]) -> int:
-        """Postings, terms, completions and dictionary of a level, from tokens that are made and written once; returns the sum of lengths."""
+    def _write_lexical(self, docs: DataFrame, level: int, relations: list[str]) -> int:
+        """Postings, terms and dictionary of a level, from tokens that are made once; returns the sum of lengths."""
         spark, fields = self.spark, self.schema.lexical
         cores = spark.sparkContext.defaultParallelism
         if docs.rdd.getNumPartitions() < cores:  # a small level in few files
             docs = docs.repartition(cores)
         staged = f"{self.path}/tokens/level={level}"
-        dl = analysis.quantized_length(F.size("tokens")).cast("int").alias("dl")
-        build.token_rows(docs, self.schema, self.meta).select("doc_id", "field_id", "tokens", dl).write.mode("overwrite").parquet(staged)
-        tokens = spark.read.parquet(staged)
-        length = tokens.agg(F.sum("dl")).first()[0] or 0
-        self._write_postings(build.with_synonyms(build.postings(tokens, self.meta), self.synonyms()), level, n)
-        rows = self._read_postings(level)
-        bucket = F.pmod(F.xxhash64("term"), F.lit(self.state["buckets"])).cast("int")
-        terms = build.dictionary(rows, len(fields)).withColumn("bucket", bucket)
-        terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms/level={level}")
-        relations += ["postings", "terms"]
-        sources = [i for i, f in enumerate(fields) if f.completion_source]
-        if sources or self.meta.query_completion:
-            of = tokens.where(F.col("field_id").isin(sources)) if 0 < len(sources) < len(fields) else tokens
-            build.completions(of).write.mode("overwrite").parquet(f"{self.path}/completions/level={level}")
-            relations.append("completions")
-        words = [i for i, f in enumerate(fields) if f.dictionary_source]
-        if words or self.meta.spelling_correction:
-            if 0 < len(words) < len(fields):
-                known = build.dictionary(rows.where(F.col("field_id").isin(words) & ~F.col("term").contains(" ")), len(words))
-            else:  # all fields: the terms that are no n-grams
-                known = spark.read.parquet(f"{self.path}/terms/level={level}").where(~F.col("term").contains(" ")).select("term", "df")
-            known.write.mode("overwrite").parquet(f"{self.path}/dictionary/level={level}")
-            relations.append("dictionary")
         where, root = self._files(self.path)
+        length = self._write_postings(docs, level, staged)
+        if length:
+            # one shuffle, in which a bucket's terms go to many tasks
+            terms = spark.read.parquet(staged).where(F.col("term").isNotNull()).groupBy("bucket", "term").agg(F.sum("df").alias("df"))
+            terms.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms/level={level}")
+            relations += ["postings", "terms"]
+            words = self._dictionary_fields()
+            if words is not None and len(words) < len(fields):
+                rows = self._read_postings(level).where(F.col("field_id").isin(words) & ~F.col("term").contains(" "))
+                build.dictionary(rows, len(words)).write.mode("overwrite").parquet(f"{self.path}/dictionary/level={level}")
+                relations.append("dictionary")
         where.delete_dir(f"{root}/tokens")
         return length
 
+    def _dictionary_fields(self) -> list[int] | None:
+        """Lexical fields whose words are the dictionary's; None: no dictionary."""
+        words = [i for i, f in enumerate(self.schema.lexical) if f.dictionary_source]
+        return words or (list(range(len(self.schema.lexical))) if self.meta.spelling_correction else None)
+
+    def _completion_fields(self) -> list[int] | None:
+        sources = [i for i, f in enumerate(self.schema.lexical) if f.completion_source]
+        return sources or (list(range(len(self.schema.lexical))) if self.meta.query_completion else None)
+
+    def _write_completions(self) -> None:
+        """Completions of the levels that have none yet: they are made when they are first asked for, and stay."""
+        sources, fresh = self._completion_fields(), False
+        for x in self._levels(True):
+            if sources and "postings" in x["relations"] and "completions" not in x["relations"]:
+                docs = self.spark.read.parquet(f"{self.path}/docs/level={x['id']}")
+                rows = build.field_rows(docs, self.schema, self.meta, sources)
+                build.completions(rows, sources, x["length"]).write.option("compression", "zstd").mode("overwrite").parquet(f"{self.path}/completions/level={x['id']}")
+                x["relations"].append("completions")
+                fresh = True
+        if fresh:
+            self._save()
+
     def index_document(self, doc: dict) -> int:
         """One document; returns its id."""
         first = self.state["next_doc"]
         self.index_documents(self.spark.createDataFrame([tuple(doc.get(f.field) for f in self.schema.fields)], self.schema.struct()))
         return first
 
-    def _write_postings(self, rows: DataFrame, level: int, docs: int) -> None:
-        b = self.state["buckets"]
-        salt = max(1, min(64, docs // 200_000))  # a hot term's postings go to so many tasks
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(b)).cast("int"))
-        parts = max(b, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        rows = rows.repartition(parts, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(salt))).sortWithinPartitions("bucket", "term", "doc_id")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/level={level}")
+    def _write_postings(self, docs: DataFrame, level: int, staged: str) -> int:
+        """Postings of a level, and in a staging folder its terms; returns the sum of lengths."""
+        where, root = self._files(self.path)
+        at = f"{root}/postings/level={level}"
+        if where.get_file_info(at).type != fs.FileType.NotFound:
+            where.delete_dir(at)
+        path = f"{self.path if ':/' in self.path else f'file://{self.path}'}/postings/level={level}"
+        rows = build.field_rows(docs, self.schema, self.meta)
+        build.write_postings(rows, path, self.meta, [tuple(p) for p in self.state["synonyms"]], self.state["buckets"], len(self.schema.lexical)).write.mode("overwrite").parquet(staged)
+        told = self.spark.read.parquet(staged)
+        length = told.agg(F.sum("length")).first()[0] or 0
+        if length:
+            files = {f"{at}/{r[0]}" for r in told.where(F.col("file").isNotNull()).select("file").collect()}
+            for x in where.get_file_info(fs.FileSelector(at, recursive=True)):
+                if x.is_file and x.base_name.endswith(".parquet") and f"{at}/{'/'.join(x.path.split('/')[-2:])}" not in files:
+                    where.delete_file(x.path)
+        return length
 
     def _read_postings(self, level: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/postings/level={level}")
@@ -400,8 +425,8 @@ class Index:
         return dict(map(tuple, self._of_terms(rows, terms).groupBy("term").agg(F.sum("df")).collect()))
 
     def _of_terms(self, rows: DataFrame, terms) -> DataFrame:
-        from_hash = self.spark.range(1).select(F.array_distinct(F.transform(F.array(*map(F.lit, terms)), lambda t: F.pmod(F.xxhash64(t), F.lit(self.state["buckets"])).cast("int")))).first()[0]
-        return rows.where(F.col("bucket").isin(list(from_hash)) & F.col("term").isin(list(terms)))
+        buckets = sorted({build.bucket_of(t, self.state["buckets"]) for t in terms})
+        return rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
 
     def info(self) -> DataFrame:
         s = self.state
@@ -421,23 +446,31 @@ class Index:
         return facets.min_max(self.documents(), [f.field for f in self.schema.facets if f.field_type in NUMERIC])
 
     def dictionary(self) -> DataFrame | None:
-        d = self.relation("dictionary", True)
+        words, levels = self._dictionary_fields(), len(self._levels(True))
+        if words is not None and len(words) == len(self.schema.lexical):  # the terms that are no n-grams
+            d = self.relation("terms", True)
+            d = d if d is None else d.where(~F.col("term").contains(" ")).select("term", "df")
+        else:
+            d = self.relation("dictionary", True)
         if loaded := self.state.get("dictionary"):
             more = self.spark.read.schema("term string, df bigint").csv(loaded)
             d = more if d is None else d.select("term", "df").union(more)
         if d is None:
             return None
-        d = d.groupBy("term").agg(F.sum("df").alias("df"))
+        # a level has a term once
+        d = d.groupBy("term").agg(F.sum("df").alias("df")) if levels != 1 or loaded else d.select("term", "df")
         return build.most_frequent(d, "df", self.meta.spelling_correction.max_dictionary_entries) if self.meta.spelling_correction else d
 
     def completions(self) -> DataFrame | None:
-        c = self.relation("completions", True)
+        self._write_completions()
+        c, levels = self.relation("completions", True), len(self._levels(True))
         if loaded := self.state.get("completions"):
             more = self.spark.read.schema("gram string, n bigint").csv(loaded)
             c = more if c is None else c.select("gram", "n").union(more)
         if c is None:
             return None
-        c = c.groupBy("gram").agg(F.sum("n").alias("n"))
+        # a level has a gram once
+        c = c.groupBy("gram").agg(F.sum("n").alias("n")) if levels != 1 or loaded else c.select("gram", "n")
         return build.most_frequent(c, "n", self.meta.query_completion.max_completion_entries) if self.meta.query_completion else c
 
     def save_dictionary(self, path: str) -> None:

@@ -6,6 +6,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from relquarry.api import Service
@@ -332,6 +333,65 @@ def test_stored_clusters_prune_and_find(spark, tmp_path, quantization):
     assert near.count() < 1500
 
 
+def test_tokens_cut_from_bytes_are_those_of_the_expression(spark):
+    from relquarry.operators import build
+
+    rng = random.Random(5)
+    texts = [None, ""] + ["".join(rng.choice("aZ-+# _9.\u00e9\u00c0\u00d6\u00d7\u00f7\u00b5\u00b2\u00aa\u00df\u00ff\n\u00a0" + "\u0130\u03a3\u2019\u4e2d\U0001f600" * (k % 3 == 0)) for _ in range(rng.randint(0, 40))) for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, t string")
+    rows = build.field_rows(docs, Schema((SchemaField("t", index_lexical=True),)), META)
+    want = {r.doc_id: r.w for r in docs.select("doc_id", analysis.tokens("t").alias("w")).collect()}
+    for r in rows.collect():
+        words, n = build.cut(pa.array([r.x0], pa.string()))
+        assert n[0] == len(words) and words.to_pylist() + (r.t0 or []) == want[r.doc_id]
+
+
+@pytest.mark.parametrize("block", [5, 1 << 20])
+def test_blocks_of_postings_against_brute_force(spark, tmp_path, monkeypatch, block):
+    """Two fields, n-grams and synonyms; no posting is shuffled, and completions are made when they are asked for."""
+    from relquarry.operators import build
+
+    monkeypatch.setattr(build, "BLOCK", block)
+    monkeypatch.setattr(build, "GRAM_BLOCK", block)
+    rng, words = random.Random(9), ["the", "of", "And", "car", "\u00c9t\u00e9", "bus", "\u4e2d", "x", "12"]
+    rows = [tuple(" ".join(rng.choices(words, k=rng.randint(0, 9))) if rng.random() < 0.9 else None for _ in "ab") for _ in range(60)]
+    schema = Schema((SchemaField("a", index_lexical=True, completion_source=True), SchemaField("b", index_lexical=True)))
+    i = Index.create(spark, f"file://{tmp_path}/b", schema, IndexMeta(frequent_words=("the", "of"), ngram_indexing=1 | 2 | 8 | 64), [("car", "bus"), ("the of", "bus")], buckets=3)
+    i.index_documents(spark.createDataFrame(rows, "a string, b string").repartition(2))
+    i.commit()
+    stored = {r.doc_id: (r.a, r.b) for r in i.documents().collect()}
+    want, df, grams, total = {}, {}, {}, 0
+    for d, texts in stored.items():
+        for f, t in enumerate(texts):
+            ts = (t or "").lower().split()
+            total += len(ts)
+            places = [(w, k) for k, w in enumerate(ts)] + [(" ".join(g), k) for k, g in Q.ngram_terms(ts, {"the", "of"}, 1 | 2 | 8 | 64)]
+            places += [("bus", k) for w, k in places if w in ("car", "the of")]
+            for w, k in set(places):
+                want.setdefault((d, f, w), []).append(k)
+                df.setdefault(w, set()).add(d)
+            if f == 0:
+                found = [w for w in ts if len(w) > 1 and not w.isdecimal()] + [" ".join(ts[k : k + 2]) for k in range(len(ts) - 1) if len(ts[k]) > 1] + [" ".join(ts[k : k + 3]) for k in range(len(ts) - 2) if len(ts[k + 1]) > 1]
+                for g in found:
+                    grams[g] = grams.get(g, 0) + 1
+    got = i.relation("postings").collect()
+    assert len(got) == len(want) and {(r.doc_id, r.field_id, r.term): r.positions for r in got} == {k: sorted(v) for k, v in want.items()}
+    assert all(r.tf == len(r.positions) for r in got) and i.stats()[1] == total / 60
+    assert {r.term: r.df for r in i.relation("terms").collect()} == {w: len(x) for w, x in df.items()}
+    assert i.document_frequency(["the of", "bus", "none"]) == {w: len(df[w]) for w in ("the of", "bus")}
+    rows = build.field_rows(i.documents(), schema, i.meta)
+    assert "Exchange" not in build.write_postings(rows, f"file://{tmp_path}/c", i.meta, [], 3, 2)._jdf.queryExecution().executedPlan().toString()
+    assert not (tmp_path / "b" / "completions").exists()
+    assert sorted(map(tuple, i.completions().collect())) == sorted(grams.items())
+    assert Index.open(spark, i.path).state["levels"][0]["relations"][-1] == "completions"
+
+
+def test_documents_without_words(spark, tmp_path):
+    i = make(spark, tmp_path / "e", [(None,), ("...",)], META, Schema((SchemaField("body", index_lexical=True, completion_source=True, dictionary_source=True),)))
+    i.commit()
+    assert i.search("word").result_count_total == 0 and i.documents().count() == 2 and i.stats() == (2, 0.0) and i.dictionary() is None and i.completions() is None
+
+
 def test_levels_merge_and_failures_leave_the_old_state(spark, tmp_path):
     i = Index.create(spark, f"file://{tmp_path}/m", Schema((SchemaField("t", index_lexical=True, completion_source=True),)), IndexMeta(ngram_indexing=0, auto_commit_docs=2, merge_levels=3), buckets=2)
     for k in range(9):
