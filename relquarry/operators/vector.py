@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..functions import vectors as V
 from ..storage import prepare
 
 SAMPLE, MOST_CLUSTERS = 50_000, 16_384
+#: Vectors, and queries, whose similarities a Python worker holds at once.
+ROWS, COLUMNS = 2048, 512
 
 
 def best_chunks(scored: DataFrame) -> DataFrame:
@@ -70,9 +73,11 @@ def assign(vectors: DataFrame, medoids: np.ndarray, kind: str = "Dot") -> DataFr
 
     @F.pandas_udf("int")
     def nearest(s: pd.Series) -> pd.Series:
-        x = np.stack(s.to_numpy()).astype(np.float64)
-        sim = x @ medoids.T
-        return pd.Series((2 * sim - (medoids**2).sum(1) if kind == "Euclidean" else sim).argmax(axis=1))
+        best, size = [np.zeros(0, np.int64)], (medoids**2).sum(1)
+        for at in range(0, len(s), ROWS):
+            sim = np.stack(s.iloc[at : at + ROWS].to_numpy()).astype(np.float64) @ medoids.T
+            best.append((2 * sim - size if kind == "Euclidean" else sim).argmax(axis=1))
+        return pd.Series(np.concatenate(best))
 
     return vectors.withColumn("cluster_id", nearest("vector") if len(medoids) else F.lit(0))
 
@@ -110,13 +115,38 @@ def search(clustered: DataFrame, query, medoids: np.ndarray, mode: str = "All",
     return exact(rows, query, kind, least)
 
 
+def _keep(s: np.ndarray, doc: np.ndarray, top: np.ndarray, docs: np.ndarray) -> None:
+    """Take scores (a row a vector of a document, a column a query) into each query's best documents, by score rounded to 6 places, then doc_id."""
+    k, slack = top.shape[1], 2e-6  # less than this below the last place may still round to it
+    least = top[:, -1] - slack
+    if len(s) > k and len(np.unique(doc)) == len(doc):
+        free = np.flatnonzero(least == -np.inf)
+        if len(free):
+            least[free] = np.partition(s[:, free], len(s) - k, axis=0)[len(s) - k] - slack
+    row, col = np.nonzero((s >= least) & (s > -np.inf))
+    if not len(row):
+        return
+    hit = np.unique(col)
+    old, place = np.nonzero(top[hit] > -np.inf)
+    col = np.concatenate([col, hit[old]])
+    score, d = np.concatenate([s[row, col[: len(row)]], top[hit[old], place]]), np.concatenate([doc[row], docs[hit[old], place]])
+    order = np.lexsort((-score, d, col))  # a document's best vector
+    order = order[np.append(True, (col[order][1:] != col[order][:-1]) | (d[order][1:] != d[order][:-1]))]
+    order = order[np.lexsort((d[order], -np.round(score[order], 6), col[order]))]
+    col = col[order]
+    at = np.arange(len(col)) - np.searchsorted(col, col)
+    col, order, at = col[at < k], order[at < k], at[at < k]
+    top[hit], docs[hit] = -np.inf, 0
+    top[col, at], docs[col, at] = score[order], d[order]
+
+
 def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, kind: str = "Dot", medoids: np.ndarray | None = None, nprobe: int = 16) -> DataFrame:
     """query_id, doc_id, score, rank of the k best for each of a stated, bounded set of queries (query_id, query).
 
     With medoids (and a cluster_id column) a query sees the vectors of its nprobe clusters only.
 
-    The queries are one matrix in each task; every batch of vectors keeps its own k best
-    for a query before anything is shuffled.
+    The queries are one matrix in each task, which goes over blocks of vectors and queries
+    and keeps the k best documents of a query; those alone are shuffled, once a task.
     """
     prepare(vectors.sparkSession)
     q = queries.orderBy("query_id").toPandas()
@@ -129,23 +159,27 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, kind: str =
             probed[j, probe(m[j], medoids, nprobe, None, kind)] = True
 
     def best(batches):
+        # by query, its best so far: score, document; -inf where there are fewer
+        top, docs = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
         for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            x = np.stack(b["vector"].to_numpy()).astype(np.float64)
-            s = x @ m.T
-            if kind == "Euclidean":
-                s = 2 * s - (x * x).sum(1)[:, None] - (m * m).sum(1)
-            doc = b["doc_id"].to_numpy()
-            if probed is not None:
-                s = np.where(probed[:, b["cluster_id"].to_numpy()].T, s, -np.inf)
-            for j in range(len(ids)):
-                order = np.lexsort((doc, -np.round(s[:, j], 6)))[:k]
-                order = order[s[order, j] > -np.inf]
-                yield pd.DataFrame({"query_id": ids[j], "doc_id": doc[order], "score": s[order, j]})
+            for at in range(0, b.num_rows if len(ids) else 0, ROWS):
+                part = b.slice(at, ROWS)
+                x = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                doc = part.column("doc_id").to_numpy(zero_copy_only=False)
+                cluster = part.column("cluster_id").to_numpy(zero_copy_only=False) if probed is not None else None
+                for j in range(0, len(ids), COLUMNS):
+                    s = x @ m[j : j + COLUMNS].T
+                    if kind == "Euclidean":
+                        s = 2 * s - (x * x).sum(1)[:, None] - (m[j : j + COLUMNS] ** 2).sum(1)
+                    if cluster is not None:
+                        s[~probed[j : j + COLUMNS, cluster].T] = -np.inf
+                    _keep(s, doc, top[j : j + COLUMNS], docs[j : j + COLUMNS])
+        for j in range(0, len(ids), 4096):
+            row, place = np.nonzero(top[j : j + 4096] > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[j + row], pa.int64()), pa.array(docs[j + row, place]), pa.array(top[j + row, place])], names=["query_id", "doc_id", "score"])
 
     columns = ["doc_id", "vector"] + (["cluster_id"] if probed is not None else [])
-    rows = vectors.select(*columns).mapInPandas(best, "query_id bigint, doc_id bigint, score double")
+    rows = vectors.select(*columns).mapInArrow(best, "query_id bigint, doc_id bigint, score double")
     rows = rows.groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
