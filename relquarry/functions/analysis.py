@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from collections.abc import Iterator
 from math import log
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,9 +46,31 @@ def fold(text: str | None) -> str | None:
     return "".join(out)
 
 
-@F.pandas_udf(T.StringType())
-def fold_text(s: pd.Series) -> pd.Series:
-    return s.map(fold, na_action="ignore")
+#: Characters of the texts of which a Python worker holds the results at once.
+PIECE = 4 << 20
+_KINDS = {"string": (T.StringType(), pa.string()), "array<string>": (T.ArrayType(T.StringType()), pa.list_(pa.string()))}
+
+
+def by_pieces(function, kind: str):
+    """Arrow UDF of a function of one text (or None): results are made, and handed on, for a bounded number of characters at a time."""
+
+    outer, inner = _KINDS[kind]
+
+    @F.arrow_udf(outer)
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            if not len(b):
+                yield pa.array([], inner)
+            part, at = np.cumsum(pc.utf8_length(b).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64) // PIECE, 0
+            while at < len(b):
+                end = max(at + 1, int(np.searchsorted(part, part[at], "right")))
+                yield pa.array((function(t.as_py()) for t in b.slice(at, end - at)), inner, size=end - at)
+                at = end
+
+    return of
+
+
+fold_text = by_pieces(fold, "string")
 
 
 _FOLDED = re.compile(r"[^\W](?:[\w+#-]|['’ʼ](?=\w))*")
@@ -60,9 +85,7 @@ def folded_tokens(text: str | None) -> list[str]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _folded(s: pd.Series) -> pd.Series:
-    return s.map(folded_tokens)
+_folded = by_pieces(folded_tokens, "array<string>")
 
 
 def segment(text: str, dictionary: dict[str, float], longest: int) -> list[str]:
@@ -114,7 +137,7 @@ def tokens(text, tokenizer: str = "UnicodeAlphanumeric", dictionary: dict[str, f
         out = F.filter(F.split(ascii_lower(c) if tokenizer == "WhitespaceLowercase" else c, r"\s+"), lambda t: t != "")
     elif tokenizer == "UnicodeAlphanumericZH":
         words = dictionary or {}
-        out = F.pandas_udf(lambda s: s.map(lambda t: zh_tokens(t, words)), "array<string>")(c)
+        out = by_pieces(lambda t: zh_tokens(t, words), "array<string>")(c)
     else:
         raise ValueError(f"unknown tokenizer {tokenizer}")
     return out
@@ -133,10 +156,12 @@ def stemmed(tokens_: Column, stemmer: str | None) -> Column:
 
     name = stemmer
 
-    @F.pandas_udf("array<string>")
-    def apply(s: pd.Series) -> pd.Series:
-        stem = lru_cache(1 << 16)(make(name))
-        return s.map(lambda ts: [stem(t) for t in ts])
+    @F.arrow_udf("array<string>")
+    def apply(lists: pa.Array) -> pa.Array:
+        stem, words = make(name), lists.flatten().dictionary_encode()
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int32)
+        stems = pa.array([stem(t) for t in words.dictionary.to_pylist()], pa.string())
+        return pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)), stems.take(words.indices))
 
     return apply(tokens_)
 
@@ -231,12 +256,7 @@ def chunks(text: str | None, size: int = 1000) -> list[str]:
 
 def chunk_text_of(size: int):
     """Arrow UDF: a text's chunks of at most ``size`` bytes."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def of(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: chunks(t, size))
-
-    return of
+    return by_pieces(lambda t: chunks(t, size), "array<string>")
 
 
 chunk_text = chunk_text_of(1000)

@@ -386,6 +386,49 @@ def test_blocks_of_postings_against_brute_force(spark, tmp_path, monkeypatch, bl
     assert Index.open(spark, i.path).state["levels"][0]["relations"][-1] == "completions"
 
 
+@pytest.mark.parametrize("piece", [7, 1 << 22])
+def test_texts_go_through_python_by_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(analysis, "PIECE", piece)
+    texts = [None, "", "\u00c4rger l'\u00e9t\u00e9. Next one! x", "a" * 50, None, "b c. d", "\u4e2d\u56fd"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    for made, want in (
+        (analysis.by_pieces(analysis.folded_tokens, "array<string>"), analysis.folded_tokens),
+        (analysis.by_pieces(analysis.fold, "string"), analysis.fold),
+        (analysis.chunk_text_of(12), lambda t: analysis.chunks(t, 12)),
+    ):
+        assert [r[0] for r in docs.orderBy("i").select(made("t")).collect()] == [want(t) for t in texts]
+    stem = stemmers.stemmer("english")
+    lists = docs.orderBy("i").select(analysis.stemmed(analysis.tokens("t"), "english").alias("s"), analysis.tokens("t").alias("w")).collect()
+    assert all(r.s == [stem(w) for w in r.w] for r in lists)
+    sizes = [len(a) for a in analysis.by_pieces(analysis.fold, "string").func(iter([pa.array(texts, pa.string())]))]
+    assert sum(sizes) == len(texts) and (len(sizes) > 3) == (piece == 7)
+
+
+@pytest.mark.parametrize("rows,columns", [(3, 2), (16, 512), (2048, 512)])
+def test_batch_search_by_blocks_against_brute_force(spark, monkeypatch, rows, columns):
+    """Ties, documents of several vectors, fewer documents than k, and probed clusters."""
+    monkeypatch.setattr(vector, "ROWS", rows)
+    monkeypatch.setattr(vector, "COLUMNS", columns)
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (60, 4)).astype(float)
+    for doc in (np.arange(60), np.arange(60) // 3, np.arange(60) % 4):
+        table = [(int(d), v.tolist(), int(c)) for d, v, c in zip(doc, x, np.arange(60) % 5)]
+        vectors = spark.createDataFrame(table, "doc_id bigint, vector array<float>, cluster_id int").repartition(3)
+        queries = spark.createDataFrame([(10 + j, x[j].tolist()) for j in range(5)], "query_id bigint, query array<float>")
+        for kind in ("Dot", "Euclidean"):
+            for medoids, nprobe in ((None, 0), (x[:5], 2)):
+                want = []
+                for j in range(5):
+                    best = {}
+                    for d, v, c in table:
+                        s = float(np.dot(v, x[j])) if kind == "Dot" else -float(((np.array(v) - x[j]) ** 2).sum())
+                        if medoids is None or c in vector.probe(x[j], medoids, nprobe, None, kind):
+                            best[d] = max(best.get(d, -1e9), s)
+                    want += [(10 + j, d, s, r + 1) for r, (d, s) in enumerate(sorted(best.items(), key=lambda e: (-e[1], e[0]))[:6])]
+                got = vector.search_many(vectors, queries, 6, kind, medoids, nprobe).collect()
+                assert sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in got) == sorted(want)
+
+
 def test_documents_without_words(spark, tmp_path):
     i = make(spark, tmp_path / "e", [(None,), ("...",)], META, Schema((SchemaField("body", index_lexical=True, completion_source=True, dictionary_source=True),)))
     i.commit()
