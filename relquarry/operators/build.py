@@ -8,7 +8,6 @@ document frequencies.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import uuid
 import zlib
@@ -145,14 +144,21 @@ def _quantized(n: np.ndarray) -> np.ndarray:
     return np.where(n < 32, n, 24 + (rest >> shift << shift))
 
 
+def _pairs(a: np.ndarray, b: np.ndarray, v: int, **more):
+    """Distinct pairs of numbers under v, in order, with what else np.unique gives."""
+    bits = max(1, v.bit_length())
+    key, *rest = np.unique(a << bits | b, **more)
+    return (key >> bits, key & (1 << bits) - 1), *rest
+
+
 def _triples(a: np.ndarray, b: np.ndarray, c: np.ndarray, v: int, **more):
-    """Distinct triples of numbers under v, in order, with what else np.unique gives."""
-    if v**3 < 1 << 63:
-        key, *rest = np.unique((a * v + b) * v + c, **more)
-        return (key // v // v, key // v % v, key % v), *rest
-    pairs, pair = np.unique(a * v + b, return_inverse=True)
-    key, *rest = np.unique(pair * v + c, **more)
-    return (pairs[key // v] // v, pairs[key // v] % v, key % v), *rest
+    bits = max(1, v.bit_length())
+    if 3 * bits > 63:
+        (first, second), pair = _pairs(a, b, v, return_inverse=True)
+        key, *rest = np.unique(pair << bits | c, **more)
+        return (first[key >> bits], second[key >> bits], key & (1 << bits) - 1), *rest
+    key, *rest = np.unique(a << 2 * bits | b << bits | c, **more)
+    return (key >> 2 * bits, key >> bits & (1 << bits) - 1, key & (1 << bits) - 1), *rest
 
 
 def _joined(words: pa.Array, *numbers: np.ndarray) -> pa.Array:
@@ -173,8 +179,7 @@ def _with_ngrams(words: pa.Array, code, row, place, frequent: list[str], mask: i
         at = np.flatnonzero(found & (row[:size] == row[last]))
         if len(at):
             if n == 2:
-                key, inverse = np.unique(code[at] * v + code[at + 1], return_inverse=True)
-                numbers = (key // v, key % v)
+                numbers, inverse = _pairs(code[at], code[at + 1], v, return_inverse=True)
             else:
                 numbers, inverse = _triples(code[at], code[at + 1], code[at + 2], v, return_inverse=True)
             codes.append(sum(map(len, terms)) + inverse)
@@ -312,7 +317,6 @@ def dictionary(rows: DataFrame, fields: int = 2) -> DataFrame:
 _GRAM = pa.schema([("gram", pa.string()), ("n", pa.int64())])
 _PART = pa.schema([("part", pa.int32()), ("size", pa.int32()), ("grams", pa.binary())])
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_number = re.compile(r"\d+").fullmatch
 
 
 def _grams(block: Block, parts: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -323,20 +327,20 @@ def _grams(block: Block, parts: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     rank = np.empty(v, np.int64)
     rank[order.to_numpy()] = np.arange(v)
     code, row = rank[coded.indices.to_numpy()], np.repeat(np.arange(len(block.count)), block.count)
-    long = (pc.utf8_length(words).to_numpy() > 1)
-    single = long & ~np.array([bool(_number(w)) for w in words.to_pylist()])
+    long = pc.utf8_length(words).to_numpy() > 1
+    single = long & ~pc.utf8_is_decimal(words).to_numpy(zero_copy_only=False)
     crc = np.fromiter((zlib.crc32(t) for t in words.cast(pa.binary()).to_pylist()), np.uint64, v)
     one, n1 = np.unique(code[single[code]], return_counts=True)
     at = np.flatnonzero((row[:-1] == row[1:]) & long[code[:-1]])
-    two, n2 = np.unique(code[at] * v + code[at + 1], return_counts=True)
+    two, n2 = _pairs(code[at], code[at + 1], v, return_counts=True)
     at = np.flatnonzero((row[:-2] == row[2:]) & long[code[1:-1]])
     three, n3 = _triples(code[at], code[at + 1], code[at + 2], v, return_counts=True)
     grams, hashes = [], []
-    for numbers in ((one,), (two // v, two % v), three):
+    for numbers in ((one,), two, three):
         grams.append(_joined(words, *numbers))
         hashes.append(sum(crc[k] * m for k, m in zip(numbers, _MIX)))
     h = np.concatenate(hashes)
-    part = ((h ^ h >> np.uint64(29)) * _MIX[0] >> np.uint64(33)) % np.uint64(parts)
+    part = ((h ^ h >> np.uint64(29)) * _MIX[0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
     order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
     return pa.concat_arrays(grams).take(pa.array(order)), np.concatenate([n1, n2, n3])[order], part[order].astype(np.int64)
 
